@@ -288,23 +288,25 @@ def question_type(question: Column) -> Column:
     return F.when(skills, "skills").when(jobs, "jobs").otherwise("general")
 
 
-def listed_date(text: Column) -> Column:
-    """Epoch milliseconds first, then a date text; anything else is null.  Dates are UTC."""
-    number = text.try_cast("double")
-    in_range = F.abs(number) < F.lit(8.0e15)
-    epoch = F.when(in_range, F.date_add(F.lit("1970-01-01").cast("date"), F.floor(number / 86400000.0).cast("int")))
-    return F.when(number.isNull(), parse_date(text)).otherwise(epoch)
-
-
 DATE_FORMATS = ("MM/dd/yyyy", "yyyy/MM/dd", "MMM d, yyyy", "d MMM yyyy")
 
 
 def parse_date(text: Column) -> Column:
-    """Date of an ISO date, date-time (with or without offset) or one of DATE_FORMATS; else null."""
+    """Date as written in an ISO date, a date-time (any offset ignored) or one of DATE_FORMATS; else null."""
     trimmed = trim_text(text)
-    zoned = trimmed.rlike(r"\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$")
-    instant = F.unix_micros(trimmed.try_cast("timestamp"))
-    utc_day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(instant / F.lit(86400000000)).cast("int"))
-    plain = trimmed.try_cast("timestamp_ntz").cast("date")
-    others = [F.try_to_date(trimmed, fmt) for fmt in DATE_FORMATS]
-    return F.when(zoned, utc_day).otherwise(F.coalesce(plain, *others))
+    return F.coalesce(
+        trimmed.try_cast("timestamp_ntz").cast("date"), *[F.try_to_date(trimmed, fmt) for fmt in DATE_FORMATS]
+    )
+
+
+def listed_date(text: Column) -> Column:
+    """UTC date of epoch milliseconds, else of a date text; anything else is null."""
+    day_zero = F.lit("1970-01-01").cast("date")
+    number = text.try_cast("double")
+    from_number = F.when(
+        F.abs(number) < F.lit(8.0e15), F.date_add(day_zero, F.floor(number / 86400000.0).cast("int"))
+    )
+    has_offset = text.rlike(r"\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})\s*$")
+    instant = F.unix_micros(trim_text(text).try_cast("timestamp"))
+    in_utc = F.date_add(day_zero, F.floor(instant / F.lit(86400000000)).cast("int"))
+    return F.when(number.isNotNull(), from_number).when(has_offset, in_utc).otherwise(parse_date(text))
