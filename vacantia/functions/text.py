@@ -14,6 +14,11 @@ from vacantia.functions import rules
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 SPACE = r"[\t-\r\x1c-\x1f \x{85}\p{Z}]"
+# The same characters one by one, for trimming without a regular expression.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -22,7 +27,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def blank_to_null(text: Column) -> Column:
@@ -35,7 +40,7 @@ def first_filled(*texts: Column) -> Column:
 
 
 def collapse_spaces(text: Column) -> Column:
-    return strip(F.regexp_replace(text, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
 def clean_text(text: Column) -> Column:
@@ -75,7 +80,7 @@ def seniority_label(text: Column, synonyms: dict[str, str] | None = None) -> Col
 def clean_description(text: Column) -> Column:
     """Lower-case text of words, spaces, '-', '.' and '/' only; null gives ''."""
     kept = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\-./]+", " ")
-    return F.coalesce(F.regexp_replace(kept, "^ +| +$", ""), F.lit(""))
+    return F.coalesce(F.trim(kept), F.lit(""))
 
 
 def word_list(text: Column) -> Column:

@@ -18,7 +18,8 @@ def top_terms(texts: DataFrame, group: str, order_columns: list[str], column: st
     place = F.lit(0).cast("decimal(38,0)")
     for name in order_columns:
         place = (place * F.lit(10**9).cast("decimal(10,0)") + F.col(name).cast("decimal(18,0)")).cast("decimal(38,0)")
-    words = texts.select(group, place.alias("_row"), F.posexplode(text.term_list(F.col(column))).alias("_at", "term"))
+    found = F.posexplode_outer(text.term_list(F.col(column))).alias("_at", "term")
+    words = texts.select(group, place.alias("_row"), found).filter("term IS NOT NULL")
     first = (F.col("_row") * F.lit(10**9).cast("decimal(10,0)") + F.col("_at")).cast("decimal(38,0)")
     counts = words.groupBy(group, "term").agg(F.count("*").alias("n"), F.min(first).alias("_first"))
     order = Window.partitionBy(group).orderBy(F.col("n").desc(), "_first")

@@ -18,10 +18,9 @@ def indexed_text():
 
 def chunk_documents(jobs: DataFrame) -> DataFrame:
     """One row per passage, keyed by (job_id, chunk_order).  A projection: no shuffle and no Python."""
-    source = jobs.select(F.col("id").alias("job_id"), *ATTRIBUTES, indexed_text().alias("_text")).filter(
-        "_text IS NOT NULL"
-    )
-    cut = source.select("job_id", *ATTRIBUTES, F.posexplode(text.chunk_text(F.col("_text"))).alias("chunk_order", "chunk_text"))
+    # The outer form keeps the optimizer from adding filters that would chunk every text a second time.
+    passages = F.posexplode_outer(text.chunk_text(indexed_text())).alias("chunk_order", "chunk_text")
+    cut = jobs.select(F.col("id").alias("job_id"), *ATTRIBUTES, passages).filter("chunk_text IS NOT NULL")
     return cut.withColumn("chunk_length", F.length("chunk_text"))
 
 

@@ -25,24 +25,19 @@ def skills_per_posting(job_skills: DataFrame) -> DataFrame:
 
 def normalize_raw(raw: DataFrame, job_skills: DataFrame, whole_words: bool = False) -> DataFrame:
     """Deduplicated, joined and classified postings before any row is dropped."""
-    base = first_by_key(raw, "job_id").join(skills_per_posting(job_skills), "job_id", "left")
-    cleaned = base.select(
+    # Texts are cleaned below the shuffle of the deduplication, so later filters do not repeat the work.
+    tidy = raw.select(
         "ordinal",
-        text.clean_text(F.col("title")).alias("title"),
+        "job_id",
+        *[text.clean_text(F.col(c)).alias(c) for c in ("title", "location", "description", "skills_desc")],
         text.clean_text(F.col("company_name")).alias("company"),
-        text.clean_text(F.col("location")).alias("location"),
         F.col("formatted_experience_level").alias("level"),
-        text.clean_text(
-            F.concat_ws(
-                "\n\n",
-                text.clean_text(F.col("description")),
-                text.clean_text(F.col("skills_desc")),
-                text.clean_text(F.col("skills_text")),
-            )
-        ).alias("description"),
         text.listed_date(F.col("original_listed_time")).alias("date_posted"),
         F.coalesce(text.clean_text(F.col("job_posting_url")), text.clean_text(F.col("application_url"))).alias("url"),
     )
+    joined = first_by_key(tidy, "job_id").join(skills_per_posting(job_skills), "job_id", "left")
+    whole = text.blank_to_null(F.concat_ws(" ", "description", "skills_desc", "skills_text"))
+    cleaned = joined.withColumn("description", whole).drop("job_id", "skills_desc", "skills_text")
     return cleaned.select(
         "*",
         text.seniority_from_text(

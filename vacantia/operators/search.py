@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,25 +31,31 @@ def matching(
 
     A skill matches as part of the comma-joined list; `exact_skills` compares whole skills instead.
     """
-    keyword = _trimmed(keyword)
-    if keyword and len(keyword) >= 2:
-        like = f"%{keyword}%"
-        jobs = jobs.filter(
-            F.col("title").ilike(like) | F.col("description").ilike(like) | F.col("cleaned_description").ilike(like)
-        )
     wanted = {
         "location": _trimmed(location),
         "category": _trimmed(category, lower=True),
         "seniority": _trimmed(seniority, lower=True),
     }
+    # Short columns are tested first; long texts only for rows that are left.
     for name, value in wanted.items():
         if value:
             jobs = jobs.filter(F.col(name).ilike(f"%{value}%"))
-    for skill in (s.strip() for s in (skills or "").split(",")):
-        if skill and exact_skills:
-            jobs = jobs.filter(F.array_contains("detected_skills", skill))
-        elif skill:
-            jobs = jobs.filter(F.array_join("detected_skills", ",").ilike(f"%{skill}%"))
+    keyword = _trimmed(keyword)
+    if keyword and len(keyword) >= 2:
+        like = f"%{keyword}%"
+        jobs = jobs.filter(
+            F.col("title").ilike(like) | F.col("description").ilike(like) | F.col("cleaned_description").ilike(like)
+        )
+    names = [s.strip() for s in (skills or "").split(",") if s.strip()]
+    if names and exact_skills:
+        jobs = jobs.filter(F.size(F.array_intersect(F.array(*map(F.lit, names)), "detected_skills")) == len(set(names)))
+    elif names:
+        jobs = jobs.filter(
+            text.let(
+                F.array_join("detected_skills", ","),
+                lambda joined: reduce(lambda a, b: a & b, [joined.ilike(f"%{n}%") for n in names]),
+            )
+        )
     return jobs
 
 
@@ -86,7 +94,9 @@ def top_skills(
 ) -> DataFrame:
     """Most frequent skills, equal counts by name; the limit is kept within 1 to 50."""
     found = matching(jobs, category=category, seniority=seniority)
-    skill = found.select(F.explode("detected_skills").alias("skill")).select(text.trim_text(F.col("skill")).alias("skill"))
+    skill = found.select(F.explode_outer("detected_skills").alias("skill")).select(
+        text.trim_text(F.col("skill")).alias("skill")
+    )
     counts = skill.filter("skill IS NOT NULL").groupBy("skill").agg(F.count("*").alias("count"))
     return counts.orderBy(F.col("count").desc(), "skill").limit(min(max(limit, 1), 50))
 

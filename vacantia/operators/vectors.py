@@ -218,13 +218,13 @@ def _blocked_scan(
     no_id = F.lit(None).cast("bigint")
     left = queries.select(
         F.pmod(F.xxhash64("query_id"), F.lit(across)).alias("_row"),
-        F.explode(F.sequence(F.lit(0), F.lit(down - 1))).cast("bigint").alias("_column"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(down - 1).cast("bigint"))).alias("_column"),
         F.col("query_id").cast("bigint").alias("query_id"),
         *[no_id.alias(c) for c in id_columns],
         "embedding",
     )
     right = corpus.select(
-        F.explode(F.sequence(F.lit(0), F.lit(across - 1))).cast("bigint").alias("_row"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(across - 1).cast("bigint"))).alias("_row"),
         F.pmod(F.xxhash64(*id_columns), F.lit(down)).alias("_column"),
         no_id.alias("query_id"),
         *[F.col(c).cast("bigint").alias(c) for c in id_columns],

@@ -155,7 +155,8 @@ def clean_description(spark, folder):
 
 @query
 def extract_skills(spark, folder):
-    return jobs(spark, folder).select(F.col("id").alias("job_id"), F.explode("detected_skills").alias("skill"))
+    tags = jobs(spark, folder).select(F.col("id").alias("job_id"), F.explode_outer("detected_skills").alias("skill"))
+    return tags.filter("skill IS NOT NULL")
 
 
 @query
@@ -180,7 +181,8 @@ def keyword_overlap(spark, folder):
 @query
 def split_sentences(spark, folder):
     d = adapters.table(spark, folder, "documents")
-    return d.select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("position", "sentence"))
+    found = d.select("doc_id", F.posexplode_outer(text.sentences(F.col("text"))).alias("position", "sentence"))
+    return found.filter("sentence IS NOT NULL")
 
 
 @query

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vacantia.sources.tables import spread
+
 TITLES = [
     "Senior Machine Learning Engineer", "Backend Developer (Python)", "Data Engineer II", "Nurse",
     "Physical Therapist", "Internal Auditor", None, "  Staff   Software Engineer  ",
@@ -30,7 +32,8 @@ LANGS = ["en", "fr", "de", "es", None]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows, "doc_id") if name == "documents" else rows
 
 
 def pick(options: list, number: Column) -> Column:

@@ -69,6 +69,12 @@ def write_prepared(rows: DataFrame, path: str) -> None:
         rows.write.mode("overwrite").options(header=True, quote='"', escape='"', quoteAll=True, emptyValue="").csv(path)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Hash rows by a unique key when a scan has fewer splits than there are cores; large tables stay as read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 class VersionedTable:
     """A Parquet table whose versions are folders; the newest complete one is current.
 
