@@ -6,13 +6,15 @@ decision depends on earlier decisions and no range count gives it.
 A key may hold a large share of all rows, so a key is never one group.  Its requests are cut into time
 slices, each a bounded group.  In most slices there is a moment where the state is known from the slice
 alone (`_known_end`); these end states start the following slices at once.  Only slices without such a
-moment, where a key is over its limit all the time, wait for the slice before: each round settles the next
-slice of every such key.
+moment, where a key is over its limit all the time, wait for the slice before.  Each round settles the next
+run of up to CHAIN such slices of every key, one slice in memory at a time.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,7 @@ from vacantia.functions import rules, text
 from vacantia.session import ensure_checkpoint_dir
 
 MICROS = 1_000_000
+CHAIN = 256
 
 
 def client_key(forwarded_for: Column, host: Column) -> Column:
@@ -103,11 +106,19 @@ def decide(
         ]
         return pd.Series(ends, dtype=object)
 
-    @F.pandas_udf("array<bigint>")
-    def end_after(times: pd.Series, held: pd.Series) -> pd.Series:
-        return pd.Series(
-            [admit(np.asarray(t, dtype=np.int64), list(h), limit, window)[1] for t, h in zip(times, held)], dtype=object
-        )
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Ends of slices sorted by key and number; a slice starts from the one before it in the same run."""
+        last, end = None, None
+        for batch in batches:
+            ends = []
+            for key_value, number, times, held in zip(batch["key"], batch["slice"], batch["times"], batch["held"]):
+                if last != (key_value, number - 1) or end is None:
+                    end = None if held is None else list(held)
+                if end is not None:
+                    end = admit(np.asarray(times, dtype=np.int64), end, limit, window)[1]
+                last = (key_value, number)
+                ends.append(end)
+            yield pd.DataFrame({"key": batch["key"], "slice": batch["slice"], "_new": pd.Series(ends, dtype=object)})
 
     @F.pandas_udf("array<boolean>")
     def decisions(times: pd.Series, held: pd.Series) -> pd.Series:
@@ -130,15 +141,19 @@ def decide(
             .drop("_held", "_is")
         )
 
+    key_type = packed.schema["key"].dataType.simpleString()
+    run = F.floor(F.col("slice") / CHAIN)
     while not ends.filter("end IS NULL").isEmpty():
-        open_slices = with_start(ends.filter("end IS NULL").drop("end"), ends).filter("held IS NOT NULL")
+        waiting = with_start(ends.filter("end IS NULL").drop("end"), ends)
         settled = (
             packed.select("key", "slice", "times")
-            .join(open_slices, ["key", "slice"])
-            .select("key", "slice", end_after("times", "held").alias("end"))
+            .join(waiting, ["key", "slice"])
+            .repartition("key", run)
+            .sortWithinPartitions("key", "slice")
+            .mapInPandas(follow, f"key {key_type}, slice bigint, _new array<bigint>")
         )
         ends = (
-            ends.join(settled.withColumnRenamed("end", "_new"), ["key", "slice"], "left")
+            ends.join(settled, ["key", "slice"], "left")
             .select("key", "slice", F.coalesce("end", "_new").alias("end"))
             .checkpoint()
         )
