@@ -87,8 +87,8 @@ def test_hot_address_with_random_order(frame, empty):
 
 def test_numbers_are_unique_and_repeatable(frame):
     rows = frame([(f"k{i}",) for i in range(5000)], "k string")
-    a = {r["k"]: r["position"] for r in ingest.numbered(rows, "k", 1).collect()}
-    b = {r["k"]: r["position"] for r in ingest.numbered(rows.repartition(7), "k", 1).collect()}
+    a = {r["k"]: r["position"] for r in ingest.numbered(rows, "k", digits=1).collect()}
+    b = {r["k"]: r["position"] for r in ingest.numbered(rows.repartition(7), "k", digits=1).collect()}
     assert a == b and len(set(a.values())) == 5000 and min(a.values()) >= 1
 
 

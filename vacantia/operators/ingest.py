@@ -90,16 +90,17 @@ def upsert_actions(existing: DataFrame, snapshot: DataFrame, full_rebuild: bool
     )
 
 
-def numbered(rows: DataFrame, key: str, digits: int = 3) -> DataFrame:
+def numbered(rows: DataFrame, key: str, among: Column | None = None, digits: int = 3) -> DataFrame:
     """Add a unique positive `position` per row without a global sort or a second pass.
 
     The n-th row of hash bucket b gets b + 1 + (n - 1) * 16**digits, so numbers have gaps but do not depend on
-    partitions, and a repeated run gives the same ones.
+    partitions, and a repeated run gives the same ones.  Rows are counted apart per value of `among`.
     """
     bucket = F.conv(F.substring(F.md5(F.col(key)), 1, digits), 16, 10).cast("bigint")
-    inside = Window.partitionBy("_bucket").orderBy(key)
+    inside = Window.partitionBy("_bucket", "_among").orderBy(key)
     number = F.col("_bucket") + 1 + (F.row_number().over(inside) - 1).cast("bigint") * 16**digits
-    return rows.withColumn("_bucket", bucket).withColumn("position", number).drop("_bucket")
+    rows = rows.withColumns({"_bucket": bucket, "_among": F.lit(0) if among is None else among})
+    return rows.withColumn("position", number).drop("_bucket", "_among")
 
 
 def reset_derived(rows: DataFrame) -> DataFrame:
@@ -109,11 +110,10 @@ def reset_derived(rows: DataFrame) -> DataFrame:
 
 def changed_rows(existing: DataFrame, actions: DataFrame, now: str) -> DataFrame:
     """Full job rows for inserted and updated addresses, in state pending."""
-    changed = actions.filter("action <> 'unchanged'")
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    fresh = numbered(changed.filter("action = 'inserted'"), "url").withColumn("id", F.col("position") + top.scalar())
-    rows = changed.filter("action = 'updated'").unionByName(fresh.drop("position"))
-    return reset_derived(rows.withColumn("ingested_at", moment(now))).select(JOBS_COLUMNS)
+    changed = numbered(actions.filter("action <> 'unchanged'"), "url", F.col("id").isNull())
+    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
+    rows = changed.withColumns({"id": F.coalesce("id", F.col("position") + top), "ingested_at": moment(now)})
+    return reset_derived(rows).select(JOBS_COLUMNS)
 
 
 def upsert_state(existing: DataFrame, snapshot: DataFrame, now: str, full_rebuild: bool = False) -> DataFrame:
