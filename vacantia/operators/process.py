@@ -32,7 +32,6 @@ def process_postings(jobs: DataFrame, now: str, lexicon: dict[str, list[str]] |
 
 def process_summary(processed: DataFrame) -> DataFrame:
     skills = F.size("detected_skills")
-    average = F.sum(skills) / F.count("*")
     return processed.agg(
         F.count("*").alias("processed_jobs"),
         F.count_if(skills == 0).alias("jobs_without_skills"),
