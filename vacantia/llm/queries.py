@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import mixing, token_counts, url_lists
+from vacantia.llm import mixing, token_counts, toxicity, url_lists, wavelet
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op1_pareto_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "inclusion")
 
 
+def op4_classifier_chain_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op5_wavelet_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return wavelet.encode_and_read(_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op6_temporal_url_lists(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages")
     found = url_lists.evaluate_captures(url_lists.dated_captures(pages), url_lists.events_from_pages(pages))
@@ -32,4 +40,4 @@ def op7_two_tier_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op6_temporal_url_lists, op7_two_tier_token_counts)}
+QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}

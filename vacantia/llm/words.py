@@ -74,13 +74,13 @@ def word_arrays(data: bytes | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return starts, ends, np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
-def slices(batch: pa.RecordBatch, column: str, size: int = SEGMENT) -> Iterator[tuple[int, list[bytes]]]:
+def slices(batch: pa.RecordBatch, column: str, size: int = SEGMENT, rows: int = 4096) -> Iterator[tuple[int, list[bytes]]]:
     """Rows of a batch in order, in slices of about `size` bytes of text: first row, texts as UTF-8 (null: empty)."""
     texts = batch.column(batch.schema.get_field_index(column))
     at, held, total = 0, [], 0
     for i, text in enumerate(texts.cast(pa.large_binary())):
         value = text.as_py() or b""
-        if held and total + len(value) > size:
+        if held and (total + len(value) > size or len(held) == rows):
             yield at, held
             at, held, total = i, [], 0
         held.append(value)
