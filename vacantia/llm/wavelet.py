@@ -25,7 +25,8 @@ BLOCK_TOKENS = 1 << 18
 STEP = 512
 END_ID = 1
 SLICE = 4 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 2_000_000  # some 50 bytes each
+GROUP = 1000
 BROADCAST_SHARDS = 1_000_000
 SCHEMA = ("shard long, block long, before long, n long, bits int, zeros array<long>, planes binary, ranks binary,"
           " keys array<long>, lengths array<long>")
@@ -121,10 +122,21 @@ class WaveletMatrix:
         return row
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, kept with its cache between tasks."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 class WordEncoder:
     """Ids of whole texts through a bounded cache of words.
 
-    Exact for tokenizers that drop white space and never join across it; each distinct word of a slice is looked up once.
+    Exact for tokenizers that drop white space and never join across it; each distinct word of a slice is looked up once,
+    by its 64-bit hash.
     """
 
     def __init__(self, tokenizer_path: str, cache_words: int = CACHE_WORDS):
@@ -133,28 +145,58 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.cache: dict[bytes, np.ndarray] = {}
         self.cache_words = cache_words
+        self._clear()
+        # Any special token in `<| |>` will do; it is matched before anything else and never joined to its neighbours.
+        special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content.startswith("<|"))
+        self.between, self.between_id = special[0].encode(), self.tokenizer.token_to_id(special[0])
+
+    def _clear(self) -> None:
+        """The cache: sorted word hashes, and where in `flat` the ids of each begin and how many there are."""
+        self.keys = np.empty(0, np.uint64)
+        self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat = np.empty(0, np.uint32)
+
+    def _encode_new(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers, encoding many words at a time with a special token between them."""
+        if any(b"<|" in w for w in new):  # a word may hold special tokens itself
+            found = [self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in new]
+            return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
+        groups = [new[i:i + GROUP] for i in range(0, len(new), GROUP)]
+        texts = [self.between.join(g).decode() for g in groups]
+        ids, sizes = [], []
+        for g, x in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            own = np.array(x.ids, np.uint32)
+            cuts = np.flatnonzero(own == self.between_id)
+            if len(cuts) != len(g) - 1:
+                raise ValueError("the separating token was not kept apart")
+            sizes.append(np.diff(cuts, prepend=-1, append=len(own)) - 1)
+            ids.append(np.delete(own, cuts))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, and the number of each text."""
         buf, starts, ends, hashes, first = words.sliced_words(texts)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-        _, one, back = np.unique(hashes, return_index=True, return_inverse=True)
-        data = buf.tobytes()
-        distinct = [data[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist())]
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        new = [w for w in distinct if w not in self.cache]
-        for w, x in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            self.cache[w] = np.array(x.ids, np.uint32)
-        coded = [self.cache[w] for w in distinct]
-        lengths = np.array([len(x) for x in coded], np.int64)
-        flat = np.concatenate(coded)
-        ids = flat[words.ragged((np.cumsum(lengths) - lengths)[back], lengths[back])]
-        sums = np.concatenate([[0], np.cumsum(lengths[back])])
-        return ids, np.diff(sums[first])
+        keys, one, back = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == keys[at < len(self.keys)]
+        if len(self.keys) > self.cache_words and not known.all():
+            self._clear()
+            known[:], at[:] = False, 0
+        if not known.all():
+            data, new = buf.tobytes(), np.flatnonzero(~known)
+            ids, sizes = self._encode_new([data[a:b] for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist())])
+            begin = len(self.flat) + np.cumsum(sizes) - sizes
+            self.flat = np.concatenate([self.flat, ids])
+            self.keys = np.insert(self.keys, at[new], keys[new])
+            self.begin, self.size = np.insert(self.begin, at[new], begin), np.insert(self.size, at[new], sizes)
+            at = np.searchsorted(self.keys, keys)
+        begin, size = self.begin[at][back], self.size[at][back]
+        sums = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[words.ragged(begin, size)], np.diff(sums[first])
 
 
 def _write_blocks(tokenizer_path: str, bits: int, key: str, text: str, end_id: int, block_tokens: int):
@@ -162,7 +204,7 @@ def _write_blocks(tokenizer_path: str, bits: int, key: str, text: str, end_id: i
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, shard, block, before = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        encoder, shard, block, before = worker_encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
         keys, lengths, ids = [], [], []
 
         def flush() -> pa.RecordBatch:
