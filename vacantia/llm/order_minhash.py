@@ -27,7 +27,7 @@ BANDS = 32
 LEAST = 5
 SIMILARITY = 0.8
 STAR_ROUNDS = 6
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 300_000
 SALT_ROWS = 64
 _RANDOM = np.random.default_rng(20240101)
 _MULTIPLY = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,15 +86,13 @@ def edit_path(a: list[int], b: list[int], most: int) -> list[tuple[int, int, int
             x = max(down, right)
             if x < 0 or x > n or x - diagonal > m or x - diagonal < 0:
                 continue
-            begin = x
             while x < n and x - diagonal < m and a[x] == b[x - diagonal]:
                 x += 1
             now[diagonal] = x
             if x >= n and x - diagonal >= m:
-                trace.append((now, {}))
+                trace.append(now)
                 return _runs(trace, n - m, n)
-            del begin
-        trace.append((now, {}))
+        trace.append(now)
         reach = now
     return None
 
@@ -102,7 +100,7 @@ def edit_path(a: list[int], b: list[int], most: int) -> list[tuple[int, int, int
 def _runs(trace: list, diagonal: int, x: int) -> list[tuple[int, int, int]]:
     runs = []
     for d in range(len(trace) - 1, 0, -1):
-        before = trace[d - 1][0]
+        before = trace[d - 1]
         down, right = before.get(diagonal + 1, -1), before.get(diagonal - 1, -2) + 1
         begin = max(down, right)
         runs.append((begin, begin - diagonal, x - begin))
@@ -185,26 +183,74 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY)
     return dealt.select("a", "id", "text").mapInArrow(_verifier(threshold), "a long, b long")
 
 
+def _alike(n: str, m: str, threshold: float):
+    """Whether two word counts allow the similarity at all: the shorter text has that share of the longer's shingles."""
+    a, b = F.col(n) - (SHINGLE - 1), F.col(m) - (SHINGLE - 1)
+    return (F.least(a, b) > 0) & (F.least(a, b) >= F.lit(threshold - 1e-9) * F.greatest(a, b))
+
+
+def _star(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of every bucket's least member with its others, once each."""
+    return (members.where((F.col("id") != F.col("low.id")) & _alike("n", "low.n", threshold))
+            .select(F.col("low.id").alias("a"), F.col("id").alias("b")).distinct())
+
+
+def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of buckets that still hold several components, with their component `c` and the bucket's first `c_low`."""
+    found = members.join(components(links).select(F.col("node").alias("id"), "component"), "id", "left").select(
+        "token", "id", "n", F.coalesce("component", "id").alias("c"))
+    several = (found.groupBy("token").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high"), F.count(F.lit(1)).alias("size"))
+               .where(F.col("c_low") != F.col("c_high")))
+    return written(found.join(several.drop("c_high"), "token"), "mixed")
+
+
+def similar_links(members: DataFrame, texts: DataFrame, documents: int, threshold: float) -> DataFrame:
+    """Links that connect all members of a bucket which any chain of similar members of it connects."""
+    links = written(verified(_star(members, threshold), texts, threshold), "links")
+    for turn in range(STAR_ROUNDS):
+        mixed = _mixed(members, links)
+        rest = mixed.where(F.col("c") != F.col("c_low"))
+        pairs = rest.agg(F.sum(F.col("size").cast("double"))).first()[0] or 0.0
+        if pairs <= 4.0 * documents:
+            break
+        # Too many for pairs yet: another star, around some member that the first did not reach.
+        centres = rest.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "c")).alias("low"))
+        again = (mixed.join(centres, "token").where((F.col("c") != F.col("low.c")) & _alike("n", "low.n", threshold))
+                 .select(F.col("low.id").alias("a"), F.col("id").alias("b")).distinct())
+        links = written(links.unionByName(verified(again, texts, threshold)), "links")
+    mixed = mixed.select("token", "id", "n", "c", "c_low")
+    rest = mixed.where(F.col("c") != F.col("c_low")).select("token", F.col("id").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"))
+    both = (F.col("c") != F.col("d")) & ((F.col("c") == F.col("c_low")) | (F.col("a") < F.col("id")))
+    left = rest.join(mixed, "token").where(both & _alike("n", "m", threshold)).select("a", F.col("id").alias("b")).distinct()
+    return links.unionByName(verified(left, texts, threshold))
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """key, class_id (least key of the document's class), class_size (distinct keys) for each distinct non-null key.
 
     Exact copies and chains of links are one class; a document without partner is its own class.  Null texts count as
-    empty, and all empty texts are copies.  Rows with a null key are returned with null class and size 0; rows of one
-    key are one document and unite the classes of its texts.  Other columns are not read.
+    empty, and all empty texts are copies; texts under five words only match their copies.  Rows with a null key are
+    left out.  Rows of one key are one document: each of its texts matches its exact copies, the one of least digest
+    also near copies.  An empty table gives no rows.  Other columns are not read.
     """
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"),
-                       F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.col(key).isNotNull())
+    filled = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.md5(filled).alias("digest"), filled.alias("text"))
     sketches = written(rows.mapInArrow(_sketcher("text"), "id long, digest string, sketch array<long>, n long"), "sketches")
-    firsts = sketches.groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("f"), F.countDistinct("id").alias("copies"))
-    firsts = firsts.select("f.*", "digest")
-    copies = (sketches.select("id", "digest").join(firsts.select(F.col("id").alias("a"), "digest"), "digest")
-              .select("a", F.col("id").alias("b")).where(F.col("a") != F.col("b")))
-    tokens = firsts.select("id", "n", F.explode("sketch").alias("token"))
-    shared_tokens = tokens.groupBy("token").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
-    members = written(tokens.join(shared_tokens, "token").select("token", "id", "n", "low"), "members")
-    ids = members.select("id").distinct()
-    involved = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids  # eight bytes each
-    texts = written(rows.select("id", "digest", "text").join(involved, "id")
-                    .join(F.broadcast(firsts.select("id", "digest")) if False else firsts.select("id", "digest"), ["id", "digest"])
-                    .select("id", "text") if False else rows.select("id", "text").join(involved, "id").dropDuplicates(["id"]), "texts")
-    return _classes(sketches, copies, members, texts, key, threshold)
+    firsts = sketches.groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("f"))
+    firsts = written(firsts.select("f.*", "digest").groupBy("id").agg(F.min(F.struct("digest", "n", "sketch")).alias("f"))
+                     .select("id", "f.*"), "firsts")
+    copies = sketches.groupBy("digest").agg(F.min("id").alias("a")).join(sketches.select("digest", "id"), "digest")
+    copies = copies.where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b")).distinct()
+    tokens = firsts.where(F.col("n") >= SHINGLE).select("id", "n", F.explode("sketch").alias("token"))
+    several = tokens.groupBy("token").agg(F.min(F.struct("id", "n")).alias("low"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
+    members = written(tokens.join(several.drop("c"), "token"), "members")
+    ids = members.select("id").distinct().join(firsts.select("id", "digest"), "id")
+    ids = written(ids, "ids")
+    count = ids.count()
+    texts = written(rows.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, ["id", "digest"]).select("id", "text"), "texts")
+    links = similar_links(members, texts, firsts.count(), threshold)
+    found = components(links.unionByName(copies))
+    every = sketches.select("id").distinct().join(found.withColumnRenamed("node", "id"), "id", "left")
+    classes = written(every.select("id", F.coalesce("component", "id").alias("class_id")), "classes")
+    sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
+    return classes.join(sizes, "class_id").select(F.col("id").alias(key), "class_id", "class_size")

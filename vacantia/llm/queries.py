@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import mixing, token_counts, toxicity, url_lists, wavelet
+from vacantia.llm import crf, decontaminate, mixing, order_minhash, token_counts, toxicity, url_lists, wavelet
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_pareto_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "inclusion")
 
 
+def op2_crf_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return crf.line_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op4_classifier_chain_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -40,4 +44,12 @@ def op7_two_tier_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_pigeonhole_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op10_order_minhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
