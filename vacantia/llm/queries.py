@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import crf, decontaminate, mixing, order_minhash, token_counts, toxicity, url_lists, wavelet
+from vacantia.llm import crf, decontaminate, katz, mixing, order_minhash, token_counts, toxicity, url_lists, wavelet
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op8_pigeonhole_decontamination(spark: SparkSession, folder: str) -> DataFram
     return decontaminate.find_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op9_katz_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return katz.katz_scores(_table(spark, folder, "documents"))
+
+
 def op10_order_minhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return order_minhash.near_duplicates(_table(spark, folder, "documents"))
 
