@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import crf, decontaminate, katz, mixing, order_minhash, token_counts, toxicity, url_lists, wavelet
+from vacantia.llm import crf, decontaminate, katz, mixing, order_minhash, suffix_trees, token_counts, toxicity, url_lists, wavelet
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op2_crf_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     return crf.line_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op3_suffix_tree_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_trees.remove_repeats(_table(spark, folder, "documents"), with_text=False)
+    return found.drop("kept_text")
+
+
 def op4_classifier_chain_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
