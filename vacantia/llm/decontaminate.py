@@ -12,11 +12,13 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm import words
+from vacantia.llm import shared, words
 
 ERROR_SHARE = 0.08
 BLOCK_CHARS = 1_000_000
@@ -117,9 +119,9 @@ class PieceFinder:
         return out
 
 
-def _finder(shared, share: float, text: str):
+def _finder(block, share: float, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = PieceFinder(shared.value, share)
+        finder = PieceFinder(block.value, share)
         for batch in batches:
             rows, hits = [], []
             for at, texts in words.slices(batch, text):
@@ -145,19 +147,38 @@ def find_items(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text:
     by text, repeated documents each give their rows.  Items are dealt to as many blocks as their total length asks
     for, each broadcast with about `block_chars` characters, and every block passes over all documents.
     """
-    spark = docs.sparkSession
+    kind = docs.schema[key].dataType.simpleString()
+    found = [docs.select(key, text).mapInArrow(
+        _finder(block, error_share, text), f"`{key}` {kind}, item_id long, distance long, budget long, `end` long")
+        for block in item_blocks(items, item_key, item_text, block_chars)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def item_blocks(items: DataFrame, item_key: str, item_text: str, block_chars: int) -> list[Broadcast]:
+    """The items, normalised, as broadcasts of about `block_chars` characters each."""
     clean = items.select(F.col(item_key).cast("long").alias("item"), F.col(item_text).alias("words")).dropna()
     total = clean.agg(F.sum(F.length("words"))).first()[0] or 0
     blocks = -(-total // block_chars) or 1
     dealt = clean.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)))
-    kind = docs.schema[key].dataType.simpleString()
-    found = []
+    out = []
     for b in range(blocks):
         rows = sorted({(r["item"], normalized(r["words"])) for r in dealt.where(F.col("block") == b).collect()})
-        shared = spark.sparkContext.broadcast([r for r in rows if r[1]])
-        found.append(docs.select(key, text).mapInArrow(
-            _finder(shared, error_share, text), f"`{key}` {kind}, item_id long, distance long, budget long, `end` long"))
-    return reduce(DataFrame.unionByName, found)
+        out.append(items.sparkSession.sparkContext.broadcast([r for r in rows if r[1]]))
+    return out
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id",
+                      item_text: str = "text", error_share: float = ERROR_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of `docs` in which no item is found, with all their columns; one pass for each block of items."""
+    def keeps(block: Broadcast):
+        def make():
+            finder = PieceFinder(block.value, error_share)
+            return lambda texts: np.array([not finder.find(normalized(t.decode())) for t in texts], bool)
+        return make
+
+    for block in item_blocks(items, item_key, item_text, block_chars):
+        docs = shared.rows_where(docs, text, keeps(block))
+    return docs
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:

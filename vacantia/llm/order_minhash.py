@@ -254,3 +254,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     classes = written(every.select("id", F.coalesce("component", "id").alias("class_id")), "classes")
     sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     return classes.join(sizes, "class_id").select(F.col("id").alias(key), "class_id", "class_size")
+
+
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """The rows of `docs` but those whose class has a smaller key, with all their columns; rows without key stay."""
+    classes = near_duplicates(docs, key=key, text=text, threshold=threshold)
+    others = written(classes.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("_other")), "others")
+    gone = F.broadcast(others) if others.count() <= BROADCAST_IDS else others  # eight bytes each
+    return docs.join(gone, docs[key].cast("long") == gone["_other"], "left_anti")

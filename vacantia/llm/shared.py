@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from vacantia.llm import words
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, or below the warehouse where that is unset."""
@@ -18,3 +23,14 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     folder = shared_folder(frame.sparkSession, name)
     frame.write.option("compression", "zstd").parquet(folder)
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+
+def rows_where(docs: DataFrame, text: str, keeps: Callable[[], Callable[[list[bytes]], np.ndarray]]) -> DataFrame:
+    """The rows, with all their columns, whose text a mask keeps; `keeps` makes the mask function once per task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = keeps()
+        for batch in batches:
+            masks = [keep(texts) for _, texts in words.slices(batch, text)]
+            yield batch.filter(pa.array(np.concatenate(masks) if masks else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)

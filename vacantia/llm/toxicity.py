@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm import words
+from vacantia.llm import shared, words
 
 SAMPLE_DOCUMENTS = 8192
 FEATURES = 256
@@ -169,19 +169,24 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     return fit_chain(hashed, table["toxic"].to_numpy(float), table["fold"].to_numpy(int), categories)
 
 
-def _scorer(shared, text: str):
+def _present(chain: Chain, texts: list[bytes]) -> np.ndarray:
+    """Which features each text has."""
+    hashes, doc = feature_hashes(texts)
+    x = np.zeros((len(texts), len(chain.features)))
+    if len(chain.features) and len(hashes):
+        at = np.minimum(np.searchsorted(chain.features, hashes), len(chain.features) - 1)
+        hit = np.flatnonzero(chain.features[at] == hashes)
+        x[doc[hit], at[hit]] = 1
+    return x
+
+
+def _scorer(chain_shared, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain: Chain = shared.value
+        chain: Chain = chain_shared.value
         for batch in batches:
             out = [np.zeros((0, len(chain.names)))]
             for _, texts in words.slices(batch, text):
-                hashes, doc = feature_hashes(texts)
-                x = np.zeros((len(texts), len(chain.features)))
-                if len(chain.features) and len(hashes):
-                    at = np.minimum(np.searchsorted(chain.features, hashes), len(chain.features) - 1)
-                    hit = np.flatnonzero(chain.features[at] == hashes)
-                    x[doc[hit], at[hit]] = 1
-                out.append(chain.probabilities(x))
+                out.append(chain.probabilities(_present(chain, texts)))
             p = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, j]) for j in range(p.shape[1]))],
                                              names=[batch.schema.names[0], *(f"p_{n}" for n in chain.names)])
@@ -194,13 +199,24 @@ def score(docs: DataFrame, chain: Chain, *, key: str = "doc_id", text: str = "te
     Null and empty texts get the probabilities of a text without known words; keys may be null or repeated; other
     columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(chain)  # a few hundred weights
+    chain_shared = docs.sparkSession.sparkContext.broadcast(chain)  # a few hundred weights
     kind = docs.schema[key].dataType.simpleString()
     fields = ", ".join([f"`{key}` {kind}", *(f"p_{n} double" for n in chain.names)])
-    return (docs.select(key, text).mapInArrow(_scorer(shared, text), fields)
+    return (docs.select(key, text).mapInArrow(_scorer(chain_shared, text), fields)
             .withColumn(TARGET, F.col(f"p_{chain.names[-1]}") >= threshold))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Trains on the labelled documents and scores all documents."""
     return score(docs, train(docs, labels, **options))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, text: str = "text", threshold: float = 0.5, **options) -> DataFrame:
+    """The rows of `docs` that the chain does not call toxic, with all their columns."""
+    chain_shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text=text, **options))
+
+    def keeps():
+        chain = chain_shared.value
+        return lambda texts: chain.probabilities(_present(chain, texts))[:, -1] < threshold
+
+    return shared.rows_where(docs, text, keeps)
