@@ -24,12 +24,15 @@ from vacantia.llm import shared, words
 BLOCK_TOKENS = 1 << 18
 STEP = 512
 END_ID = 1
-SLICE = 4 << 20
-CACHE_WORDS = 2_000_000  # some 50 bytes each
+SLICE = 2 << 20
+CACHE_WORDS = 3_000_000  # some 50 bytes each
 GROUP = 1000
 BROADCAST_SHARDS = 1_000_000
 SCHEMA = ("shard long, block long, before long, n long, bits int, zeros array<long>, planes binary, ranks binary,"
           " keys array<long>, lengths array<long>")
+_MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,!?;:")] = True
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -122,6 +125,26 @@ class WaveletMatrix:
         return row
 
 
+def pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Starts, ends and hashes of the parts that are encoded alone, each text's first part, and the joined texts.
+
+    Parts are words, cut before a mark that follows an ASCII letter or digit, where the tokenizer cuts too.  The
+    tokenizer ignores case, so ASCII letters are lowered, unless something like a special token is among the texts.
+    """
+    data = b"\n".join(texts)
+    data = data if b"<|" in data else data.lower()
+    buf = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff(words.SPACE[buf], prepend=True, append=True))
+    starts, ends = edge[0::2], edge[1::2]
+    cuts = np.flatnonzero(_MARK[buf[1:]] & _ALNUM[buf[:-1]]) + 1
+    if len(cuts):
+        word_starts = starts
+        starts = np.sort(np.concatenate([starts, cuts]))
+        ends = np.minimum(np.append(starts[1:], len(buf)), ends[np.searchsorted(word_starts, starts, side="right") - 1])
+    offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return starts, ends, words.hash_runs(buf, starts, words.WORD_VALUES), np.searchsorted(starts, offsets), data
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -135,7 +158,7 @@ def worker_encoder(path: str) -> WordEncoder:
 class WordEncoder:
     """Ids of whole texts through a bounded cache of words.
 
-    Exact for tokenizers that drop white space and never join across it; each distinct word of a slice is looked up once,
+    Exact for tokenizers that ignore case, drop white space, never join across it and split letters from marks; each distinct word of a slice is looked up once,
     by its 64-bit hash.
     """
 
@@ -176,7 +199,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, and the number of each text."""
-        buf, starts, ends, hashes, first = words.sliced_words(texts)
+        starts, ends, hashes, first, data = pieces(texts)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
         keys, one, back = np.unique(hashes, return_index=True, return_inverse=True)
@@ -187,7 +210,7 @@ class WordEncoder:
             self._clear()
             known[:], at[:] = False, 0
         if not known.all():
-            data, new = buf.tobytes(), np.flatnonzero(~known)
+            new = np.flatnonzero(~known)
             ids, sizes = self._encode_new([data[a:b] for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist())])
             begin = len(self.flat) + np.cumsum(sizes) - sizes
             self.flat = np.concatenate([self.flat, ids])
