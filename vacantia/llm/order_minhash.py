@@ -23,8 +23,8 @@ from vacantia.llm.components import components
 from vacantia.llm.shared import written
 
 SHINGLE = 5
-BANDS = 32
-LEAST = 5
+BANDS = 48
+LEAST = 8
 SIMILARITY = 0.8
 STAR_ROUNDS = 6
 BROADCAST_IDS = 300_000
@@ -174,31 +174,62 @@ def _verifier(threshold: float):
     return run
 
 
+def _bounded(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written; broadcast in the next join while it has at most BROADCAST_IDS rows."""
+    frame = written(frame, name)
+    return F.broadcast(frame) if frame.count() <= BROADCAST_IDS else frame
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """Those of the pairs (a, b) whose texts are similar; a hot first text is split over salts, each with its copy."""
     members = pairs.select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b"), F.lit(SALT_ROWS)).alias("salt"))
-    centres = members.select("a", F.col("a").alias("id"), "salt").distinct()
-    rows = members.unionByName(centres).join(texts, "id").select("a", "id", "text", "salt")
-    dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("id") != F.col("a"))
+    centres = members.select("a", F.col("a").alias("id"), "salt")
+    asked = _bounded(members.unionByName(centres).distinct(), "pairs")
+    dealt = (texts.join(asked, "id").select("a", "id", "text", "salt").repartition("a", "salt")
+             .sortWithinPartitions("a", "salt", F.col("id") != F.col("a")))
     return dealt.select("a", "id", "text").mapInArrow(_verifier(threshold), "a long, b long")
 
 
-def _alike(n: str, m: str, threshold: float):
-    """Whether two word counts allow the similarity at all: the shorter text has that share of the longer's shingles."""
+def _shared_shingles(text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in words.slices(batch, text):
+                _, _, _, hashes, first = words.sliced_words(texts)
+                found = [labelled(shingles(hashes[a:b])).view(np.int64) for a, b in zip(first[:-1], first[1:])]
+                ids = np.repeat(np.array(batch.column(0).slice(at, len(texts))), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found))], names=["id", "shingle"])
+    return run
+
+
+def private_shingles(texts: DataFrame) -> DataFrame:
+    """(id, u): the shingles of each text that no other of the texts has, where there are any."""
+    rows = texts.select("id", "text").mapInArrow(_shared_shingles("text"), "id long, shingle long")
+    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where(F.col("c") == 1)
+    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("u"))
+
+
+def _alike(n: str, u: str, m: str, v: str, threshold: float):
+    """Whether two texts can be similar at all, by their words and private shingles.
+
+    They share no more shingles than either has that are not private; the share of that in their union bounds the
+    similarity from above, so nothing similar is left out.
+    """
     a, b = F.col(n) - (SHINGLE - 1), F.col(m) - (SHINGLE - 1)
-    return (F.least(a, b) > 0) & (F.least(a, b) >= F.lit(threshold - 1e-9) * F.greatest(a, b))
+    both = F.least(a - F.col(u), b - F.col(v))
+    return (both > 0) & (both >= F.lit(threshold - 1e-9) * (a + b - both))
 
 
 def _star(members: DataFrame, threshold: float) -> DataFrame:
     """Pairs of every bucket's least member with its others, once each."""
-    return (members.where((F.col("id") != F.col("low.id")) & _alike("n", "low.n", threshold))
+    low = members.groupBy("token").agg(F.min(F.struct("id", "n", "u")).alias("low"))
+    return (members.join(low, "token").where((F.col("id") != F.col("low.id")) & _alike("n", "u", "low.n", "low.u", threshold))
             .select(F.col("low.id").alias("a"), F.col("id").alias("b")).distinct())
 
 
 def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members of buckets that still hold several components, with their component `c` and the bucket's first `c_low`."""
-    found = members.join(components(links).select(F.col("node").alias("id"), "component"), "id", "left").select(
-        "token", "id", "n", F.coalesce("component", "id").alias("c"))
+    known = _bounded(components(links).select(F.col("node").alias("id"), "component"), "components")
+    found = members.join(known, "id", "left").select("token", "id", "n", "u", F.coalesce("component", "id").alias("c"))
     several = (found.groupBy("token").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high"), F.count(F.lit(1)).alias("size"))
                .where(F.col("c_low") != F.col("c_high")))
     return written(found.join(several.drop("c_high"), "token"), "mixed")
@@ -207,21 +238,24 @@ def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
 def similar_links(members: DataFrame, texts: DataFrame, documents: int, threshold: float) -> DataFrame:
     """Links that connect all members of a bucket which any chain of similar members of it connects."""
     links = written(verified(_star(members, threshold), texts, threshold), "links")
-    for turn in range(STAR_ROUNDS):
+    before = float("inf")
+    for turn in range(STAR_ROUNDS + 1):
         mixed = _mixed(members, links)
         rest = mixed.where(F.col("c") != F.col("c_low"))
         pairs = rest.agg(F.sum(F.col("size").cast("double"))).first()[0] or 0.0
-        if pairs <= 4.0 * documents:
+        if pairs <= 4.0 * documents or pairs > before / 2 or turn == STAR_ROUNDS:
             break
+        before = pairs
         # Too many for pairs yet: another star, around some member that the first did not reach.
-        centres = rest.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "c")).alias("low"))
-        again = (mixed.join(centres, "token").where((F.col("c") != F.col("low.c")) & _alike("n", "low.n", threshold))
+        centres = rest.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "u", "c")).alias("low"))
+        again = (mixed.join(centres, "token").where((F.col("c") != F.col("low.c")) & _alike("n", "u", "low.n", "low.u", threshold))
                  .select(F.col("low.id").alias("a"), F.col("id").alias("b")).distinct())
         links = written(links.unionByName(verified(again, texts, threshold)), "links")
-    mixed = mixed.select("token", "id", "n", "c", "c_low")
-    rest = mixed.where(F.col("c") != F.col("c_low")).select("token", F.col("id").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"))
+    mixed = mixed.select("token", "id", "n", "u", "c", "c_low")
+    rest = mixed.where(F.col("c") != F.col("c_low")).select(
+        "token", F.col("id").alias("a"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("c").alias("d"))
     both = (F.col("c") != F.col("d")) & ((F.col("c") == F.col("c_low")) | (F.col("a") < F.col("id")))
-    left = rest.join(mixed, "token").where(both & _alike("n", "m", threshold)).select("a", F.col("id").alias("b")).distinct()
+    left = rest.join(mixed, "token").where(both & _alike("n", "u", "m", "v", threshold)).select("a", F.col("id").alias("b")).distinct()
     return links.unionByName(verified(left, texts, threshold))
 
 
@@ -237,21 +271,26 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.md5(filled).alias("digest"), filled.alias("text"))
     sketches = written(rows.mapInArrow(_sketcher("text"), "id long, digest string, sketch array<long>, n long"), "sketches")
     firsts = sketches.groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("f"))
+    owners = written(sketches.select("id", "digest").join(firsts.select(F.col("f.id").alias("owner"), "digest"), "digest")
+                     .select("id", "owner").distinct(), "owners")
     firsts = written(firsts.select("f.*", "digest").groupBy("id").agg(F.min(F.struct("digest", "n", "sketch")).alias("f"))
                      .select("id", "f.*"), "firsts")
-    copies = sketches.groupBy("digest").agg(F.min("id").alias("a")).join(sketches.select("digest", "id"), "digest")
-    copies = copies.where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b")).distinct()
     tokens = firsts.where(F.col("n") >= SHINGLE).select("id", "n", F.explode("sketch").alias("token"))
-    several = tokens.groupBy("token").agg(F.min(F.struct("id", "n")).alias("low"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
+    several = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
     members = written(tokens.join(several.drop("c"), "token"), "members")
-    ids = members.select("id").distinct().join(firsts.select("id", "digest"), "id")
-    ids = written(ids, "ids")
-    count = ids.count()
-    texts = written(rows.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, ["id", "digest"]).select("id", "text"), "texts")
+    ids = _bounded(members.select("id").distinct().join(firsts.select("id", "digest"), "id"), "ids")
+    texts = written(rows.join(ids, ["id", "digest"]).select("id", "text").distinct(), "texts")
+    # Private shingles rule out most pairs of loosely related texts before any is formed.
+    private = _bounded(private_shingles(texts), "private")
+    members = members.join(private, "id", "left").select("token", "id", "n", F.coalesce("u", F.lit(0)).alias("u"))
+    # With more private ones than this a text is like no other, whatever the other has.
+    members = written(members.where(F.col("u") <= (1 - threshold + 1e-9) * (F.col("n") - (SHINGLE - 1))), "members")
     links = similar_links(members, texts, firsts.count(), threshold)
-    found = components(links.unionByName(copies))
-    every = sketches.select("id").distinct().join(found.withColumnRenamed("node", "id"), "id", "left")
-    classes = written(every.select("id", F.coalesce("component", "id").alias("class_id")), "classes")
+    # Only a key with several texts has several owners; they belong together.
+    least = owners.groupBy("id").agg(F.min("owner").alias("a"), F.max("owner").alias("z")).where(F.col("a") != F.col("z"))
+    found = components(links.unionByName(owners.join(least, "id").select("a", F.col("owner").alias("b"))))
+    every = owners.groupBy("id").agg(F.min("owner").alias("owner")).join(found.withColumnRenamed("node", "owner"), "owner", "left")
+    classes = written(every.select("id", F.coalesce("component", "owner").alias("class_id")), "classes")
     sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     return classes.join(sizes, "class_id").select(F.col("id").alias(key), "class_id", "class_size")
 
