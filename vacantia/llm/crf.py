@@ -190,7 +190,7 @@ def fit(features: np.ndarray, first: np.ndarray, labels: np.ndarray, steps: int
     """Maximum likelihood with a ridge, by gradient ascent with step sizes per weight (AdaGrad)."""
     x, f = features.astype(float), features.shape[1]
     if not len(x):
-        return Crf(np.zeros((f, 2)), np.zeros((2, 2)), np.array([0.0, 1.0]))  # without examples all lines are content
+        return Crf(np.tile([0.0, 1.0], (f, 1)), np.zeros((2, 2)), np.zeros(2))  # without examples all lines are content
     truth = np.eye(2)[labels]
     heads = first[:-1][np.diff(first) > 0]
     follow = np.setdiff1d(np.arange(len(x)), heads)
