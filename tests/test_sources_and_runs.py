@@ -49,6 +49,20 @@ def test_prepare_from_files(spark, raw_folder, tmp_path):
         prepare.require_rows(prepare.prepare_postings(raw.filter("job_id = '2'"), skills))
 
 
+def test_short_lines_stay_and_long_lines_go(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('a,b,c\n1,A,1\n2,B\n3,C,1,9\n4,D,1\n5,E,1,\n6,"two\nlines",\n7\n')
+    got = [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "x.csv"), ["a", "c", "b", "none"]).collect()]
+    assert got == [("1", "1", "A", None), ("2", None, "B", None), ("4", "1", "D", None), ("5", "1", "E", None), ("6", None, "two\nlines", None), ("7", None, None, None)]
+    (tmp_path / "y.csv").write_text("a,b\n1,A\n2\n3,C,9\n")
+    assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "y.csv"), ["a", "b"], one_line=True).collect()] == [("1", "A"), ("2", None)]
+
+
+def test_latency_of_requests_without_endpoint(frame):
+    rows = frame([(None, 2.0, False), (None, 4.0, True), ("a", 1.0, False)], "endpoint string, latency_ms double, is_error boolean")
+    got = {r["endpoint"]: tuple(r)[1:] for r in runs.latency_summary(rows).collect()}
+    assert got[None] == (2, 1, 3.0, 3.0, 3.9, 3.98) and got["a"] == (1, 0, 1.0, 1.0, 1.0, 1.0)
+
+
 def test_missing_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         tables.load_postings(spark, str(tmp_path))
@@ -92,9 +106,10 @@ def test_freshness(frame):
     got = {r["pipeline_name"]: tuple(r)[1:] for r in runs.freshness(
         frame(rows, "pipeline_name string, status string, finished_at timestamp_ntz"), "2024-01-02 01:00:00").collect()}
     assert got == {"a": (True, True, 25.0), "b": (False, None, None), "c": (True, False, 1.5)}
-    meta = frame([("x", "2024-01-01T00:00:00"), ("y", "soon"), ("z", None)], "artifact string, generated_at string")
+    meta = frame([("x", "2024-01-01T00:00:00"), ("y", "soon"), ("z", None), ("o", "2024-01-01T00:00:00+05:00"), ("u", "2024-01-01T06:00:00Z")], "artifact string, generated_at string")
     got = {r["artifact"]: tuple(r)[1:] for r in runs.metadata_freshness(meta, "2024-01-01 12:00:00").collect()}
-    assert got == {"x": (True, False, 12.0), "y": (True, None, None), "z": (False, None, None)}
+    assert got == {"x": (True, False, 12.0), "y": (True, None, None), "z": (False, None, None),
+                   "o": (True, False, 17.0), "u": (True, False, 6.0)}
 
 
 SNAPSHOT = ("ordinal long, title string, company string, location string, category string, seniority string, "

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -47,17 +49,33 @@ def test_plans_equal_a_full_scan_with_many_copies(frame, k):
     assert found(vectors.nearest_jobs(v, k, block_rows=50)) == expected
 
 
-def test_tiles_do_not_change_the_result(frame, monkeypatch):
+def test_tiles_do_not_change_the_result(monkeypatch):
     rng = np.random.default_rng(1)
-    best, whole = vectors._Best(5), vectors._Best(5)
-    q, c = rng.normal(size=(30, 4)), np.round(rng.normal(size=(500, 4)), 1)
-    ids = [np.arange(500)]
-    vectors._scan(whole, q, c, ids, None)
+    q, c = rng.normal(size=(30, 4)), np.round(rng.normal(size=(9000, 4)), 1)
+    c[::3] = c[0]
+    whole = vectors._scan(q, c, [np.arange(9000)], None, 5)
     monkeypatch.setattr(vectors, "TILE_CELLS", 700)
-    for part in range(0, 500, 37):
-        vectors._scan(best, q, c[part : part + 37], [ids[0][part : part + 37]], None)
-    order = np.lexsort([whole.ids[0], -whole.score, whole.query])
-    assert (best.ids[0] == whole.ids[0][order]).all() and (best.query == whole.query[order]).all()
+    tiled = vectors._scan(q, c, [np.arange(9000)], None, 5)
+    scores = np.round(q @ c.T, 9)
+    expected = [sorted(range(9000), key=lambda j: (-row[j], j))[:5] for row in scores]
+    for found in (whole, tiled):
+        assert found[2][0].reshape(30, 5).tolist() == expected
+
+
+def test_large_block_is_quick():
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(8192, 64))
+    start = time.perf_counter()
+    row, _, _ = vectors._scan(m, m, [np.arange(8192)], None, 200)
+    assert len(row) == 8192 * 200 and time.perf_counter() - start < 30
+
+
+def test_null_and_short_vectors(frame):
+    rows = frame([(1, [1.0, 0.0, 0.0]), (2, None), (3, [0.0, 1.0, 0.0]), (None, [1.0, 0.0, 0.0])], SCHEMA)
+    got = {(r["job_id"], r["candidate_id"]): r["raw_score"] for r in vectors.nearest_jobs(rows, 5).collect()}
+    assert got == {(1, 3): 0.0, (3, 1): 0.0}
+    with pytest.raises(ValueError):
+        vectors.nearest_jobs(frame([(1, [1.0, 0.0]), (2, [1.0])], SCHEMA), 5)
 
 
 def test_targets_and_unknown_id(frame):
@@ -65,6 +83,8 @@ def test_targets_and_unknown_id(frame):
     two = frame([(2,)], "job_id long")
     assert set(found(vectors.nearest_jobs(v, 3, two))) == {2}
     assert vectors.require_known(two, v) is two
+    with pytest.raises(KeyError):
+        vectors.nearest_jobs(v, 3, frame([(9,)], "job_id long"))
     with pytest.raises(KeyError):
         vectors.require_known(frame([(9,)], "job_id long"), v)
 

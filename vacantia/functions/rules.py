@@ -16,7 +16,6 @@ RETRIEVAL_FACTOR = 4
 RATE_LIMIT_REQUESTS = 20
 RATE_LIMIT_WINDOW_SECONDS = 60
 STALE_AFTER_HOURS = 24
-MAX_PREPARED_ROWS = 800
 
 # --- fixed values: score weights ------------------------------------------------------
 WEIGHT_EMBEDDING = 0.70

@@ -105,11 +105,13 @@ def whole_word_pattern(phrases: list[str]) -> str:
 
 
 def seniority_from_text(
-    level: Column, title: Column, description: Column, rule_list: list[dict] | None = None, whole_words: bool = False
+    level: Column, title: Column, description: Column, rule_list: list[dict] | None = None, whole_words: bool = False,
+    description_chars: int | None = rules.DESCRIPTION_CHARS_FOR_SENIORITY,
 ) -> Column:
-    """First rule that matches level + title; the start of the description only when both are empty."""
+    """First rule that matches level + title; the start of the description (None: all of it) only when both are empty."""
     head = F.lower(F.concat_ws(" ", clean_text(level), clean_text(title)))
-    body = F.lower(F.substring(clean_text(description), 1, rules.DESCRIPTION_CHARS_FOR_SENIORITY))
+    whole = clean_text(description)
+    body = F.lower(whole if description_chars is None else F.substring(whole, 1, description_chars))
     text = F.coalesce(blank_to_null(head), body)
     result = None
     for rule in rules.SENIORITY_RULES if rule_list is None else rule_list:

@@ -160,14 +160,21 @@ def stamp_touched(jobs: DataFrame, touched: DataFrame, column: str, now: str) ->
     )
 
 
+DIRTY = {
+    "process": "processing_status = 'pending'",
+    "embed": "processing_status = 'processed' AND embedded_at IS NULL",
+    "chunk": "processing_status = 'processed' AND chunked_at IS NULL",
+}
+
+
 def dirty_rows(jobs: DataFrame, stage: str) -> DataFrame:
     """Rows a stage still has to handle: process, embed or chunk."""
-    conditions = {
-        "process": "processing_status = 'pending'",
-        "embed": "processing_status = 'processed' AND embedded_at IS NULL",
-        "chunk": "processing_status = 'processed' AND chunked_at IS NULL",
-    }
-    return jobs.filter(conditions[stage])
+    return jobs.filter(DIRTY[stage])
+
+
+def stamp_dirty(jobs: DataFrame, stage: str, column: str, now: str) -> DataFrame:
+    """Set `column` of the rows that a stage had to handle, without a join."""
+    return jobs.withColumn(column, F.when(F.expr(DIRTY[stage]), moment(now)).otherwise(F.col(column)))
 
 
 def dirty_counts(jobs: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def usable(rows: DataFrame, minimum: int = rules.MIN_PREPARED_DESCRIPTION) -> Da
 
 
 def prepare_postings(
-    raw: DataFrame, job_skills: DataFrame, max_rows: int | None = rules.MAX_PREPARED_ROWS, whole_words: bool = False
+    raw: DataFrame, job_skills: DataFrame, max_rows: int | None = None, whole_words: bool = False
 ) -> DataFrame:
     """Technical postings, newest first, at most `max_rows` (None for all)."""
     rows = first_by_key(usable(normalize_raw(raw, job_skills, whole_words)), "url")

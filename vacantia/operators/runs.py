@@ -19,6 +19,8 @@ RUNS_SCHEMA = (
     "started_at timestamp_ntz, finished_at timestamp_ntz"
 )
 
+GROUP_SALTS = 64
+
 
 def utc_now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
@@ -101,14 +103,28 @@ def freshness(runs: DataFrame, now: str) -> DataFrame:
 
 
 def metadata_freshness(metadata: DataFrame, now: str) -> DataFrame:
-    """Same for written metadata rows whose time is a text; unreadable text is available with unknown age."""
+    """Same for written metadata rows whose time is a text; unreadable text is available with unknown age.
+
+    A time with an offset is an instant and is compared in UTC, like `now`; one without is taken to be in UTC.
+    """
     at = F.lit(now).cast("timestamp_ntz")
-    age, stale = staleness(F.col("generated_at").try_cast("timestamp_ntz"), at)
+    text = F.trim("generated_at")
+    local = text.try_cast("timestamp").cast("timestamp_ntz")
+    instant = F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
+    has_offset = text.rlike(r":\d\d(\.\d+)?\s*(Z|UTC|[+-]\d\d:?\d\d)$")
+    age, stale = staleness(F.when(has_offset, instant).otherwise(text.try_cast("timestamp_ntz")), at)
     return metadata.select(
         "artifact", F.col("generated_at").isNotNull().alias("available"), stale.alias("stale"), age.alias("age_hours")
     )
 
 
+def _met(base: DataFrame, sketch: DataFrame, group: str) -> DataFrame:
+    """Values with their group's few sketch rows; a hot group is split over salts, each with a copy of the sketch."""
+    values = base.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(GROUP_SALTS)).cast("int"))
+    copies = sketch.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(GROUP_SALTS - 1))))
+    return values.join(copies, [group, "_salt"]).drop("_salt")
+
+
 def exact_percentiles(
     rows: DataFrame, group: str, value: str, percentiles: dict[str, float], accuracy: int = 10_000
 ) -> DataFrame:
@@ -121,9 +137,11 @@ def exact_percentiles(
     names = list(percentiles)
     margin = 10.0 / accuracy
     bounds = [max(0.0, p - margin) for p in percentiles.values()] + [min(1.0, p + margin) for p in percentiles.values()]
-    base = rows.select(group, F.col(value).alias("_v")).filter("_v IS NOT NULL")
+    outer, group = group, "_g"
+    # A struct equals another one with the same null, so rows without a group are a group of their own.
+    base = rows.select(F.struct(outer).alias(group), F.col(value).alias("_v")).filter("_v IS NOT NULL")
     sketch = base.groupBy(group).agg(F.percentile_approx("_v", bounds, accuracy).alias("_b"))
-    joined = base.join(sketch, group)
+    joined = _met(base, sketch, group)
 
     def low(i: int) -> Column:
         return F.get("_b", F.lit(i))
@@ -156,7 +174,7 @@ def exact_percentiles(
             )
         )
     wanted = counted.select(group, F.explode(F.array(*ranges)).alias("_r")).select(group, "_r.*")
-    inside = base.join(wanted, group).filter("_v >= low AND _v <= high")
+    inside = _met(base, wanted, group).filter("_v >= low AND _v <= high")
     per_value = inside.groupBy(group, "name", "first", "last", "part", "skip", "_v").agg(F.count("*").alias("_c"))
     running = Window.partitionBy(group, "name").orderBy("_v")
     ranked = per_value.withColumn("_to", F.col("skip") + F.sum("_c").over(running))
@@ -168,7 +186,8 @@ def exact_percentiles(
         .agg(F.max(F.when(at_first, F.col("_v"))).alias("_a"), F.max(F.when(at_last, F.col("_v"))).alias("_b"))
         .withColumn("_p", F.col("_a") + F.col("part") * (F.col("_b") - F.col("_a")))
     )
-    return points.groupBy(group).agg(*[F.max(F.when(F.col("name") == n, F.col("_p"))).alias(n) for n in names])
+    found = points.groupBy(group).agg(*[F.max(F.when(F.col("name") == n, F.col("_p"))).alias(n) for n in names])
+    return found.select(F.col(f"{group}.{outer}").alias(outer), *names)
 
 
 def latency_summary(requests: DataFrame) -> DataFrame:
@@ -179,7 +198,8 @@ def latency_summary(requests: DataFrame) -> DataFrame:
         F.avg("latency_ms").alias("mean_ms"),
     )
     exact = exact_percentiles(requests, "endpoint", "latency_ms", {"p50_ms": 0.50, "p95_ms": 0.95, "p99_ms": 0.99})
-    return basic.join(exact, "endpoint", "left").select(
+    exact = exact.withColumnRenamed("endpoint", "_endpoint")
+    return basic.join(exact, F.col("endpoint").eqNullSafe(F.col("_endpoint")), "left").select(
         "endpoint",
         "requests",
         "errors",

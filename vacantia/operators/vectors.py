@@ -1,11 +1,8 @@
 """Vectors: text embedding, integrity checks and exact nearest neighbours by inner product.
 
-Exact search has two plans, with equal results:
-
-* few queries (checked): the query matrix is broadcast and each task keeps the best k per query while it
-  streams its part of the corpus, so a task sends at most queries x k rows to the shuffle;
-* many queries: both sides are hashed into blocks of bounded size and every pair of blocks is one group.
-  A group sends at most k rows per query; no vector pair leaves the task otherwise.
+Exact search hashes both sides into blocks of bounded bytes, and every pair of blocks is one group.  A group keeps the
+best k corpus rows of each of its queries and sends nothing else to the shuffle.  Data without structure stays
+quadratic: each block of one side meets each block of the other.
 
 Scores are compared after rounding to nine digits, equal scores by id, so results do not depend on blocks.
 """
@@ -25,9 +22,7 @@ from pyspark.sql.window import Window
 from vacantia.functions import text
 
 DIMENSIONS = 256
-MAX_BROADCAST_PAIRS = 100_000
-MAX_BROADCAST_BYTES = 16 << 20
-MAX_BLOCK_ROWS = 65_536
+MAX_BLOCK_BYTES = 128 << 20
 TILE_CELLS = 4_000_000
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -128,97 +123,102 @@ def require_known(targets: DataFrame, vectors: DataFrame, id_column: str = "job_
     return targets
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """Vectors of a known width as rows; the caller has left out nulls and checked the lengths."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
 
 
 class _Best:
-    """Best k corpus rows per query over the tiles seen so far."""
+    """Best k corpus rows of each of a tile of queries over the corpus tiles seen so far."""
 
-    def __init__(self, k: int):
-        self.k = k
-        self.query = np.empty(0, np.int64)
-        self.score = np.empty(0, np.float64)
-        self.ids: list[np.ndarray] | None = None
+    def __init__(self, k: int, queries: int, id_count: int):
+        self.k, self.queries = k, queries
+        self.least = np.full(queries, -np.inf)  # the kth best score so far; lower ones cannot matter
+        self.query, self.score = np.empty(0, np.int64), np.empty(0, np.float64)
+        self.ids = [np.empty(0, np.int64) for _ in range(id_count)]
+        self.parts: list[tuple] = []
+        self.held = 0
 
-    def add(self, scores: np.ndarray, ids: list[np.ndarray], first_query: int = 0) -> None:
+    def add(self, scores: np.ndarray, ids: list[np.ndarray]) -> None:
         """`scores` is queries x corpus rows of one tile; -inf marks a pair to leave out."""
-        k = self.k
-        if scores.shape[1] > k:
-            kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-            keep = (scores >= kth) & (scores > -np.inf)
-        else:
-            keep = scores > -np.inf
-        row, column = np.nonzero(keep)
-        query = np.concatenate([self.query, row + first_query])
-        score = np.concatenate([self.score, scores[row, column]])
-        found = [values[column] for values in ids]
-        merged = found if self.ids is None else [np.concatenate([a, b]) for a, b in zip(self.ids, found)]
-        order = np.lexsort([*reversed(merged), -score, query])
-        query, score, merged = query[order], score[order], [m[order] for m in merged]
+        if scores.shape[1] > self.k:
+            kth = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
+            self.least = np.maximum(self.least, kth)
+        row, column = np.nonzero((scores >= self.least[:, None]) & (scores > -np.inf))
+        self.parts.append((row, scores[row, column], [values[column] for values in ids]))
+        self.held += len(row)
+        if self.held > 4 * self.k * self.queries:
+            self.settle()
+
+    def settle(self) -> None:
+        query = np.concatenate([self.query, *(p[0] for p in self.parts)])
+        score = np.concatenate([self.score, *(p[1] for p in self.parts)])
+        ids = [np.concatenate([old, *(p[2][i] for p in self.parts)]) for i, old in enumerate(self.ids)]
+        order = np.lexsort([*reversed(ids), -score, query])
+        query = query[order]
         place = np.arange(len(query)) - np.searchsorted(query, query, side="left")
-        best = place < k
-        self.query, self.score, self.ids = query[best], score[best], [m[best] for m in merged]
+        order, query, place = order[place < self.k], query[place < self.k], place[place < self.k]
+        self.query, self.score, self.ids = query, score[order], [values[order] for values in ids]
+        last = place == self.k - 1
+        self.least[query[last]] = np.maximum(self.least[query[last]], self.score[last])
+        self.parts, self.held = [], 0
 
 
 def _scan(
-    best: _Best, queries: np.ndarray, corpus: np.ndarray, ids: list[np.ndarray], own: np.ndarray | None
-) -> None:
-    """Score all queries against all corpus rows in tiles of bounded size; `own` holds ids to leave out."""
+    queries: np.ndarray, corpus: np.ndarray, ids: list[np.ndarray], own: np.ndarray | None, k: int
+) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Query row, score and ids of the best k of each query; tiles of queries outside, of the corpus inside."""
     width = max(1, min(len(corpus), 4096))
     height = max(1, TILE_CELLS // width)
-    for left in range(0, len(corpus), width):
-        part = [values[left : left + width] for values in ids]
-        for top in range(0, len(queries), height):
-            scores = np.round(queries[top : top + height] @ corpus[left : left + width].T, 9)
+    found = []
+    for top in range(0, len(queries), height):
+        tile = queries[top : top + height]
+        best = _Best(k, len(tile), len(ids))
+        for left in range(0, len(corpus), width):
+            part = [values[left : left + width] for values in ids]
+            scores = np.round(tile @ corpus[left : left + width].T, 9)
             if own is not None:
                 scores[own[top : top + height, None] == part[0][None, :]] = -np.inf
             scores[np.isnan(scores)] = -np.inf
-            best.add(scores, part, top)
-
+            best.add(scores, part)
+        best.settle()
+        found.append((best.query + top, best.score, best.ids))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0), [np.empty(0, np.int64) for _ in ids]
+    return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]),
+            [np.concatenate([f[2][i] for f in found]) for i in range(len(ids))])
 
-def _result(best: _Best, query_ids: np.ndarray, id_columns: list[str]) -> pa.RecordBatch:
-    ids = best.ids if best.ids is not None else [np.empty(0, np.int64) for _ in id_columns]
-    arrays = [pa.array(query_ids[best.query]), *[pa.array(v) for v in ids], pa.array(best.score)]
-    return pa.RecordBatch.from_arrays(arrays, names=["query_id", *id_columns, "raw_score"])
 
+def _measured(vectors: DataFrame) -> tuple[int, int]:
+    """Rows with a vector and their common width; an error if lengths differ or vectors are empty."""
+    size = F.size("embedding")
+    found = vectors.agg(F.count("*").alias("n"), F.min(size).alias("low"), F.max(size).alias("high")).first()
+    if found["n"] and (found["low"] != found["high"] or found["low"] < 1):
+        raise ValueError(f"vectors have between {found['low']} and {found['high']} dimensions")
+    return found["n"], found["low"] or 0
 
-def _broadcast_scan(query_table: pa.Table, corpus: DataFrame, id_columns: list[str], k: int, exclude: bool) -> DataFrame:
-    query_ids = query_table.column(0).to_numpy()
-    queries = _matrix(query_table.column(1))
-    shared = corpus.sparkSession.sparkContext.broadcast((query_ids, queries))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_ids, matrix = shared.value
-        best = _Best(k)
-        for batch in batches:
-            if batch.num_rows:
-                ids = [batch.column(i).to_numpy() for i in range(len(id_columns))]
-                _scan(best, matrix, _matrix(batch.column(len(id_columns))), ids, own_ids if exclude else None)
-        yield _result(best, own_ids, id_columns)
-
-    schema = ", ".join(["query_id bigint", *[f"{c} bigint" for c in id_columns], "raw_score double"])
-    return corpus.select(*[F.col(c).cast("bigint").alias(c) for c in id_columns], "embedding").mapInArrow(scan, schema)
-
-
-def _block_rows(rows: int, parallelism: int) -> int:
+def _block_rows(rows: int, width: int, parallelism: int) -> int:
     """Rows per block: small enough to give every core work, never above the memory bound."""
-    return max(1024, min(MAX_BLOCK_ROWS, math.ceil(rows / max(1, math.isqrt(parallelism)))))
+    most = max(1, MAX_BLOCK_BYTES // (8 * max(1, width)))
+    return min(most, max(1024, math.ceil(rows / max(1, math.isqrt(parallelism)))))
 
 
 def _blocked_scan(
     queries: DataFrame, corpus: DataFrame, id_columns: list[str], k: int, exclude: bool, block_rows: int | None
 ) -> DataFrame:
     parallelism = corpus.sparkSession.sparkContext.defaultParallelism
-    sizes = [queries.count(), corpus.count()]
-    across, down = (max(1, math.ceil(n / (block_rows or _block_rows(n, parallelism)))) for n in sizes)
+    (n, width), (m, corpus_width) = _measured(queries), _measured(corpus)
+    if n and m and width != corpus_width:
+        raise ValueError(f"queries have {width} dimensions, the corpus has {corpus_width}")
+    across, down = (max(1, math.ceil(x / (block_rows or _block_rows(x, width, parallelism)))) for x in (n, m))
     no_id = F.lit(None).cast("bigint")
     left = queries.select(
         F.pmod(F.xxhash64("query_id"), F.lit(across)).alias("_row"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(down - 1).cast("bigint"))).alias("_column"),
+        F.lit(True).alias("_asks"),
         F.col("query_id").cast("bigint").alias("query_id"),
         *[no_id.alias(c) for c in id_columns],
         "embedding",
@@ -226,20 +226,21 @@ def _blocked_scan(
     right = corpus.select(
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(across - 1).cast("bigint"))).alias("_row"),
         F.pmod(F.xxhash64(*id_columns), F.lit(down)).alias("_column"),
+        F.lit(False).alias("_asks"),
         no_id.alias("query_id"),
         *[F.col(c).cast("bigint").alias(c) for c in id_columns],
         "embedding",
     )
 
     def scan(block: pa.Table) -> pa.Table:
-        is_query = pc.is_valid(block.column("query_id"))
-        q, c = block.filter(is_query), block.filter(pc.invert(is_query))
+        asks = block.column("_asks")
+        q, c = block.filter(asks), block.filter(pc.invert(asks))
         query_ids = q.column("query_id").to_numpy()
         ids = [c.column(name).to_numpy() for name in id_columns]
-        best = _Best(k)
-        if len(query_ids) and c.num_rows:
-            _scan(best, _matrix(q.column("embedding")), _matrix(c.column("embedding")), ids, query_ids if exclude else None)
-        return pa.Table.from_batches([_result(best, query_ids, id_columns)])
+        row, score, found = _scan(_matrix(q.column("embedding"), width), _matrix(c.column("embedding"), width), ids,
+                                  query_ids if exclude else None, k)
+        return pa.table([pa.array(query_ids[row], pa.int64()), *[pa.array(v, pa.int64()) for v in found], pa.array(score)],
+                        names=["query_id", *id_columns, "raw_score"])
 
     schema = ", ".join(["query_id bigint", *[f"{c} bigint" for c in id_columns], "raw_score double"])
     return left.unionByName(right).groupBy("_row", "_column").applyInArrow(scan, schema)
@@ -255,29 +256,26 @@ def nearest(
 ) -> DataFrame:
     """Exact top k corpus rows per query: query_id, id columns, raw_score and rank (1 is best).
 
-    `queries` has query_id and embedding, `corpus` the bigint id columns and embedding.  A given `block_rows`
-    forces the blocked plan.
+    `queries` has query_id and embedding, `corpus` the bigint id columns and embedding.  Rows whose id or vector is null
+    take no part; vectors of unequal length are an error.  `block_rows` sets the size of the blocks.
     """
     if k <= 0:
         columns = ", ".join(["query_id bigint", *[f"{c} bigint" for c in id_columns], "raw_score double", "rank int"])
         return corpus.sparkSession.createDataFrame([], columns)
-    queries = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding")
-    few = None
-    if block_rows is None:
-        most = max(1, MAX_BROADCAST_PAIRS // k)
-        few = queries.limit(most + 1).toArrow()
-        if few.num_rows > most or few.nbytes > MAX_BROADCAST_BYTES:
-            few = None
-    if few is not None:
-        partial = _broadcast_scan(few, corpus, id_columns, k, exclude_same_id)
-    else:
-        partial = _blocked_scan(queries, corpus, id_columns, k, exclude_same_id, block_rows)
+    queries = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding").dropna()
+    corpus = corpus.select(*id_columns, "embedding").dropna()
+    partial = _blocked_scan(queries, corpus, id_columns, k, exclude_same_id, block_rows)
     order = Window.partitionBy("query_id").orderBy(F.col("raw_score").desc(), *id_columns)
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def nearest_jobs(vectors: DataFrame, k: int, targets: DataFrame | None = None, block_rows: int | None = None) -> DataFrame:
-    """Exact k nearest postings of each posting, itself excluded: job_id, candidate_id, raw_score, rank."""
+    """Exact k nearest postings of each posting, itself excluded: job_id, candidate_id, raw_score, rank.
+
+    A target without a row in `vectors` is an error.
+    """
+    if targets is not None:
+        require_known(targets, vectors)
     queries = vectors if targets is None else vectors.join(targets.select("job_id"), "job_id", "left_semi")
     found = nearest(
         queries.withColumnRenamed("job_id", "query_id"),

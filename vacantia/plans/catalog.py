@@ -29,6 +29,7 @@ from vacantia.sources import adapters
 NOW = "2024-03-01 00:00:00"
 EARLIER = "2024-02-01 00:00:00"
 TOP_K = 5
+NEWEST_ROWS = 100
 ADMIT_LIMIT = 2
 ADMIT_WINDOW = 6 * 3600
 
@@ -434,7 +435,7 @@ def prepare_postings(spark, folder):
 
 @query
 def prepare_newest(spark, folder):
-    return prepare.prepare_postings(adapters.raw_postings(spark, folder), adapters.job_skills(spark, folder))
+    return prepare.prepare_postings(adapters.raw_postings(spark, folder), adapters.job_skills(spark, folder), NEWEST_ROWS)
 
 
 @query

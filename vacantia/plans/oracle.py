@@ -508,7 +508,7 @@ SELECT *, row_number() OVER (PARTITION BY question_id, job_id ORDER BY final_ran
 SELECT *, {rnd('(epoch_us(finished_at) - epoch_us(started_at)) / 1000000', 3)} AS duration_seconds
 FROM run_log ORDER BY started_at DESC, id DESC LIMIT 10""", "run_log"),
         "prepare_postings": build("SELECT * EXCLUDE (place) FROM prepared", "prepared"),
-        "prepare_newest": build(f"SELECT * EXCLUDE (place) FROM prepared WHERE place <= {rules.MAX_PREPARED_ROWS}", "prepared"),
+        "prepare_newest": build(f"SELECT * EXCLUDE (place) FROM prepared WHERE place <= {catalog.NEWEST_ROWS}", "prepared"),
         "union_buckets": build("""
 SELECT url, ordinal, title, category, priority FROM (
 SELECT *, row_number() OVER (PARTITION BY url ORDER BY priority, ordinal) AS n FROM (

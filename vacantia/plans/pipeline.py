@@ -56,7 +56,7 @@ class Pipeline:
         try:
             metrics, counts = work()
         except Exception as error:
-            self.runs.finish(run, "failed", error_message=str(error)[:2000])
+            self.runs.finish(run, "failed", error_message=str(error))
             raise
         self.runs.finish(run, "success", metrics, **counts)
         return metrics
@@ -98,7 +98,7 @@ class Pipeline:
             dirty = touched.count()
             if ingest.should_rebuild(dirty, self.vectors.current() is not None):
                 self.vectors.write(replace_rows(old, embed_jobs(jobs, self.load_encoder), touched))
-                self.jobs.write(ingest.stamp_touched(jobs, touched, "embedded_at", now))
+                self.jobs.write(ingest.stamp_dirty(jobs, "embed", "embedded_at", now))
                 self._note("job_embeddings", now, self.vectors.read().count(), None)
             return {"embedded_jobs": dirty, "model_name": self.model_name}, {"output_rows": dirty, "updated_rows": dirty}
 
@@ -112,7 +112,7 @@ class Pipeline:
             if not ingest.should_rebuild(dirty, self.chunks.current() is not None):
                 return {"skipped_rebuild": True, "reason": "no_dirty_jobs", "dirty_jobs": 0}, {"output_rows": 0}
             self.chunks.write(replace_rows(self.chunks.read(), fresh_chunks(jobs, self.load_encoder), touched))
-            self.jobs.write(ingest.stamp_touched(jobs, touched, "chunked_at", now))
+            self.jobs.write(ingest.stamp_dirty(jobs, "chunk", "chunked_at", now))
             summary = chunk_ops.chunk_summary(self.chunks.read()).first().asDict()
             self._note("chunk_index", now, summary["job_count"], summary["chunk_count"])
             metrics = {"skipped_rebuild": False, "dirty_jobs": dirty, **summary}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -27,13 +25,11 @@ def build_session(master: str | None = None, app: str = "vacantia", **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is set (tests)."""
+    """The shared folder the cluster names; where none is set, as in tests, a folder below the warehouse."""
     context = spark.sparkContext
     current = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        current = tempfile.mkdtemp(prefix="vacantia-checkpoint-")
+        current = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(current)
     return current

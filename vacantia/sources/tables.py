@@ -13,7 +13,7 @@ RAW_COLUMNS = [
     "original_listed_time", "job_posting_url", "application_url", "skills_desc", "formatted_work_type",
     "work_type", "remote_allowed",
 ]
-BAD_LINE = "_bad_line"
+EXTRA_FIELD = "_extra_field"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -21,17 +21,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: list[str], one_line: bool = False) -> DataFrame:
     """The named columns of CSV files with headers, all as text; absent ones are null.
 
-    Quoted fields may hold line breaks.  Lines that do not fit the header are skipped and bad bytes replaced.
-    The header of the first file gives the positions, so columns may come in any order.
+    Quoted fields may hold line breaks.  Lines with fewer fields than the header keep what they have, lines with more are
+    skipped (an empty field at the end is not counted), and bad bytes are replaced.  The header of the first file gives the positions, so columns may come in any
+    order.  With `one_line`, for files whose quoted fields hold no line break, large files are read in splits.
     """
-    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+    options = {"header": True, "multiLine": not one_line, "quote": '"', "escape": '"', "encoding": "UTF-8"}
     header = spark.read.options(**options).csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, BAD_LINE]])
-    rows = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_LINE).schema(schema).csv(path)
-    good = rows.filter(F.col(BAD_LINE).isNull())
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, EXTRA_FIELD]])
+    rows = spark.read.options(**options, mode="PERMISSIVE").schema(schema).csv(path)
+    good = rows.filter(F.col(EXTRA_FIELD).isNull())
     present = {c: F.col(f"`{c}`") for c in header}
     return good.select(*[present.get(c, F.lit(None).cast("string")).alias(c) for c in columns])
 
@@ -69,12 +70,6 @@ def write_prepared(rows: DataFrame, path: str) -> None:
         rows.write.mode("overwrite").options(header=True, quote='"', escape='"', quoteAll=True, emptyValue="").csv(path)
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Hash rows by a unique key when a scan has fewer splits than there are cores; large tables stay as read."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
-
-
 class VersionedTable:
     """A Parquet table whose versions are folders; the newest complete one is current.
 
