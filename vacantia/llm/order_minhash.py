@@ -1,8 +1,9 @@
 """Near-duplicates by Order MinHash with banded alignment.
 
 A sketch holds BANDS tuples: for each hash function the LEAST occurrence-labelled five-word shingles of smallest hash,
-kept in text order.  Two texts with a tuple in common are candidates; they are linked if an alignment of their words
-inside a band keeps at least 0.8 of their shingles.  Exact copies are collapsed first.
+kept in text order.  Two texts with COMMON tuples in common are candidates; they are linked if an alignment of their words
+inside a band keeps at least 0.8 of their shingles.  Exact copies are collapsed first.  A pair of similarity s has a tuple
+in common with chance s**LEAST, so at 0.8 one pair in some nine thousand has fewer than two of 64, at 0.85 one in a billion.
 
 Large groups never become pairs: each bucket compares its members with one centre (a star, salted), stars repeat with other
 centres for members that did not join, and only what then still lies in different components is compared pairwise, so
@@ -23,11 +24,13 @@ from vacantia.llm.components import components
 from vacantia.llm.shared import written
 
 SHINGLE = 5
-BANDS = 48
+BANDS = 64
 LEAST = 8
+COMMON = 2
 SIMILARITY = 0.8
 STAR_ROUNDS = 6
 BROADCAST_IDS = 300_000
+BROADCAST_SKETCHES = 50_000  # half a KB each
 SALT_ROWS = 64
 _RANDOM = np.random.default_rng(20240101)
 _MULTIPLY = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -235,7 +238,7 @@ def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
     return written(found.join(several.drop("c_high"), "token"), "mixed")
 
 
-def similar_links(members: DataFrame, texts: DataFrame, documents: int, threshold: float) -> DataFrame:
+def similar_links(members: DataFrame, texts: DataFrame, sketches: DataFrame, documents: int, threshold: float) -> DataFrame:
     """Links that connect all members of a bucket which any chain of similar members of it connects."""
     links = written(verified(_star(members, threshold), texts, threshold), "links")
     before = float("inf")
@@ -251,11 +254,16 @@ def similar_links(members: DataFrame, texts: DataFrame, documents: int, threshol
         again = (mixed.join(centres, "token").where((F.col("c") != F.col("low.c")) & _alike("n", "u", "low.n", "low.u", threshold))
                  .select(F.col("low.id").alias("a"), F.col("id").alias("b")).distinct())
         links = written(links.unionByName(verified(again, texts, threshold)), "links")
-    mixed = mixed.select("token", "id", "n", "u", "c", "c_low")
+    own = written(sketches.join(mixed.select("id").distinct(), "id"), "mixed-sketches")
+    own = F.broadcast(own) if own.count() <= BROADCAST_SKETCHES else own
+    mixed = mixed.select("token", "id", "n", "u", "c", "c_low").join(own, "id")
     rest = mixed.where(F.col("c") != F.col("c_low")).select(
-        "token", F.col("id").alias("a"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("c").alias("d"))
+        "token", *[F.col(x).alias(y) for x, y in (("id", "a"), ("n", "m"), ("u", "v"), ("c", "d"), ("sketch", "other"))])
     both = (F.col("c") != F.col("d")) & ((F.col("c") == F.col("c_low")) | (F.col("a") < F.col("id")))
-    left = rest.join(mixed, "token").where(both & _alike("n", "u", "m", "v", threshold)).select("a", F.col("id").alias("b")).distinct()
+    # A pair meets in each of its common tuples; it counts in the least.
+    common = F.array_intersect("sketch", "other")
+    once = (F.size(common) >= COMMON) & (F.array_min(common) == F.col("token"))
+    left = rest.join(mixed, "token").where(both & _alike("n", "u", "m", "v", threshold) & once).select("a", F.col("id").alias("b"))
     return links.unionByName(verified(left, texts, threshold))
 
 
@@ -285,7 +293,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     members = members.join(private, "id", "left").select("token", "id", "n", F.coalesce("u", F.lit(0)).alias("u"))
     # With more private ones than this a text is like no other, whatever the other has.
     members = written(members.where(F.col("u") <= (1 - threshold + 1e-9) * (F.col("n") - (SHINGLE - 1))), "members")
-    links = similar_links(members, texts, firsts.count(), threshold)
+    links = similar_links(members, texts, firsts.select("id", "sketch"), firsts.count(), threshold)
     # Only a key with several texts has several owners; they belong together.
     least = owners.groupBy("id").agg(F.min("owner").alias("a"), F.max("owner").alias("z")).where(F.col("a") != F.col("z"))
     found = components(links.unionByName(owners.join(least, "id").select("a", F.col("owner").alias("b"))))
