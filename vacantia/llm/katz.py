@@ -242,7 +242,7 @@ def _deal(shared, text: str, buckets: int):
                 _by_document(rows, sums, grp)
                 lost = np.flatnonzero(mine)[out & (seen == 0)]
                 if len(lost):
-                    rows += _histories(history[lost], doc[lost], np.zeros(len(lost), np.uint8), grp, buckets)
+                    rows += _histories(history[lost], doc[lost], np.zeros(len(lost), np.uint8), np.full(len(lost), grp), buckets)
             keep = np.flatnonzero(~mine)
             token, history, doc, pair = token[keep], history[keep], doc[keep], pair[keep]
             spread = np.where(Frequent.place(table.words, token) >= 0, pair, words.mix(token))
@@ -260,13 +260,13 @@ def _deal(shared, text: str, buckets: int):
     return run
 
 
-def _histories(history: np.ndarray, doc: np.ndarray, seen: np.ndarray, grp: int, buckets: int) -> list[tuple]:
-    """Entries of held-out documents for the partition of their history."""
+def _histories(history: np.ndarray, doc: np.ndarray, seen: np.ndarray, grp: np.ndarray, buckets: int) -> list[tuple]:
+    """Entries of held-out documents, of any groups, for the partitions of their histories: a row for each."""
     bucket = words.mix(history) % np.uint64(buckets)
-    order = np.lexsort((history, bucket))
-    bucket, history, doc, seen = bucket[order], history[order], doc[order], seen[order]
+    order = np.lexsort((doc, grp, bucket))
+    bucket, history, doc, seen, grp = bucket[order], history[order], doc[order], seen[order], grp[order]
     cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64)).tolist()
-    return [(b, "asked", grp, pack(history[x:y], doc[x:y].astype(np.uint32), seen[x:y]), None)
+    return [(b, "asked", 0, pack(history[x:y], doc[x:y].astype(np.uint32), seen[x:y], grp[x:y]), None)
             for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y]
 
 
@@ -328,8 +328,8 @@ def _count_words(shared, buckets: int):
             for i, grp in enumerate(groups):
                 at = by[cuts[i]:cuts[i + 1]]
                 _by_document(rows, document_sums(sizes[i], doc[at], held[at], c[at], r[at]), grp)
-                out = at[held[at]]
-                rows += _histories(history[out], doc[out], (r[out] > 0).astype(np.uint8), grp, buckets)
+            out = np.flatnonzero(held)
+            rows += _histories(history[out], doc[out], (r[out] > 0).astype(np.uint8), np.array(groups, np.int64)[owner[out]], buckets)
             some = heads[seen > 0]
             before, number = np.unique(history[some], return_inverse=True)
             sums = history_sums(number, len(before), seen[seen > 0], c[some])
@@ -407,15 +407,21 @@ def _ask_histories(shared, model_shared):
                 order = np.argsort(stacked, kind="stable")
                 names, heads = np.unique(stacked[order], return_index=True)
                 alpha, count = model.alpha(np.add.reduceat(values[order], heads, axis=0))
-            for grp, payload in ((g, p) for kind, g, p in found if kind == "asked"):
-                history, doc, seen = unpack(payload)
-                often, at = Frequent.place(table.words, history), Frequent.place(names, history)
-                a, c = np.ones(len(history)), np.zeros(len(history))
-                a[at >= 0], c[at >= 0] = alpha[at[at >= 0]], count[at[at >= 0]]
-                a[often >= 0], c[often >= 0] = hot_alpha[often[often >= 0]], hot_count[often[often >= 0]]
-                sums = np.zeros((int(doc.max()) + 1, COLUMNS), np.int64)
-                np.add.at(sums[:, HISTORY], doc, _units(np.where(seen > 0, -np.log10(c + 1), np.log10(a))))
-                _by_document(rows, sums, grp)
+            asked = [unpack(p) for kind, _, p in found if kind == "asked"]
+            if not asked:
+                continue
+            history, doc, seen, grp = (np.concatenate([p[j] for p in asked]) for j in range(4))
+            often, at = Frequent.place(table.words, history), Frequent.place(names, history)
+            a, c = np.ones(len(history)), np.zeros(len(history))
+            a[at >= 0], c[at >= 0] = alpha[at[at >= 0]], count[at[at >= 0]]
+            a[often >= 0], c[often >= 0] = hot_alpha[often[often >= 0]], hot_count[often[often >= 0]]
+            part = _units(np.where(seen > 0, -np.log10(c + 1), np.log10(a)))
+            order = np.argsort(grp, kind="stable")
+            groups, heads = np.unique(grp[order], return_index=True)
+            for g, own in zip(groups.tolist(), np.split(order, heads[1:])):
+                sums = np.zeros((int(doc[own].max()) + 1, COLUMNS), np.int64)
+                np.add.at(sums[:, HISTORY], doc[own], part[own])
+                _by_document(rows, sums, g)
             if rows:
                 yield _rows(rows)
     return run
