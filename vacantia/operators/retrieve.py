@@ -10,10 +10,14 @@ from vacantia.functions import rules, scores, text
 from vacantia.operators.vectors import embed_texts, nearest
 
 
-def normalize_questions(questions: DataFrame) -> DataFrame:
-    """Trim all inputs, lower-case category and seniority; blank questions fail when the row is read."""
+def normalize_questions(questions: DataFrame, strict: bool = True) -> DataFrame:
+    """Trim all inputs, lower-case category and seniority.
+
+    A blank question fails when the row is read; without `strict` it is left out (see `blank_questions`).
+    """
     asked = text.trim_text(F.col("question"))
-    return questions.select(
+    kept = questions if strict else questions.filter(asked.isNotNull())
+    return kept.select(
         "question_id",
         F.coalesce(asked, F.raise_error(F.lit("question cannot be empty")).cast("string")).alias("question"),
         text.lower_label(F.col("category")).alias("category"),
@@ -22,15 +26,40 @@ def normalize_questions(questions: DataFrame) -> DataFrame:
     )
 
 
-def search_chunks(questions: DataFrame, chunks: DataFrame, k: int, load_encoder=None, block_rows: int | None = None) -> DataFrame:
-    """Top k passages per question with rounded vector and keyword scores.  `chunks` carries `embedding`."""
-    asked = questions.select(F.col("question_id").alias("query_id"), "question")
+def blank_questions(questions: DataFrame) -> DataFrame:
+    """The questions that `strict=False` leaves out, with the reason."""
+    blank = questions.filter(text.trim_text(F.col("question")).isNull())
+    return blank.select("question_id", F.lit("blank_question").alias("reason"))
+
+
+FILTERS = ("category", "location", "seniority")
+
+
+def _label_codes(rows: DataFrame, wanted: bool) -> list[Column]:
+    """A number for each filter label; null where a question does not ask for one."""
+    found = []
+    for name in FILTERS:
+        label = text.blank_to_null(F.col(name)) if wanted else F.coalesce(F.col(name), F.lit(""))
+        found.append(F.when(label.isNotNull(), F.xxhash64(F.lower(label))).alias(f"_label_{name}"))
+    return found
+
+
+def search_chunks(
+    questions: DataFrame, chunks: DataFrame, k: int, load_encoder=None, block_rows: int | None = None, prefilter: bool = False
+) -> DataFrame:
+    """Top k passages per question with rounded vector and keyword scores.  `chunks` carries `embedding`.
+
+    With `prefilter` only passages that match the question's filters compete for the k places.
+    """
+    labels = [f"_label_{name}" for name in FILTERS] if prefilter else []
+    asked = questions.select(F.col("question_id").alias("query_id"), "question", *(_label_codes(questions, True) if prefilter else []))
     hits = nearest(
         embed_texts(asked, "question", load_encoder),
-        chunks.select("job_id", "chunk_order", "embedding"),
+        chunks.select("job_id", "chunk_order", "embedding", *(_label_codes(chunks, False) if prefilter else [])),
         ["job_id", "chunk_order"],
         k,
         block_rows=block_rows,
+        labels=labels,
     ).withColumnRenamed("query_id", "question_id")
     words = questions.select("question_id", text.word_set(F.col("question")).alias("_words"))
     found = chunks.drop("embedding").withColumn("chunk_order", F.col("chunk_order").cast("bigint"))
@@ -70,21 +99,23 @@ def limit_per_job(hits: DataFrame, per_job: int = 2) -> DataFrame:
 
 
 def retrieve(
-    questions: DataFrame, chunks: DataFrame, top_k: int = 3, load_encoder=None, block_rows: int | None = None
+    questions: DataFrame, chunks: DataFrame, top_k: int = 3, load_encoder=None, block_rows: int | None = None,
+    prefilter: bool = False, strict: bool = True,
 ) -> DataFrame:
     """Retrieve, filter, re-rank, keep one passage per posting and the top_k of them, per question.
 
-    Filters run after the retrieval cut of 4 x top_k, so fewer than top_k rows may remain.
+    Filters run after the retrieval cut of 4 x top_k, so fewer than top_k rows may remain; with `prefilter` they run
+    before it.  Without `strict` blank questions are left out instead of failing.
     """
     if not 1 <= top_k <= 10:
         raise ValueError("top_k must be between 1 and 10")
-    asked = normalize_questions(questions)
+    asked = normalize_questions(questions, strict)
     wants = asked.select(
         "question_id",
         "question",
         *[F.col(c).alias(f"want_{c}") for c in ("category", "location", "seniority")],
     )
-    hits = search_chunks(asked, chunks, top_k * rules.RETRIEVAL_FACTOR, load_encoder, block_rows)
+    hits = search_chunks(asked, chunks, top_k * rules.RETRIEVAL_FACTOR, load_encoder, block_rows, prefilter)
     kept = hits.join(wants, "question_id").filter(matches_filters())
     one_each = limit_per_job(rerank(kept), 1)
     order = Window.partitionBy("question_id").orderBy("final_rank")

@@ -167,9 +167,13 @@ class _Best:
 
 
 def _scan(
-    queries: np.ndarray, corpus: np.ndarray, ids: list[np.ndarray], own: np.ndarray | None, k: int
+    queries: np.ndarray, corpus: np.ndarray, ids: list[np.ndarray], own: np.ndarray | None, k: int,
+    labels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None,
 ) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Query row, score and ids of the best k of each query; tiles of queries outside, of the corpus inside."""
+    """Query row, score and ids of the best k of each query; tiles of queries outside, of the corpus inside.
+
+    `labels` holds for each label which queries want one, which they want, and what the corpus rows have.
+    """
     width = max(1, min(len(corpus), 4096))
     height = max(1, TILE_CELLS // width)
     found = []
@@ -182,6 +186,9 @@ def _scan(
             if own is not None:
                 scores[own[top : top + height, None] == part[0][None, :]] = -np.inf
             scores[np.isnan(scores)] = -np.inf
+            for asks, want, have in labels or []:
+                other = want[top : top + height, None] != have[None, left : left + width]
+                scores[asks[top : top + height, None] & other] = -np.inf
             best.add(scores, part)
         best.settle()
         found.append((best.query + top, best.score, best.ids))
@@ -207,7 +214,8 @@ def _block_rows(rows: int, width: int, parallelism: int) -> int:
 
 
 def _blocked_scan(
-    queries: DataFrame, corpus: DataFrame, id_columns: list[str], k: int, exclude: bool, block_rows: int | None
+    queries: DataFrame, corpus: DataFrame, id_columns: list[str], k: int, exclude: bool, block_rows: int | None,
+    labels: list[str],
 ) -> DataFrame:
     parallelism = corpus.sparkSession.sparkContext.defaultParallelism
     (n, width), (m, corpus_width) = _measured(queries), _measured(corpus)
@@ -221,6 +229,7 @@ def _blocked_scan(
         F.lit(True).alias("_asks"),
         F.col("query_id").cast("bigint").alias("query_id"),
         *[no_id.alias(c) for c in id_columns],
+        *labels,
         "embedding",
     )
     right = corpus.select(
@@ -229,6 +238,7 @@ def _blocked_scan(
         F.lit(False).alias("_asks"),
         no_id.alias("query_id"),
         *[F.col(c).cast("bigint").alias(c) for c in id_columns],
+        *labels,
         "embedding",
     )
 
@@ -238,7 +248,9 @@ def _blocked_scan(
         query_ids = q.column("query_id").to_numpy()
         ids = [c.column(name).to_numpy() for name in id_columns]
         row, score, found = _scan(_matrix(q.column("embedding"), width), _matrix(c.column("embedding"), width), ids,
-                                  query_ids if exclude else None, k)
+                                  query_ids if exclude else None, k,
+                                  [(pc.is_valid(q.column(n)).to_numpy(), pc.fill_null(q.column(n), 0).to_numpy(),
+                                    pc.fill_null(c.column(n), 0).to_numpy()) for n in labels])
         return pa.table([pa.array(query_ids[row], pa.int64()), *[pa.array(v, pa.int64()) for v in found], pa.array(score)],
                         names=["query_id", *id_columns, "raw_score"])
 
@@ -253,18 +265,20 @@ def nearest(
     k: int,
     exclude_same_id: bool = False,
     block_rows: int | None = None,
+    labels: list[str] | None = None,
 ) -> DataFrame:
     """Exact top k corpus rows per query: query_id, id columns, raw_score and rank (1 is best).
 
     `queries` has query_id and embedding, `corpus` the bigint id columns and embedding.  Rows whose id or vector is null
-    take no part; vectors of unequal length are an error.  `block_rows` sets the size of the blocks.
+    take no part; vectors of unequal length are an error.  `block_rows` sets the size of the blocks.  `labels` names
+    bigint columns of both sides that must be equal where the query's is not null.
     """
     if k <= 0:
         columns = ", ".join(["query_id bigint", *[f"{c} bigint" for c in id_columns], "raw_score double", "rank int"])
         return corpus.sparkSession.createDataFrame([], columns)
-    queries = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding").dropna()
-    corpus = corpus.select(*id_columns, "embedding").dropna()
-    partial = _blocked_scan(queries, corpus, id_columns, k, exclude_same_id, block_rows)
+    queries = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding", *(labels or [])).dropna(subset=["query_id", "embedding"])
+    corpus = corpus.select(*id_columns, "embedding", *(labels or [])).dropna(subset=[*id_columns, "embedding"])
+    partial = _blocked_scan(queries, corpus, id_columns, k, exclude_same_id, block_rows, labels or [])
     order = Window.partitionBy("query_id").orderBy(F.col("raw_score").desc(), *id_columns)
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -470,6 +470,20 @@ def retrieve_topk_filtered(spark, folder):
     )
 
 
+@query
+def retrieve_topk_prefiltered(spark, folder):
+    corpus = vectors.embed_texts(job_chunks(spark, folder), "chunk_text")
+    return retrieve.retrieve(adapters.questions(spark, folder), corpus, TOP_K, prefilter=True).select(
+        "question_id", "position", "job_id", "chunk_order", "title", "location", "category", "final_score"
+    )
+
+
+@query
+def knn_topk_blocked(spark, folder):
+    found = vectors.nearest_jobs(adapters.job_vectors(spark, folder), 10, block_rows=64)
+    return found.select("job_id", "candidate_id", scores.rounded(F.col("raw_score"), 6).alias("score"), "rank")
+
+
 # --- stateful and composite --------------------------------------------------------------------------
 
 

@@ -280,6 +280,22 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY fi
 FROM (SELECT *, row_number() OVER (PARTITION BY question_id, job_id ORDER BY final_rank) AS n FROM kept_ranked) WHERE n = 1)
 WHERE position <= {catalog.TOP_K}""")
 
+cte("early", ["pairs", "questions", "chunks"], f"""
+SELECT *, {rnd('raw')} AS score, {rnd('overlap')} AS keyword_score FROM (
+SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY raw DESC, job_id, chunk_order)::INTEGER AS rank FROM (
+SELECT c.*, q.question_id, COALESCE(p.raw, 0) AS raw,
+  len(list_intersect(list_distinct({words('q.question')}), list_distinct({words('c.chunk_text')})))
+    / greatest(len(list_distinct({words('q.question')})), 1) AS overlap
+FROM questions q JOIN chunks c ON (q.want_category IS NULL OR q.want_category = lower(COALESCE(c.category, '')))
+  AND (q.want_location IS NULL OR lower(q.want_location) = lower(COALESCE(c.location, '')))
+LEFT JOIN pairs p ON p.question_id = q.question_id AND p.job_id = c.job_id AND p.chunk_order = c.chunk_order))
+WHERE rank <= {catalog.TOP_K * 4}""")
+cte("early_ranked", ["early"], RERANK.replace("@", "early"))
+cte("early_hits", ["early_ranked"], f"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY final_rank)::INTEGER AS position
+FROM (SELECT *, row_number() OVER (PARTITION BY question_id, job_id ORDER BY final_rank) AS n FROM early_ranked) WHERE n = 1)
+WHERE position <= {catalog.TOP_K}""")
+
 TERMS = r"regexp_extract_all(regexp_replace(regexp_replace(lower(chunk_text), '[^\x00-\x7F\p{L}\p{N}]', ' ', 'g'), '[^\x00-\x7F]', '_', 'g'), '\b[a-zA-Z][a-zA-Z\-+.]+\b')"
 
 
@@ -465,6 +481,9 @@ LEFT JOIN incoming i USING (url)""", "stored", "incoming", "state"),
         "stamp_touched": build(
             f"SELECT id, CASE WHEN embedded THEN {NOW} END AS embedded_at FROM stages", "stages"),
         "knn_topk": build(f"SELECT job_id, candidate_id, {rnd('raw', 6)} AS score, rank FROM neighbours WHERE rank <= 10", "neighbours"),
+        "knn_topk_blocked": build(f"SELECT job_id, candidate_id, {rnd('raw', 6)} AS score, rank FROM neighbours WHERE rank <= 10", "neighbours"),
+        "retrieve_topk_prefiltered": build("""
+SELECT question_id, position, job_id, chunk_order::BIGINT AS chunk_order, title, location, category, final_score FROM early_hits""", "early_hits"),
         "retrieve_topk": build(
             "SELECT question_id, rank, job_id, chunk_order::BIGINT AS chunk_order, title, score, keyword_score FROM searched", "searched"),
         "skills_per_posting": build("SELECT job_id, skills_text FROM skill_text", "skill_text"),
