@@ -26,11 +26,11 @@ from vacantia.llm import words
 from vacantia.llm.shared import written
 
 WINDOW = 20
-GROUP_SUFFIXES = 3_000_000
+GROUP_SUFFIXES = 2_000_000
 PREFIX_LENGTHS = (1, 2, 4, 8)
 SAMPLE_DOCUMENTS = 5000
 FREQUENT = 8192
-BATCH_WORDS = 1_500_000
+BATCH_WORDS = 1_000_000
 BATCH_DOCUMENTS = 20_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 SCHEMA = "target long, kind string, grp long, payload binary"
