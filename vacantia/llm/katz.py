@@ -29,9 +29,9 @@ from vacantia.llm.shared import written
 LARGE = 5
 HOT = 2048
 SAMPLE_DOCUMENTS = 5000
-GROUP_TOKENS = 1_500_000
+GROUP_TOKENS = 800_000
 GROUP_DOCUMENTS = 20_000
-BUCKET_ENTRIES = 3_000_000
+BUCKET_ENTRIES = 1_500_000
 END = np.uint64(0x5851F42D4C957F2D)
 UNIT = float(1 << 30)  # sums of logarithms travel as whole numbers of this part
 FOLDS, HELD_FOLD = 7, 2
