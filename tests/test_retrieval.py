@@ -134,3 +134,20 @@ def test_recommendation_evaluation(frame):
     assert (summary["evaluated_jobs"], summary["jobs_with_shared_skills"], summary["avg_recommendations_per_job"]) == (2, 2, 2.0)
     assert evaluate.recommendation_cases(jobs, v, sample_size=1).count() == 1
     assert evaluate.recommendation_summary(cases.filter(F.lit(False))).first()["avg_recommendations_per_job"] == 0.0
+
+
+@pytest.mark.parametrize("order", ["asc", "desc"])
+def test_pages_by_key_equal_pages_by_offset(frame, order):
+    from vacantia.operators import search
+
+    rows = [(i, None if i % 4 == 0 else f"t{i % 3}") for i in range(40)]
+    jobs = frame(rows, "id long, title string")
+    seen, after = [], None
+    while True:
+        page = search.search_postings(jobs, size=7, sort_by="title", sort_order=order, after=after).collect()
+        if not page:
+            break
+        seen += [r["id"] for r in page]
+        after = (page[-1]["title"], page[-1]["id"])
+    by_offset = [r["id"] for n in range(1, 7) for r in search.search_postings(jobs, size=7, sort_by="title", sort_order=order, page=n).collect()]
+    assert seen == by_offset and sorted(seen) == list(range(40))

@@ -71,13 +71,27 @@ def search_postings(
     sort_by: str = "date_posted",
     sort_order: str = "desc",
     exact_skills: bool = False,
+    after: tuple[object, int] | None = None,
 ) -> DataFrame:
-    """One page.  Nulls come first when descending and last when ascending; equal keys are ordered by id."""
+    """One page.  Nulls come first when descending and last when ascending; equal keys are ordered by id.
+
+    With `after`, the sort value and id of the last row seen, the page begins behind that row: no earlier row is sorted
+    or sent, however deep the page is.
+    """
     if page < 1 or not 1 <= size <= 100:
         raise ValueError("page starts at 1 and size is 1 to 100")
     column = F.col(sort_by if sort_by in SORT_COLUMNS else "date_posted")
-    key = column.desc_nulls_first() if sort_order.lower() == "desc" else column.asc_nulls_last()
+    descending = sort_order.lower() == "desc"
+    key = column.desc_nulls_first() if descending else column.asc_nulls_last()
     found = matching(jobs, keyword, location, category, seniority, skills, exact_skills)
+    if after is not None:
+        value, last = after
+        same = column.isNull() if value is None else column == F.lit(value)
+        if value is None:
+            beyond = column.isNotNull() if descending else F.lit(False)
+        else:
+            beyond = column < F.lit(value) if descending else (column > F.lit(value)) | column.isNull()
+        found = found.filter(beyond | (same & (F.col("id") > last)))
     return found.orderBy(key, "id").offset((page - 1) * size).limit(size)
 
 
@@ -90,15 +104,16 @@ def get_posting(jobs: DataFrame, posting_id: int) -> DataFrame:
 
 
 def top_skills(
-    jobs: DataFrame, category: str | None = None, seniority: str | None = None, limit: int = 10
+    jobs: DataFrame, category: str | None = None, seniority: str | None = None, limit: int | None = 10
 ) -> DataFrame:
-    """Most frequent skills, equal counts by name; the limit is kept within 1 to 50."""
+    """Most frequent skills, equal counts by name; a limit is kept within 1 to 50, None gives all skills."""
     found = matching(jobs, category=category, seniority=seniority)
     skill = found.select(F.explode_outer("detected_skills").alias("skill")).select(
         text.trim_text(F.col("skill")).alias("skill")
     )
     counts = skill.filter("skill IS NOT NULL").groupBy("skill").agg(F.count("*").alias("count"))
-    return counts.orderBy(F.col("count").desc(), "skill").limit(min(max(limit, 1), 50))
+    ordered = counts.orderBy(F.col("count").desc(), "skill")
+    return ordered if limit is None else ordered.limit(min(max(limit, 1), 50))
 
 
 def parse_skills(joined):

@@ -239,6 +239,16 @@ def search_postings_page2(spark, folder):
     return found.select(*PAGE)
 
 
+@query
+def search_postings_keyset(spark, folder):
+    """The same page as `search_postings_page2`, reached from the last row of the page before it."""
+    options = {"keyword": "a%e", "seniority": "senior", "size": 25, "sort_by": "location", "sort_order": "asc"}
+    table = jobs(spark, folder)
+    last = search.search_postings(table, **options).select("location", "id").tail(1)
+    after = (last[0]["location"], last[0]["id"]) if last else None
+    return search.search_postings(table, **options, after=after).select(*PAGE)
+
+
 @query
 def search_total(spark, folder):
     return search.search_total(jobs(spark, folder), **SEARCH)

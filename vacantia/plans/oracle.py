@@ -460,6 +460,9 @@ FROM conversations WHERE role = 'assistant'""",
             f"SELECT {DISPLAY} FROM jobs WHERE {FOUND} ORDER BY date_posted DESC NULLS FIRST, id LIMIT 20", "jobs"),
         "search_postings_page2": build(f"""
 SELECT {DISPLAY} FROM jobs WHERE (title ILIKE '%a%e%' OR description ILIKE '%a%e%' OR cleaned ILIKE '%a%e%') AND seniority ILIKE '%senior%'
+ORDER BY location ASC NULLS LAST, id LIMIT 25 OFFSET 25""", "jobs"),
+        "search_postings_keyset": build(f"""
+SELECT {DISPLAY} FROM jobs WHERE (title ILIKE '%a%e%' OR description ILIKE '%a%e%' OR cleaned ILIKE '%a%e%') AND seniority ILIKE '%senior%'
 ORDER BY location ASC NULLS LAST, id LIMIT 25 OFFSET 25""", "jobs"),
         "search_total": build(f"SELECT count(*) AS total FROM jobs WHERE {FOUND}", "jobs"),
         "get_posting": build(
