@@ -151,3 +151,15 @@ def test_pages_by_key_equal_pages_by_offset(frame, order):
         after = (page[-1]["title"], page[-1]["id"])
     by_offset = [r["id"] for n in range(1, 7) for r in search.search_postings(jobs, size=7, sort_by="title", sort_order=order, page=n).collect()]
     assert seen == by_offset and sorted(seen) == list(range(40))
+
+
+def test_filters_before_the_cut_and_blank_questions(spark, frame):
+    rows = [(i, 0, f"t{i}", "c", "Berlin" if i == 9 else "Bonn", "Data", "senior", f"python spark number {i}") for i in range(1, 10)]
+    chunks = frame(rows, "job_id long, chunk_order int, title string, company string, location string, category string, seniority string, chunk_text string")
+    chunks = vectors.embed_texts(chunks, "chunk_text")
+    asked = frame([(1, "python spark number 1", "data", "berlin", None), (2, "  ", None, None, None)],
+                  "question_id long, question string, category string, location string, seniority string")
+    late = retrieve.retrieve(asked, chunks, 1, strict=False).collect()
+    early = retrieve.retrieve(asked, chunks, 1, strict=False, prefilter=True).collect()
+    assert [r["job_id"] for r in early] == [9] and [r["job_id"] for r in late] in ([], [9])
+    assert [tuple(r) for r in retrieve.blank_questions(asked).collect()] == [(2, "blank_question")]

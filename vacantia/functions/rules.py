@@ -174,7 +174,3 @@ PROMPT_CONTEXT = "\n\nContext:\n"
 PROMPT_TAIL = "\n\nAnswer in a concise and clear way.\n"
 
 # --- fixed values: evaluation questions ---
-ANSWER_EVALUATION_CASES = [
-    ("Which backend jobs mention Python and FastAPI?", ["Python", "FastAPI"]),
-    ("Which jobs mention SQL and analytics?", ["SQL", "analytics"]),
-]

@@ -13,11 +13,6 @@ def rounded(value: Column, digits: int = 4) -> Column:
     return F.bround(value.cast("decimal(20,10)"), digits).cast("double")
 
 
-def stable_score(value: Column) -> Column:
-    """Score used for ordering: differences below 1e-9 are ties."""
-    return F.round(value, 9)
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all distinct elements; 0 when both sets are empty."""
     union = F.size(F.array_union(a, b))

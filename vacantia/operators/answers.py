@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vacantia.functions import rules, text
+from vacantia.operators.retrieve import normalize_questions, retrieve
 
 
 def top_terms(texts: DataFrame, group: str, order_columns: list[str], column: str, n: int = 5) -> DataFrame:
@@ -26,63 +27,68 @@ def top_terms(texts: DataFrame, group: str, order_columns: list[str], column: st
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("_first")
 
 
-def job_lines(hits: DataFrame) -> DataFrame:
-    """One line per distinct (posting, title) of a question: title, place and the first sentence."""
-    order = Window.partitionBy("question_id", "job_id", "title").orderBy("position")
-    first = hits.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
-    sentence = F.coalesce(F.get(text.answer_sentences(F.col("chunk_text")), 0), F.col("chunk_text"))
-    place = F.coalesce("location", F.lit("None"))
-    return first.withColumn(
-        "line", F.concat(F.lit("- "), F.coalesce("title", F.lit("None")), F.lit(" ("), place, F.lit("): "), sentence)
-    )
+def _first_line(hit: Column) -> Column:
+    """Title, place and first sentence of a passage."""
+    sentence = F.coalesce(F.get(text.answer_sentences(hit["chunk_text"]), 0), hit["chunk_text"])
+    title, place = F.coalesce(hit["title"], F.lit("None")), F.coalesce(hit["location"], F.lit("None"))
+    return F.concat(F.lit("- "), title, F.lit(" ("), place, F.lit("): "), sentence)
 
 
-def _in_order(struct_list: Column, field: str, separator: str) -> Column:
-    return F.array_join(F.transform(F.array_sort(struct_list), lambda x: x[field]), separator)
+def _frequent(terms: Column, n: int) -> Column:
+    """The n most frequent items of a short list, equal counts by first appearance."""
+    counted = F.transform(F.array_distinct(terms), lambda t, i: F.struct(
+        (-F.size(F.filter(terms, lambda x: x == t))).alias("less"), i.alias("at"), t.alias("term")))
+    return F.transform(F.slice(F.array_sort(counted), 1, n), lambda x: x["term"])
 
 
-def extractive_answers(questions: DataFrame, hits: DataFrame) -> DataFrame:
+def extractive_answers(questions: DataFrame, hits: DataFrame, with_sources: bool = False) -> DataFrame:
     """Answer text per question.  Questions without passages get the fixed text.
 
-    Lists are collected per question over retrieved rows only, at most top_k of them.
+    One pass over the hits: the passages of a question, at most top_k, are packed into one list, from which lines, terms
+    and counts follow.  `with_sources` keeps the list as `sources`.
     """
-    lines = job_lines(hits).groupBy("question_id").agg(
-        _in_order(F.collect_list(F.struct("position", "line")), "line", "\n").alias("lines"),
-    )
-    sizes = hits.groupBy("question_id").agg(
-        F.count("*").alias("source_count"), F.count_distinct("job_id").alias("job_count")
-    )
-    terms = (
-        top_terms(hits, "question_id", ["position"], "chunk_text", 6)
-        .groupBy("question_id")
-        .agg(_in_order(F.collect_list(F.struct("rank", "term")), "term", ", ").alias("terms"))
-    )
+    packed = hits.groupBy("question_id").agg(F.array_sort(F.collect_list(
+        F.struct("position", "job_id", "title", "location", "chunk_text"))).alias("sources"))
+    found = questions.select("question_id", "question").join(packed, "question_id", "left")
+    own = F.col("sources")
+    # One line per posting and title, at its best passage.
+    single = F.filter(own, lambda x, i: ~F.exists(
+        F.slice(own, 1, i), lambda y: (y["job_id"] == x["job_id"]) & y["title"].eqNullSafe(x["title"])))
+    all_terms = F.flatten(F.transform(own, lambda x: F.coalesce(text.term_list(x["chunk_text"]), F.array().cast("array<string>"))))
+    found = found.select("*", F.array_join(F.transform(single, _first_line), "\n").alias("lines"), all_terms.alias("_terms"))
+    found = found.withColumn("terms", F.when(F.size("_terms") > 0, F.array_join(_frequent(F.col("_terms"), 6), ", ")))
     kind = text.question_type(F.col("question"))
     themes = F.when(F.col("terms").isNotNull(), F.concat(F.lit(rules.TERMS_PREFIX), "terms", F.lit(".\n")))
     skills = F.concat(F.coalesce(themes, F.lit("")), F.lit(rules.HEADER_EXAMPLES + "\n"), "lines")
     answer = (
-        F.when(F.col("lines").isNull(), rules.NO_ANSWER)
+        F.when(own.isNull(), rules.NO_ANSWER)
         .when(kind == "skills", skills)
         .when(kind == "jobs", F.concat(F.lit(rules.HEADER_JOBS + "\n"), "lines"))
         .otherwise(F.concat(F.lit(rules.HEADER_GENERAL + "\n"), "lines"))
     )
-    return (
-        questions.select("question_id", "question")
-        .join(lines, "question_id", "left")
-        .join(terms, "question_id", "left")
-        .join(sizes, "question_id", "left")
-        .select(
-            "question_id",
-            "question",
-            kind.alias("question_type"),
-            answer.alias("answer"),
-            F.lit("extractive").alias("generation_mode"),
-            F.coalesce("source_count", F.lit(0)).alias("source_count"),
-            F.coalesce("job_count", F.lit(0)).alias("job_count"),
-        )
+    jobs = F.array_distinct(F.filter(F.transform(own, lambda x: x["job_id"]), lambda x: x.isNotNull()))
+    return found.select(
+        "question_id",
+        "question",
+        kind.alias("question_type"),
+        answer.alias("answer"),
+        F.lit("extractive").alias("generation_mode"),
+        F.when(own.isNull(), 0).otherwise(F.size(own)).cast("bigint").alias("source_count"),
+        F.when(own.isNull(), 0).otherwise(F.size(jobs)).cast("bigint").alias("job_count"),
+        *([own] if with_sources else []),
     )
 
 
+def answer(
+    questions: DataFrame, chunks: DataFrame, responses: DataFrame | None = None, top_k: int = 3, load_encoder=None,
+    prefilter: bool = False, strict: bool = True,
+) -> DataFrame:
+    """Retrieval and answer in one call, with sources: the decoded response where there is one, else the extract."""
+    hits = retrieve(questions, chunks, top_k, load_encoder, prefilter=prefilter, strict=strict)
+    extracts = extractive_answers(normalize_questions(questions, strict), hits, with_sources=True)
+    return extracts if responses is None else prefer_generated(extracts, responses)
+
+
 def prompt_table(questions: DataFrame, hits: DataFrame) -> DataFrame:
     """Prompt text per question with numbered sources, for inference outside of this library."""
     numbered = F.transform(

@@ -536,6 +536,14 @@ def pipeline_summary(spark, folder):
     return pipeline.pipeline_summary(stored_jobs(spark, folder), adapters.snapshot(spark, folder), NOW)
 
 
+@query
+def answers_generated(spark, folder):
+    corpus = vectors.embed_texts(job_chunks(spark, folder), "chunk_text")
+    responses = adapters.model_responses(spark, folder).filter("turn = 1").withColumnRenamed("conv_id", "question_id")
+    found = answers.answer(adapters.questions(spark, folder), corpus, responses, TOP_K)
+    return found.select("question_id", "question_type", "answer", "generation_mode", "source_count", "job_count")
+
+
 @query
 def extractive_answers(spark, folder):
     asked = retrieve.normalize_questions(adapters.questions(spark, folder))

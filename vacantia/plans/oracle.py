@@ -552,6 +552,11 @@ SELECT id, cleaned AS cleaned_description, array_to_string(skills, ',') AS skill
             "SELECT 'chunk_index', 'chunk_count', count(*)::DOUBLE FROM state_chunks",
             "SELECT 'chunk_index', 'job_count', count(DISTINCT job_id)::DOUBLE FROM state_chunks",
         ]), "ingest_counts", "process_counts", "state", "state_chunks"),
+        "answers_generated": build(f"""
+SELECT question_id, question_type, CASE WHEN source_count > 0 THEN COALESCE(made, answer) ELSE answer END AS answer,
+  CASE WHEN source_count > 0 AND made IS NOT NULL THEN 'llm' ELSE generation_mode END AS generation_mode, source_count, job_count
+FROM answers LEFT JOIN (SELECT conv_id AS question_id, CASE WHEN (conv_id + turn) % 5 < 4 THEN nullif({strip('text')}, '') END AS made
+  FROM conversations WHERE role = 'assistant' AND turn = 1) USING (question_id)""", "answers"),
         "extractive_answers": build("SELECT * FROM answers", "answers"),
         "embed_norms": build(f"""
 SELECT id, {rnd('sqrt(sum(w * w))')} AS norm, count(w)::INTEGER AS filled_buckets FROM (
