@@ -24,13 +24,26 @@ def chunk_documents(jobs: DataFrame) -> DataFrame:
     return cut.withColumn("chunk_length", F.length("chunk_text"))
 
 
+RANGES_PER_BLOCK = 4096
+
+
 def with_chunk_ids(chunks: DataFrame, jobs_per_group: int = 65536) -> DataFrame:
-    """Add the dense chunk_id in (job_id, chunk_order) order: passages per range of job ids, a running total
-    over the ranges, and a row number inside each range."""
+    """Add the dense chunk_id in (job_id, chunk_order) order.
+
+    Passages are counted per range of job ids, running totals are kept inside blocks of ranges and over the blocks, and
+    a row number counts inside each range.  What one task orders last is a row for each block, some 270 million ids.
+    """
     chunks = chunks.withColumn("_range", F.floor(F.col("job_id") / jobs_per_group))
-    totals = chunks.groupBy("_range").count()
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    block = F.floor(F.col("_range") / RANGES_PER_BLOCK)
+    totals = chunks.groupBy("_range").count().withColumn("_block", block)
+
+    def before(window):
+        return window.rowsBetween(Window.unboundedPreceding, -1)
+
+    blocks = totals.groupBy("_block").agg(F.sum("count").alias("_n"))
+    blocks = blocks.select("_block", F.coalesce(F.sum("_n").over(before(Window.orderBy("_block"))), F.lit(0)).alias("_base"))
+    within = F.coalesce(F.sum("count").over(before(Window.partitionBy("_block").orderBy("_range"))), F.lit(0))
+    offsets = totals.withColumn("_within", within).join(blocks, "_block").select("_range", (F.col("_base") + F.col("_within")).alias("_offset"))
     inside = Window.partitionBy("_range").orderBy("job_id", "chunk_order")
     return (
         chunks.join(offsets, "_range")
