@@ -32,6 +32,7 @@ STAR_ROUNDS = 6
 BROADCAST_IDS = 300_000
 BROADCAST_SKETCHES = 50_000  # half a KB each
 SALT_ROWS = 64
+PAIR_SALTS = 8  # the last pairs have many first texts with fewer partners each
 _RANDOM = np.random.default_rng(20240101)
 _MULTIPLY = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -183,9 +184,9 @@ def _bounded(frame: DataFrame, name: str) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= BROADCAST_IDS else frame
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY, salts: int = SALT_ROWS) -> DataFrame:
     """Those of the pairs (a, b) whose texts are similar; a hot first text is split over salts, each with its copy."""
-    members = pairs.select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b"), F.lit(SALT_ROWS)).alias("salt"))
+    members = pairs.select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b"), F.lit(salts)).alias("salt"))
     centres = members.select("a", F.col("a").alias("id"), "salt")
     asked = _bounded(members.unionByName(centres).distinct(), "pairs")
     dealt = (texts.join(asked, "id").select("a", "id", "text", "salt").repartition("a", "salt")
@@ -264,7 +265,7 @@ def similar_links(members: DataFrame, texts: DataFrame, sketches: DataFrame, doc
     common = F.array_intersect("sketch", "other")
     once = (F.size(common) >= COMMON) & (F.array_min(common) == F.col("token"))
     left = rest.join(mixed, "token").where(both & _alike("n", "u", "m", "v", threshold) & once).select("a", F.col("id").alias("b"))
-    return links.unionByName(verified(left, texts, threshold))
+    return links.unionByName(verified(left, texts, threshold, PAIR_SALTS))
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
