@@ -131,6 +131,51 @@ def test_classes_need_more_than_the_first_star(spark, frame):
     assert {r["class_id"] for r in order_minhash.near_duplicates(docs).collect()} == {10}
 
 
+def short_families(seed, sizes):
+    """Families of a text and its copies with words appended, taken away or changed, a few words of each known to all."""
+    rng, out = random.Random(seed), []
+    line = [f"line{i}" for i in range(7)]
+    for size in sizes:
+        base = [f"s{size}x{i}" for i in range(size)]
+        common = line + base[7:] if size > 8 and size % 3 == 0 else base
+        one = rng.randrange(size)
+        own = [base, base + ["more"], base + ["one", "two"], base[:-1] + ["last"], base[2:], base[:one] + ["new"] + base[one + 1:],
+               common, common + ["end"], common[:-1] + ["other"], base[:one] + ["put"] + base[one:]]
+        out += [" ".join(x) for x in own]
+    return list(dict.fromkeys(out))
+
+
+@pytest.mark.parametrize("hot", [100, 3])
+def test_short_classes_are_exact(spark, frame, monkeypatch, hot):
+    """Every pair of short texts that brute force links is found, also where few shingles make the tuples unequal."""
+    monkeypatch.setattr(order_minhash, "HOT", hot)
+    texts = short_families(4, [*range(5, 27), 44, 49, 57, 60, 61, 64, 72, 74])
+    random.Random(3).shuffle(texts)
+    value = [words.word_arrays(t.encode())[2] for t in texts]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if least[i] != least[j] and order_minhash.similar(value[i], value[j]) >= 0.8:
+                a, b = sorted((least[i], least[j]))
+                least = [a if x == b else x for x in least]
+    docs = frame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs).collect()}
+    assert {i: c for i, c in enumerate(least) if got[i] != c} == {} and len(got) == len(texts)
+
+
+@pytest.mark.parametrize("hot", [100, 2])
+def test_prefix_tokens_meet(spark, frame, monkeypatch, hot):
+    monkeypatch.setattr(order_minhash, "HOT", hot)
+    rng, sets = random.Random(8), []
+    for k in range(120):
+        base = rng.sample(range(80), rng.randint(1, 40))
+        sets += [base, *([x for x in base if rng.random() > 0.1] + rng.sample(range(80, 120), rng.randint(0, 2)) for _ in range(2))]
+    rows = [(i, len(x) + 4, sorted(set(x))) for i, x in enumerate(sets) if x]
+    got = {r["id"]: set(r["tokens"]) for r in order_minhash.prefix_tokens(frame(rows, "id long, n long, short array<long>"), 0.8).collect()}
+    pairs = [(i, j) for i, _, x in rows for j, _, y in rows if j < i and 5 * len({*x} & {*y}) >= 4 * len({*x} | {*y})]
+    assert len(pairs) > 100 and all(got[i] & got[j] for i, j in pairs)
+
+
 def test_empty_and_odd_columns(spark, frame):
     assert order_minhash.near_duplicates(frame([], SCHEMA)).collect() == []
     got = order_minhash.near_duplicates(frame([(1, "a", "q", "q")], SCHEMA)).collect()

@@ -5,6 +5,9 @@ kept in text order.  Two texts with COMMON tuples in common are candidates; they
 inside a band keeps at least 0.8 of their shingles.  Exact copies are collapsed first.  A pair of similarity s has a tuple
 in common with chance s**LEAST, so at 0.8 one pair in some nine thousand has fewer than two of 64, at 0.85 one in a billion.
 
+Tuples fail texts of few shingles, so a pair whose shorter text has up to SHORT shingles is found exactly: such texts hold
+the rarest of their shingles instead (`prefix_tokens`), and one in common makes a candidate.
+
 Large groups never become pairs: each bucket compares its members with one centre (a star, salted), stars repeat with other
 centres for members that did not join, and only what then still lies in different components is compared pairwise, so
 no link between two members of a bucket is lost.
@@ -30,7 +33,9 @@ COMMON = 2
 SIMILARITY = 0.8
 STAR_ROUNDS = 6
 BROADCAST_IDS = 300_000
-BROADCAST_SKETCHES = 50_000  # half a KB each
+SHORT = 56  # shingles, so 60 words
+HOT = 100  # short texts with one shingle, beyond which its bucket is split by their sizes
+BROADCAST_SKETCHES = 50_000  # half a KB each, seldom more
 SALT_ROWS = 64
 PAIR_SALTS = 8  # the last pairs have many first texts with fewer partners each
 _RANDOM = np.random.default_rng(20240101)
@@ -148,7 +153,9 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> floa
     return kept / (na + nb - kept)
 
 
-def _sketcher(text: str):
+def _sketcher(text: str, threshold: float):
+    most = SHORT / threshold + 1e-9  # a partner of a text of SHORT shingles has no more
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -156,12 +163,35 @@ def _sketcher(text: str):
                 _, _, _, hashes, first = words.sliced_words(texts)
                 for a, b in zip(first[:-1], first[1:]):
                     values = labelled(shingles(hashes[a:b]))
-                    rows.append((sketch(values).view(np.int64).tolist(), int(b - a)))
+                    rows.append((sketch(values).view(np.int64).tolist() if len(values) > SHORT else [], int(b - a),
+                                 values.view(np.int64).tolist() if SHINGLE <= b - a and len(values) <= most else []))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int64())),
-                                              pa.array([r[1] for r in rows], pa.int64())], names=["id", "digest", "sketch", "n"])
+                                              pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
+                                             names=["id", "digest", "sketch", "n", "short"])
     return run
 
 
+def prefix_tokens(shorts: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, tokens) from (id, n, short): two texts whose sets `short` have a Jaccard index of `threshold` share a token.
+
+    Texts of m shingles that share the threshold's part of their union share one of the first m - ceil(threshold m) + 1
+    of each, in any common order; the order is by rarity, and shingles of one text alone are left out.  A shingle of more
+    than HOT texts is one token for each size s <= m of a partner that the shingles from this one on still allow, so
+    the pair meets at the size of the smaller, and texts too far down their order for it do not meet there.
+    """
+    rows = shorts.select("id", "n", F.size("short").alias("m"), F.explode("short").alias("shingle"))
+    counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
+    held = rows.join(counts, "shingle").groupBy("id", "n", "m").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("held"))
+    need = F.ceil(F.lit(threshold) * F.col("m") - 1e-9).cast("int")
+
+    def of_shingle(x, i):
+        fits = F.filter(F.sequence(need, F.col("m")), lambda s: F.size("held") - i >= F.lit(threshold / (1 + threshold)) * (F.col("m") + s) - 1e-9)
+        return F.when(x["c"] <= HOT, F.array(x["shingle"])).otherwise(F.transform(fits, lambda s: F.xxhash64(x["shingle"], s)))
+
+    first = F.slice("held", F.lit(1), F.greatest(F.size("held") - need + 1, F.lit(0)))
+    return held.select("id", "n", F.flatten(F.transform(first, of_shingle)).alias("tokens")).where(F.size("tokens") > 0)
+
+
 def _verifier(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, own = None, None
@@ -239,7 +269,7 @@ def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
     return written(found.join(several.drop("c_high"), "token"), "mixed")
 
 
-def similar_links(members: DataFrame, texts: DataFrame, sketches: DataFrame, documents: int, threshold: float) -> DataFrame:
+def similar_links(members: DataFrame, texts: DataFrame, documents: int, threshold: float) -> DataFrame:
     """Links that connect all members of a bucket which any chain of similar members of it connects."""
     links = written(verified(_star(members, threshold), texts, threshold), "links")
     before = float("inf")
@@ -255,15 +285,17 @@ def similar_links(members: DataFrame, texts: DataFrame, sketches: DataFrame, doc
         again = (mixed.join(centres, "token").where((F.col("c") != F.col("low.c")) & _alike("n", "u", "low.n", "low.u", threshold))
                  .select(F.col("low.id").alias("a"), F.col("id").alias("b")).distinct())
         links = written(links.unionByName(verified(again, texts, threshold)), "links")
-    own = written(sketches.join(mixed.select("id").distinct(), "id"), "mixed-sketches")
+    # All common tokens of a pair that is still apart are here, since their buckets hold several components.
+    own = written(mixed.groupBy("id").agg(F.collect_set("token").alias("sketch")), "mixed-sketches")
     own = F.broadcast(own) if own.count() <= BROADCAST_SKETCHES else own
     mixed = mixed.select("token", "id", "n", "u", "c", "c_low").join(own, "id")
     rest = mixed.where(F.col("c") != F.col("c_low")).select(
         "token", *[F.col(x).alias(y) for x, y in (("id", "a"), ("n", "m"), ("u", "v"), ("c", "d"), ("sketch", "other"))])
     both = (F.col("c") != F.col("d")) & ((F.col("c") == F.col("c_low")) | (F.col("a") < F.col("id")))
-    # A pair meets in each of its common tuples; it counts in the least.
+    # A pair meets in each of its common tokens; it counts in the least.
     common = F.array_intersect("sketch", "other")
-    once = (F.size(common) >= COMMON) & (F.array_min(common) == F.col("token"))
+    short = F.least("n", "m") - (SHINGLE - 1) <= SHORT
+    once = (short | (F.size(common) >= COMMON)) & (F.array_min(common) == F.col("token"))
     left = rest.join(mixed, "token").where(both & _alike("n", "u", "m", "v", threshold) & once).select("a", F.col("id").alias("b"))
     return links.unionByName(verified(left, texts, threshold, PAIR_SALTS))
 
@@ -278,13 +310,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     filled = F.coalesce(F.col(text), F.lit(""))
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.md5(filled).alias("digest"), filled.alias("text"))
-    sketches = written(rows.mapInArrow(_sketcher("text"), "id long, digest string, sketch array<long>, n long"), "sketches")
-    firsts = sketches.groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("f"))
+    sketches = written(rows.mapInArrow(_sketcher("text", threshold), "id long, digest string, sketch array<long>, n long, short array<long>"), "sketches")
+    firsts = sketches.groupBy("digest").agg(F.min(F.struct("id", "n", "sketch", "short")).alias("f"))
     owners = written(sketches.select("id", "digest").join(firsts.select(F.col("f.id").alias("owner"), "digest"), "digest")
                      .select("id", "owner").distinct(), "owners")
-    firsts = written(firsts.select("f.*", "digest").groupBy("id").agg(F.min(F.struct("digest", "n", "sketch")).alias("f"))
+    firsts = written(firsts.select("f.*", "digest").groupBy("id").agg(F.min(F.struct("digest", "n", "sketch", "short")).alias("f"))
                      .select("id", "f.*"), "firsts")
-    tokens = firsts.where(F.col("n") >= SHINGLE).select("id", "n", F.explode("sketch").alias("token"))
+    exact = written(prefix_tokens(firsts.where(F.size("short") > 0).select("id", "n", "short"), threshold), "prefixes")
+    tokens = (firsts.where(F.col("n") >= SHINGLE).select("id", "n", F.explode("sketch").alias("token"))
+              .unionByName(exact.select("id", "n", F.explode("tokens").alias("token"))))
     several = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
     members = written(tokens.join(several.drop("c"), "token"), "members")
     ids = _bounded(members.select("id").distinct().join(firsts.select("id", "digest"), "id"), "ids")
@@ -294,7 +328,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     members = members.join(private, "id", "left").select("token", "id", "n", F.coalesce("u", F.lit(0)).alias("u"))
     # With more private ones than this a text is like no other, whatever the other has.
     members = written(members.where(F.col("u") <= (1 - threshold + 1e-9) * (F.col("n") - (SHINGLE - 1))), "members")
-    links = similar_links(members, texts, firsts.select("id", "sketch"), firsts.count(), threshold)
+    links = similar_links(members, texts, firsts.count(), threshold)
     # Only a key with several texts has several owners; they belong together.
     least = owners.groupBy("id").agg(F.min("owner").alias("a"), F.max("owner").alias("z")).where(F.col("a") != F.col("z"))
     found = components(links.unionByName(owners.join(least, "id").select("a", F.col("owner").alias("b"))))
