@@ -176,6 +176,14 @@ def test_prefix_tokens_meet(spark, frame, monkeypatch, hot):
     assert len(pairs) > 100 and all(got[i] & got[j] for i, j in pairs)
 
 
+def test_one_common_tuple_is_enough(spark, frame):
+    """Two members of a bucket that its centre does not join are compared, though they share no other bucket."""
+    texts = [" ".join(f"c{i}" for i in range(90)), *near_copies(9, 2, 1)]
+    members = frame([(7, i, len(t.split()), 0) for i, t in enumerate(texts)], "token long, id long, n long, u long")
+    links = order_minhash.similar_links(members, frame(list(enumerate(texts)), "id long, text string"), len(texts), 0.8)
+    assert [sorted(r) for r in links.collect()] == [[1, 2]]
+
+
 def test_empty_and_odd_columns(spark, frame):
     assert order_minhash.near_duplicates(frame([], SCHEMA)).collect() == []
     got = order_minhash.near_duplicates(frame([(1, "a", "q", "q")], SCHEMA)).collect()

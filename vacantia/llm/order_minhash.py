@@ -1,9 +1,10 @@
 """Near-duplicates by Order MinHash with banded alignment.
 
 A sketch holds BANDS tuples: for each hash function the LEAST occurrence-labelled five-word shingles of smallest hash,
-kept in text order.  Two texts with COMMON tuples in common are candidates; they are linked if an alignment of their words
+kept in text order.  Two texts with a tuple in common are candidates; they are linked if an alignment of their words
 inside a band keeps at least 0.8 of their shingles.  Exact copies are collapsed first.  A pair of similarity s has a tuple
-in common with chance s**LEAST, so at 0.8 one pair in some nine thousand has fewer than two of 64, at 0.85 one in a billion.
+in common with chance s**LEAST for long texts, so at 0.8 one pair in some 127,000 has none of 64, and one in some 31,000
+where the shorter has just over 60 words.
 
 Tuples fail texts of few shingles, so a pair whose shorter text has up to SHORT shingles is found exactly: such texts hold
 the rarest of their shingles instead (`prefix_tokens`), and one in common makes a candidate.
@@ -29,7 +30,6 @@ from vacantia.llm.shared import written
 SHINGLE = 5
 BANDS = 64
 LEAST = 8
-COMMON = 2
 SIMILARITY = 0.8
 STAR_ROUNDS = 6
 BROADCAST_IDS = 300_000
@@ -294,8 +294,7 @@ def similar_links(members: DataFrame, texts: DataFrame, documents: int, threshol
     both = (F.col("c") != F.col("d")) & ((F.col("c") == F.col("c_low")) | (F.col("a") < F.col("id")))
     # A pair meets in each of its common tokens; it counts in the least.
     common = F.array_intersect("sketch", "other")
-    short = F.least("n", "m") - (SHINGLE - 1) <= SHORT
-    once = (short | (F.size(common) >= COMMON)) & (F.array_min(common) == F.col("token"))
+    once = F.array_min(common) == F.col("token")
     left = rest.join(mixed, "token").where(both & _alike("n", "u", "m", "v", threshold) & once).select("a", F.col("id").alias("b"))
     return links.unionByName(verified(left, texts, threshold, PAIR_SALTS))
 
