@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import crf, decontaminate, katz, mixing, order_minhash, suffix_trees, token_counts, toxicity, url_lists, wavelet
+from vacantia.llm import (crf, decontaminate, katz, lattice, mixing, order_minhash, spelling, suffix_trees, token_counts, toxicity,
+                          url_lists, wavelet, whitening)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,4 +62,16 @@ def op10_order_minhash_near_duplicates(spark: SparkSession, folder: str) -> Data
     return order_minhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op11_bloom_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
+def op12_lattice_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.near_vectors(_table(spark, folder, "embeddings"))
+
+
+def op13_lanczos_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vacantia.llm import words
 
@@ -34,3 +35,20 @@ def rows_where(docs: DataFrame, text: str, keeps: Callable[[], Callable[[list[by
             yield batch.filter(pa.array(np.concatenate(masks) if masks else np.zeros(0, bool)))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+SHARES = 2000
+
+
+def joined_by_share(left: DataFrame, right: DataFrame, key: str, n: str, shares: int = SHARES) -> DataFrame:
+    """Inner join with a written table `right` that has one row per key and, as `n`, how often the key occurs on the left.
+
+    Keys with more than one in `shares` of these rows, so at most `shares` keys, are broadcast; the others are shuffled,
+    and none of them is large.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * shares > total
+    frequent = F.broadcast(right.where(hot))
+    common = left.join(frequent, key)
+    rest = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(right.where(~hot), key)
+    return common.unionByName(rest)
