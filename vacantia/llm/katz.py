@@ -247,14 +247,11 @@ def _deal(shared, text: str, buckets: int):
             token, history, doc, pair = token[keep], history[keep], doc[keep], pair[keep]
             spread = np.where(Frequent.place(table.words, token) >= 0, pair, words.mix(token))
             bucket = (spread >> np.uint64(16)) % np.uint64(buckets)
-            order = np.argsort((bucket << np.uint64(44)) | (token >> np.uint64(20)), kind="stable")
-            bucket, token, history, doc = bucket[order], token[order], history[order], doc[order]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+            order, runs = words.dealt(bucket, token)
+            token, history, doc = token[order], history[order], doc[order]
             out = held[doc]
-            for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                if x < y:
-                    rows.append((b, "entries", grp, pack(token[x:y], history[x:y], doc[x:y].astype(np.uint32),
-                                                         out[x:y].view(np.uint8)), None))
+            for b, x, y in runs:
+                rows.append((b, "entries", grp, pack(token[x:y], history[x:y], doc[x:y].astype(np.uint32), out[x:y].view(np.uint8)), None))
             yield _rows(rows)
             grp += 1
     return run
@@ -265,9 +262,7 @@ def _histories(history: np.ndarray, doc: np.ndarray, seen: np.ndarray, grp: np.n
     bucket = words.mix(history) % np.uint64(buckets)
     order = np.lexsort((doc, grp, bucket))
     bucket, history, doc, seen, grp = bucket[order], history[order], doc[order], seen[order], grp[order]
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64)).tolist()
-    return [(b, "asked", 0, pack(history[x:y], doc[x:y].astype(np.uint32), seen[x:y], grp[x:y]), None)
-            for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y]
+    return [(b, "asked", 0, pack(history[x:y], doc[x:y].astype(np.uint32), seen[x:y], grp[x:y]), None) for b, x, y in words.occupied(bucket)]
 
 
 def _partitions(batches: Iterator[pa.RecordBatch]):
@@ -339,9 +334,7 @@ def _count_words(shared, buckets: int):
             before, sums = before[often < 0], sums[often < 0]
             bucket = words.mix(before) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
-            rows += [(b, "histories", 0, pack(before[order[x:y]], *sums[order[x:y]].T), None)
-                     for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y]
+            rows += [(b, "histories", 0, pack(before[order[x:y]], *sums[order[x:y]].T), None) for b, x, y in words.occupied(bucket[order])]
             for i in range(0, len(rows), 256):
                 yield _rows(rows[i:i + 256])
     return run

@@ -240,15 +240,12 @@ def _deal(shared, text: str, window: int):
             keep = np.flatnonzero(hot < 0)
             at, path, doc = at[keep], path[keep], doc[keep]
             group = known.groups(hashes, at, path)
-            order = np.argsort((group << np.uint64(44)) | (path >> np.uint64(20)), kind="stable")
-            cuts = np.searchsorted(group[order], np.arange(known.buckets + 1, dtype=np.uint64)).tolist()
-            for b, (x, y) in enumerate(zip(cuts, cuts[1:])):
-                if x < y:
-                    own = order[x:y]
-                    own = own[np.argsort(path[own], kind="stable")]
-                    there = np.unique(doc[own])
-                    rows.append((b, "suffixes", grp, pack(planes(path[own]), _squeeze(at[own].astype(np.uint32)),
-                                                          planes(first[there]), _squeeze(keys[there]))))
+            order, runs = words.dealt(group, path)
+            for b, x, y in runs:
+                own = order[x:y]
+                there = np.unique(doc[own])
+                rows.append((b, "suffixes", grp, pack(planes(path[own]), _squeeze(at[own].astype(np.uint32)),
+                                                      planes(first[there]), _squeeze(keys[there]))))
             yield _rows(rows)
             grp += 1
     return run

@@ -112,3 +112,17 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         out = out * np.uint64(_BASE) + hashes[i:len(hashes) - n + 1 + i]
     return mix(out)
+
+
+def dealt(group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order by (group, key), whatever their sizes, and (group, start, end) of the groups that occur."""
+    order = np.lexsort((key, group))
+    return order, occupied(group[order])
+
+
+def occupied(group: np.ndarray) -> list[tuple[int, int, int]]:
+    """(group, start, end) of the runs of sorted groups."""
+    cuts = np.flatnonzero(np.diff(group)) + 1 if len(group) else np.empty(0, np.int64)
+    starts = np.concatenate([np.zeros(min(len(group), 1), np.int64), cuts])
+    ends = np.append(cuts, len(group))[:len(starts)]
+    return list(zip(group[starts].tolist(), starts.tolist(), ends.tolist()))
