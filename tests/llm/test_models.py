@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from vacantia.llm import crf, katz, toxicity
+from vacantia.llm import crf, katz, toxicity, words
 
 FOLDER = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, toxic string, n_words string"
@@ -19,30 +19,70 @@ def tables(spark):
     return spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")
 
 
-def test_chain_held_out(spark, tables):
-    docs, labels = tables
+def test_chain_held_out_in_every_language(spark, frame):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     chain = toxicity.train(docs.where("doc_id % 2 = 0"), labels)
-    scored = toxicity.score(docs.where("doc_id % 2 = 1"), chain).join(labels.withColumnRenamed("toxic", "truth"), "doc_id").collect()
-    clean = [r for r in scored if r["truth"] == 0]
-    assert sum(r["toxic"] for r in clean) <= 0.02 * len(clean)
-    assert sum(r["toxic"] for r in scored) >= 10
-    words = re.compile(r"(?i)\b(?:" + "|".join(w for v in toxicity.CATEGORIES.values() for w in v) + r")\b")
-    marked = {r["doc_id"] for r in docs.collect() if words.search(r["text"])}
-    found = {r["doc_id"] for r in toxicity.score(docs, toxicity.train(docs, labels)).where("toxic").collect()}
-    assert len(marked & found) >= 0.95 * len(marked)
-    assert len(found - marked) <= 0.01 * docs.count()
-
-
-def test_later_links_use_earlier_ones():
+    assert chain.names == ["kind_1", "kind_2", "kind_3", "toxic"]
+    told = docs.where("doc_id % 2 = 1").select("doc_id", "lang").join(labels.withColumnRenamed("toxic", "truth"), "doc_id")
+    rows = toxicity.score(docs.where("doc_id % 2 = 1"), chain).join(told, "doc_id").collect()
+    for lang in ("en", "de", "fr", "es"):
+        toxic, clean = ([r["toxic"] for r in rows if r["lang"] == lang and r["truth"] == t] for t in (1, 0))
+        assert len(toxic) >= 8 and sum(toxic) >= 0.85 * len(toxic)  # two of the Spanish ones hold nothing toxic
+        assert sum(clean) <= 0.01 * len(clean)
+
+
+def test_scores_against_a_plain_chain(spark, tables):
+    docs, labels = tables
+    chain = toxicity.train(docs, labels)
+    place = {int(p): i for i, p in enumerate(chain.features)}
+    for r in toxicity.score(docs.limit(40), chain).join(docs, "doc_id").collect():
+        x = np.zeros(len(chain.features))
+        for word in re.findall(rb"[a-z0-9\x80-\xff]+", toxicity.folded(np.frombuffer(r["text"].encode(), np.uint8)).tobytes()):
+            for n in toxicity.LENGTHS:
+                for i in range(len(word) + 3 - n):
+                    x[[place[h] for h in [plain_place((b" " + word + b" ")[i:i + n])] if h in place]] += 1
+        x = np.log1p(100 * x / max(len(r["text"].split()), 1))
+        before = []
+        for name, w in zip(chain.names, chain.weights):
+            z = sum(w[:len(x)] * x) + sum(a * b for a, b in zip(w[len(x):-1], before)) + w[-1]
+            before.append(1 / (1 + math.exp(-z)))
+            assert r[f"p_{name}"] == pytest.approx(before[-1], abs=1e-9)
+        assert r["toxic"] == (before[-1] > 0.5)
+
+
+def plain_place(gram):
+    word = (1 << 32) - 1
+    h = gram[0] * 0x9E3779B1 & word
+    for c in gram[1:]:
+        h = (h * 0x01000193 & word) ^ (c * 0x85EBCA6B & word)
+    h ^= h >> 15
+    h = h * 0x2C1B3C6D & word
+    return (h ^ h >> 13) >> 32 - toxicity.BITS
+
+
+def test_segments_do_not_change_the_features(monkeypatch):
+    texts = [b"", "Ein GR\u00dcNER Satz, ab".encode(), b"x", b"alpha beta" * 20, b""]
+    whole = sorted(zip(*(v.tolist() for v in toxicity._places(texts))))
+    monkeypatch.setattr(toxicity, "SEGMENT", 7)
+    assert sorted(zip(*(v.tolist() for v in toxicity._places(texts)))) == whole
+    assert {d for d, _ in whole} == {1, 2, 3}  # one letter with its edges is an n-gram of three
+
+
+def test_later_links_use_earlier_ones_and_given_categories(frame):
     rng = np.random.default_rng(0)
-    words = [np.sort(rng.choice(np.arange(1, 4000, dtype=np.uint64) << np.uint64(32), 30, replace=False)) for _ in range(300)]
-    mark = np.uint64(toxicity.word_hash("idiot"))
+    x = (rng.random((300, 6)) < 0.2).astype(float)
     toxic = np.arange(300) % 3 == 0
-    hashed = [np.sort(np.append(w, mark)) if t else w for w, t in zip(words, toxic)]
-    chain = toxicity.fit_chain(hashed, toxic.astype(float), np.arange(300) % 5, toxicity.CATEGORIES)
-    assert [len(w) for w in chain.weights] == [len(chain.features) + j + 1 for j in range(4)]
-    p = chain.probabilities(np.array([[1.0] * len(chain.features), [0.0] * len(chain.features)]))
+    x[:, 2] = toxic
+    links = np.stack([toxic, np.zeros(300), toxic], axis=1).astype(float)
+    chain = toxicity.fit_chain(np.arange(6), x, links, ["a", "b", "toxic"], np.arange(300) % 5, np.ones(300))
+    assert [len(w) for w in chain.weights] == [7, 8, 9]
+    p = chain.probabilities(np.array([[0, 0, 1.0, 0, 0, 0], [0.0] * 6]))
     assert p[0, -1] > 0.9 and p[1, -1] < 0.1 and p[0, 0] > 0.9 and p[0, 1] < 0.1
+    rows = [(i, ("vile thing " if i % 2 else "kind thing ") + f"w{i} v{i}", "", "") for i in range(60)]
+    labels = frame([(i, 1, i % 2, "", i % 2 if i else None) for i in range(60)], LABELS + ", insult int")
+    got = toxicity.classify(frame(rows, SCHEMA), labels, categories=["insult"]).collect()
+    assert all(r["toxic"] == bool(r["doc_id"] % 2) == (r["p_insult"] > 0.5) for r in got)
 
 
 def test_chain_edge_cases(spark, frame):
@@ -149,3 +189,15 @@ def test_katz_against_plain_counts(spark, frame, monkeypatch, hot):
     assert katz.katz_scores(frame([], SCHEMA)).collect() == []
     lone = katz.katz_scores(frame([(16, "a b", "", "")], SCHEMA)).collect()  # one held-out row: nothing to learn from
     assert len(lone) == 1
+
+
+def test_dealing_to_more_groups_than_a_shift_holds():
+    rng = np.random.default_rng(2)
+    group = rng.integers((1 << 20) - 500, (1 << 20) + 5000, 20_000).astype(np.uint64)
+    path = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    order, runs = words.dealt(group, path)
+    assert [g for g, _, _ in runs] == sorted(set(group.tolist())) and runs[0][1] == 0 and runs[-1][2] == 20_000
+    for g, a, b in runs:
+        own = order[a:b]
+        assert (group[own] == g).all() and (np.diff(path[own].astype(float)) >= 0).all()
+    assert words.dealt(group[:0], path[:0])[1] == []
