@@ -2,7 +2,8 @@
 
 BENCH_SF_DIR and BENCH_CPUS choose the data and the cores.  Every query is written to the `noop` sink, so
 all rows and columns are produced; each runs once before the run that counts.  `search_postings_stored` searches a table
-of postings that was written beforehand, as a service would.
+of postings that was written beforehand, as a service would.  The documents are one row group, so they are dealt to as
+many partitions as there are cores.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from vacantia.operators import search
 from vacantia.plans import catalog
 from vacantia.plans.catalog import QUERIES
 from vacantia.session import build_session
+from vacantia.sources.adapters import PARTITIONS
 
 HEADLINE = [
     "top_skills", "process_postings", "extract_skills", "chunk_documents", "chunk_ids", "prepare_postings",
@@ -31,7 +33,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(f"local[{cpus}]", "bench", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "20g",
-        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", PARTITIONS: cpus,
     })
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()

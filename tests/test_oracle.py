@@ -22,10 +22,10 @@ def engine():
 
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) <= set(entry.queries())
-    assert set(catalog.QUERIES) <= set(entry.oracle_sql())
+    assert set(catalog.QUERIES) - catalog.APPROXIMATE <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - catalog.APPROXIMATE))
 def test_query(spark, engine, name):
     ours = entry.queries()[name](spark, FOLDER).toArrow()
     theirs = engine.sql(entry.oracle_sql()[name]).to_arrow_table()

@@ -63,12 +63,17 @@ def recommend(
     min_embedding_score: float | None = None,
     pool: int = rules.CANDIDATE_POOL,
     block_rows: int | None = None,
+    cells=None,
+    probes: int | None = None,
 ) -> DataFrame:
-    """Top `limit` recommendations of each target.  Gates apply after the pool is cut, so fewer may remain."""
+    """Top `limit` recommendations of each target.  Gates apply after the pool is cut, so fewer may remain.
+
+    `cells` and `probes` choose how the pool is searched, see `nearest_jobs`.
+    """
     _clamped("limit", limit, 1, 20)
     _clamped("min_shared_skills", min_shared_skills, 0, 10)
     _clamped("min_embedding_score", min_embedding_score, -1.0, 1.0)
-    pairs = scored_pairs(jobs, nearest_jobs(vectors, pool, targets, block_rows))
+    pairs = scored_pairs(jobs, nearest_jobs(vectors, pool, targets, block_rows, cells, probes))
     gates = F.col("has_title") & ~F.isnan("raw_score") & (F.size("shared_skills") >= min_shared_skills)
     if same_category_only:
         gates = gates & F.col("same_category")

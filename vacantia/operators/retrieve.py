@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vacantia.functions import rules, scores, text
-from vacantia.operators.vectors import embed_texts, nearest
+from vacantia.operators.vectors import embed_texts, estimated_bytes, nearest, text_weights
+
+BROADCAST_QUESTION_BYTES = 4 << 20
+BUCKET_SALTS = 32
 
 
 def normalize_questions(questions: DataFrame, strict: bool = True) -> DataFrame:
@@ -45,27 +48,28 @@ def _label_codes(rows: DataFrame, wanted: bool) -> list[Column]:
 
 
 def search_chunks(
-    questions: DataFrame, chunks: DataFrame, k: int, load_encoder=None, block_rows: int | None = None, prefilter: bool = False
+    questions: DataFrame, chunks: DataFrame, k: int, load_encoder=None, block_rows: int | None = None, prefilter: bool = False,
+    query_blocks: int | None = None,
 ) -> DataFrame:
     """Top k passages per question with rounded vector and keyword scores.  `chunks` carries `embedding`.
 
-    With `prefilter` only passages that match the question's filters compete for the k places.
+    With `prefilter` only passages that match the question's filters compete for the k places.  The passages are read
+    once: what is shown of them travels with their vectors, a copy for each block of questions.
     """
     labels = [f"_label_{name}" for name in FILTERS] if prefilter else []
     asked = questions.select(F.col("question_id").alias("query_id"), "question", *(_label_codes(questions, True) if prefilter else []))
-    hits = nearest(
-        embed_texts(asked, "question", load_encoder),
-        chunks.select("job_id", "chunk_order", "embedding", *(_label_codes(chunks, False) if prefilter else [])),
-        ["job_id", "chunk_order"],
-        k,
-        block_rows=block_rows,
-        labels=labels,
-    ).withColumnRenamed("query_id", "question_id")
+    corpus = chunks.withColumn("chunk_order", F.col("chunk_order").cast("bigint")).select("*", *(_label_codes(chunks, False) if prefilter else []))
+    shown = [c for c in chunks.columns if c not in ("job_id", "chunk_order", "embedding")]
+    hits = nearest(embed_texts(asked, "question", load_encoder), corpus, ["job_id", "chunk_order"], k, block_rows=block_rows, labels=labels,
+                   payload=shown, query_blocks=query_blocks)
+    return _with_scores(hits.withColumnRenamed("query_id", "question_id"), questions)
+
+
+def _with_scores(hits: DataFrame, questions: DataFrame) -> DataFrame:
+    """Rounded vector and keyword scores of hits that carry `chunk_text` and `raw_score`."""
     words = questions.select("question_id", text.word_set(F.col("question")).alias("_words"))
-    found = chunks.drop("embedding").withColumn("chunk_order", F.col("chunk_order").cast("bigint"))
     return (
-        hits.join(found, ["job_id", "chunk_order"])
-        .join(words, "question_id")
+        hits.join(words, "question_id")
         .withColumn("score", scores.rounded(F.col("raw_score")))
         .withColumn(
             "keyword_score",
@@ -75,6 +79,44 @@ def search_chunks(
     )
 
 
+def index_chunks(chunks: DataFrame) -> DataFrame:
+    """Inverted index of passages by the default embedding: bucket, job_id, chunk_order, weight."""
+    ids = chunks.select("job_id", F.col("chunk_order").cast("bigint").alias("chunk_order"), "chunk_text")
+    return text_weights(ids, "chunk_text").select("bucket", "job_id", "chunk_order", "weight")
+
+
+def search_index(
+    questions: DataFrame, index: DataFrame, chunks: DataFrame, k: int, broadcast_bytes: int = BROADCAST_QUESTION_BYTES, salts: int = BUCKET_SALTS
+) -> DataFrame:
+    """The same rows as `search_chunks`, from an inverted index (see `index_chunks`) instead of vectors.
+
+    Weights of questions and passages meet by equality of their buckets and are summed by question and passage.  The
+    index is dealt by passage, so the sums need no further shuffle, and the questions' weights are broadcast while the
+    optimizer expects at most `broadcast_bytes` of questions.  Beyond that both sides are shuffled by bucket: rows of the
+    index over `salts` salts each, since a bucket may hold most passages, with a copy of the questions' weights per salt.
+    Passages without a common word have score 0 and fill the places that are left, by id.
+    """
+    ids = ["job_id", "chunk_order"]
+    asked = text_weights(questions.select("question_id", "question"), "question").withColumnRenamed("weight", "_asked")
+    index = index.withColumn("chunk_order", F.col("chunk_order").cast("bigint"))
+    if estimated_bytes(questions) <= broadcast_bytes:
+        met = index.repartition(*ids).join(F.broadcast(asked), "bucket")
+    else:
+        salt = F.pmod(F.xxhash64(*ids), F.lit(salts)).cast("int")
+        copies = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = index.withColumn("_salt", salt).join(copies, ["bucket", "_salt"])
+    product = F.col("weight").cast("double") * F.col("_asked").cast("double")
+    sums = met.groupBy(*ids, "question_id").agg(F.round(F.sum(product), 9).alias("raw_score"))
+    first = F.broadcast(chunks.select("job_id", F.col("chunk_order").cast("bigint").alias("chunk_order")).dropna().orderBy(*ids).limit(2 * k))  # 2 k rows
+    fill = questions.select("question_id").dropna().crossJoin(first).withColumn("raw_score", F.lit(0.0))
+    best = Window.partitionBy("question_id").orderBy(F.col("raw_score").desc(), *ids)
+    some = sums.unionByName(fill.select(sums.columns)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= 3 * k)
+    once = some.groupBy("question_id", *ids).agg(F.max("raw_score").alias("raw_score"))
+    hits = once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    shown = chunks.drop("embedding").withColumn("chunk_order", F.col("chunk_order").cast("bigint"))
+    return _with_scores(shown.join(F.broadcast(hits) if estimated_bytes(questions) <= broadcast_bytes else hits, ids), questions)
+
+
 def matches_filters() -> Column:
     """Exact, case-insensitive match of every filter that the question sets."""
     tests = F.lit(True)
@@ -100,13 +142,16 @@ def limit_per_job(hits: DataFrame, per_job: int = 2) -> DataFrame:
 
 def retrieve(
     questions: DataFrame, chunks: DataFrame, top_k: int = 3, load_encoder=None, block_rows: int | None = None,
-    prefilter: bool = False, strict: bool = True,
+    prefilter: bool = False, strict: bool = True, index: DataFrame | None = None,
 ) -> DataFrame:
     """Retrieve, filter, re-rank, keep one passage per posting and the top_k of them, per question.
 
     Filters run after the retrieval cut of 4 x top_k, so fewer than top_k rows may remain; with `prefilter` they run
-    before it.  Without `strict` blank questions are left out instead of failing.
+    before it.  Without `strict` blank questions are left out instead of failing.  With `index` (see `index_chunks`) the
+    passages need no vectors; it serves the default embedding without `prefilter`.
     """
+    if index is not None and (prefilter or load_encoder):
+        raise ValueError("an index serves the default embedding and filters after the cut")
     if not 1 <= top_k <= 10:
         raise ValueError("top_k must be between 1 and 10")
     asked = normalize_questions(questions, strict)
@@ -115,7 +160,8 @@ def retrieve(
         "question",
         *[F.col(c).alias(f"want_{c}") for c in ("category", "location", "seniority")],
     )
-    hits = search_chunks(asked, chunks, top_k * rules.RETRIEVAL_FACTOR, load_encoder, block_rows, prefilter)
+    most = top_k * rules.RETRIEVAL_FACTOR
+    hits = search_index(asked, index, chunks, most) if index is not None else search_chunks(asked, chunks, most, load_encoder, block_rows, prefilter)
     kept = hits.join(wants, "question_id").filter(matches_filters())
     one_each = limit_per_job(rerank(kept), 1)
     order = Window.partitionBy("question_id").orderBy("final_rank")

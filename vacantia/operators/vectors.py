@@ -1,8 +1,8 @@
 """Vectors: text embedding, integrity checks and exact nearest neighbours by inner product.
 
 Exact search hashes both sides into blocks of bounded bytes, and every pair of blocks is one group.  A group keeps the
-best k corpus rows of each of its queries and sends nothing else to the shuffle.  Data without structure stays
-quadratic: each block of one side meets each block of the other.
+best k corpus rows of each of its queries and sends nothing else to the shuffle.  The corpus is copied once for each block
+of queries, so not at all for a table of questions.  `neighbours` has the forms that skip cells.
 
 Scores are compared after rounding to nine digits, equal scores by id, so results do not depend on blocks.
 """
@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from vacantia.functions import text
@@ -59,6 +60,30 @@ def _dense_counts(dimensions: int):
     return dense
 
 
+def _sparse_counts(dimensions: int):
+    @F.arrow_udf("array<struct<bucket:int,weight:float>>")
+    def sparse(buckets: pa.Array) -> pa.Array:
+        rows = len(buckets)
+        cells = np.repeat(np.arange(rows), np.diff(buckets.offsets.to_numpy())) * dimensions + buckets.flatten().to_numpy()
+        cells, counts = np.unique(cells, return_counts=True)
+        row = cells // dimensions
+        norms = np.sqrt(np.bincount(row, counts * counts, rows))
+        values = pa.StructArray.from_arrays([pa.array((cells % dimensions).astype(np.int32)), pa.array((counts / norms[row]).astype(np.float32))], names=["bucket", "weight"])
+        return pa.ListArray.from_arrays(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32), values)
+
+    return sparse
+
+
+def text_weights(rows: DataFrame, column: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """The default embedding as a table: a row for each bucket that a text has, with `bucket` and `weight`, in place of the text.
+
+    Texts without words have no row.
+    """
+    buckets = F.coalesce(word_buckets(F.col(column), dimensions), F.array().cast("array<int>"))
+    rest = [F.col(c) for c in rows.columns if c != column]
+    return rows.select(*rest, F.inline(_sparse_counts(dimensions)(buckets)))
+
+
 def embed_texts(
     rows: DataFrame,
     column: str,
@@ -123,11 +148,14 @@ def require_known(targets: DataFrame, vectors: DataFrame, id_column: str = "job_
     return targets
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
-    """Vectors of a known width as rows; the caller has left out nulls and checked the lengths."""
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows; the caller has left out nulls.  An error if they are empty or of different lengths."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
+    lengths = np.diff(column.offsets.to_numpy())
+    if len(lengths) and (lengths[0] < 1 or (lengths != lengths[0]).any()):
+        raise ValueError(f"vectors have between {lengths.min()} and {lengths.max()} dimensions")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1 if len(column) else 0)
 
 
 class _Best:
@@ -198,64 +226,80 @@ def _scan(
             [np.concatenate([f[2][i] for f in found]) for i in range(len(ids))])
 
 
-def _measured(vectors: DataFrame) -> tuple[int, int]:
-    """Rows with a vector and their common width; an error if lengths differ or vectors are empty."""
-    size = F.size("embedding")
-    found = vectors.agg(F.count("*").alias("n"), F.min(size).alias("low"), F.max(size).alias("high")).first()
-    if found["n"] and (found["low"] != found["high"] or found["low"] < 1):
-        raise ValueError(f"vectors have between {found['low']} and {found['high']} dimensions")
-    return found["n"], found["low"] or 0
+EXPANSION = 16  # bytes of vectors in a task for a byte that the optimizer expects of their source
+MOST_ESTIMATED = 64  # blocks for each core, beyond which the rows are counted instead
 
 
-def _block_rows(rows: int, width: int, parallelism: int) -> int:
-    """Rows per block: small enough to give every core work, never above the memory bound."""
-    most = max(1, MAX_BLOCK_BYTES // (8 * max(1, width)))
-    return min(most, max(1024, math.ceil(rows / max(1, math.isqrt(parallelism)))))
+def estimated_bytes(rows: DataFrame) -> int:
+    """The optimizer's estimate; it runs no job."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def _blocked_scan(
-    queries: DataFrame, corpus: DataFrame, id_columns: list[str], k: int, exclude: bool, block_rows: int | None,
-    labels: list[str],
-) -> DataFrame:
-    parallelism = corpus.sparkSession.sparkContext.defaultParallelism
-    (n, width), (m, corpus_width) = _measured(queries), _measured(corpus)
-    if n and m and width != corpus_width:
-        raise ValueError(f"queries have {width} dimensions, the corpus has {corpus_width}")
-    across, down = (max(1, math.ceil(x / (block_rows or _block_rows(x, width, parallelism)))) for x in (n, m))
-    no_id = F.lit(None).cast("bigint")
-    left = queries.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(across)).alias("_row"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(down - 1).cast("bigint"))).alias("_column"),
-        F.lit(True).alias("_asks"),
-        F.col("query_id").cast("bigint").alias("query_id"),
-        *[no_id.alias(c) for c in id_columns],
-        *labels,
-        "embedding",
-    )
-    right = corpus.select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(across - 1).cast("bigint"))).alias("_row"),
-        F.pmod(F.xxhash64(*id_columns), F.lit(down)).alias("_column"),
-        F.lit(False).alias("_asks"),
-        no_id.alias("query_id"),
-        *[F.col(c).cast("bigint").alias(c) for c in id_columns],
-        *labels,
-        "embedding",
-    )
+def _block_count(rows: DataFrame, block_rows: int | None, least: int) -> int:
+    """Blocks of bounded bytes, `least` at least.  Rows are counted only if a block size is given or the estimate is too vague."""
+    parallelism = rows.sparkSession.sparkContext.defaultParallelism
+    if block_rows is None:
+        blocks = math.ceil(estimated_bytes(rows) * EXPANSION / MAX_BLOCK_BYTES)
+        if blocks <= MOST_ESTIMATED * parallelism:
+            return max(blocks, least)
+        found = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+        return max(math.ceil(found["n"] * 8 * max(found["width"] or 1, 1) / MAX_BLOCK_BYTES), min(least, math.ceil(found["n"] / 1024)), 1)
+    return max(1, math.ceil(rows.count() / block_rows))
+
+
+def scan_blocks(blocks: DataFrame, keys: list[str], id_columns: list[str], k: int, exclude: bool, labels: list[str], payload: list[str]) -> DataFrame:
+    """The best k corpus rows of each query in every group of `keys`; query rows have `_asks`, corpus rows the ids."""
+    taken = [blocks.schema[name] for name in payload]
 
     def scan(block: pa.Table) -> pa.Table:
         asks = block.column("_asks")
         q, c = block.filter(asks), block.filter(pc.invert(asks))
         query_ids = q.column("query_id").to_numpy()
         ids = [c.column(name).to_numpy() for name in id_columns]
-        row, score, found = _scan(_matrix(q.column("embedding"), width), _matrix(c.column("embedding"), width), ids,
-                                  query_ids if exclude else None, k,
+        wide, narrow = matrix(q.column("embedding")), matrix(c.column("embedding"))
+        if len(wide) and len(narrow) and wide.shape[1] != narrow.shape[1]:
+            raise ValueError(f"queries have {wide.shape[1]} dimensions, the corpus has {narrow.shape[1]}")
+        if not len(wide) or not len(narrow):
+            wide, narrow, ids = wide[:0].reshape(0, 1), narrow[:0].reshape(0, 1), [values[:0] for values in ids]
+        row, score, found = _scan(wide, narrow, [*ids, np.arange(len(narrow))], query_ids if exclude else None, k,
                                   [(pc.is_valid(q.column(n)).to_numpy(), pc.fill_null(q.column(n), 0).to_numpy(),
-                                    pc.fill_null(c.column(n), 0).to_numpy()) for n in labels])
-        return pa.table([pa.array(query_ids[row], pa.int64()), *[pa.array(v, pa.int64()) for v in found], pa.array(score)],
-                        names=["query_id", *id_columns, "raw_score"])
+                                    pc.fill_null(c.column(n), 0).to_numpy()) for n in labels] if len(narrow) else None)
+        place = pa.array(found[-1])
+        return pa.table([pa.array(query_ids[row], pa.int64()), *[pa.array(v, pa.int64()) for v in found[:-1]], pa.array(score),
+                         *[c.column(name).take(place) for name in payload]], names=["query_id", *id_columns, "raw_score", *payload])
+
+    schema = T.StructType([T.StructField("query_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in id_columns],
+                           T.StructField("raw_score", T.DoubleType()), *[T.StructField(f.name, f.dataType) for f in taken]])
+    return blocks.groupBy(*keys).applyInArrow(scan, schema)
 
-    schema = ", ".join(["query_id bigint", *[f"{c} bigint" for c in id_columns], "raw_score double"])
-    return left.unionByName(right).groupBy("_row", "_column").applyInArrow(scan, schema)
+
+def block_sides(queries: DataFrame, corpus: DataFrame, id_columns: list[str], labels: list[str], payload: list[str]) -> tuple[list[Column], list[Column]]:
+    """The columns of query and of corpus rows that `scan_blocks` reads, so that both can be united."""
+    no_id = F.lit(None).cast("bigint")
+    left = [F.lit(True).alias("_asks"), F.col("query_id"), *[no_id.alias(c) for c in id_columns], *[F.col(c) for c in labels], F.col("embedding"),
+            *[F.lit(None).cast(corpus.schema[c].dataType).alias(c) for c in payload]]
+    right = [F.lit(False).alias("_asks"), no_id.alias("query_id"), *[F.col(c).cast("bigint").alias(c) for c in id_columns],
+             *[F.col(c) for c in labels], F.col("embedding"), *[F.col(c) for c in payload]]
+    return left, right
+
+
+def _blocked_scan(
+    queries: DataFrame, corpus: DataFrame, id_columns: list[str], k: int, exclude: bool, block_rows: int | None,
+    labels: list[str], payload: list[str], query_blocks: int | None,
+) -> DataFrame:
+    across = query_blocks or _block_count(queries, block_rows, 1)
+    down = _block_count(corpus, block_rows, corpus.sparkSession.sparkContext.defaultParallelism)
+    asks, holds = block_sides(queries, corpus, id_columns, labels, payload)
+    left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(across)).alias("_row"),
+                          F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(down - 1).cast("bigint"))).alias("_column"), *asks)
+    right = corpus.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(across - 1).cast("bigint"))).alias("_row"),
+                          F.pmod(F.xxhash64(*id_columns), F.lit(down)).alias("_column"), *holds)
+    return scan_blocks(left.unionByName(right), ["_row", "_column"], id_columns, k, exclude, labels, payload)
+
+
+def ranked(partial: DataFrame, id_columns: list[str], k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.col("raw_score").desc(), *id_columns)
+    return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def nearest(
@@ -266,37 +310,61 @@ def nearest(
     exclude_same_id: bool = False,
     block_rows: int | None = None,
     labels: list[str] | None = None,
+    payload: list[str] | None = None,
+    query_blocks: int | None = None,
 ) -> DataFrame:
-    """Exact top k corpus rows per query: query_id, id columns, raw_score and rank (1 is best).
+    """Exact top k corpus rows per query: query_id, id columns, raw_score, payload and rank (1 is best).
 
     `queries` has query_id and embedding, `corpus` the bigint id columns and embedding.  Rows whose id or vector is null
-    take no part; vectors of unequal length are an error.  `block_rows` sets the size of the blocks.  `labels` names
-    bigint columns of both sides that must be equal where the query's is not null.
+    take no part; vectors of unequal length are an error when the result is read.  `labels` names bigint columns of both
+    sides that must be equal where the query's is not null.  `payload` names corpus columns that travel with the vectors.
+
+    Building the result runs no job: the number of blocks follows the optimizer's size estimate.  `block_rows` sets the
+    size of the blocks and `query_blocks` the number of those of the queries instead.
     """
+    queries, corpus = searchable(queries, corpus, id_columns, labels or [], payload or [])
     if k <= 0:
-        columns = ", ".join(["query_id bigint", *[f"{c} bigint" for c in id_columns], "raw_score double", "rank int"])
-        return corpus.sparkSession.createDataFrame([], columns)
-    queries = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding", *(labels or [])).dropna(subset=["query_id", "embedding"])
-    corpus = corpus.select(*id_columns, "embedding", *(labels or [])).dropna(subset=[*id_columns, "embedding"])
-    partial = _blocked_scan(queries, corpus, id_columns, k, exclude_same_id, block_rows, labels or [])
-    order = Window.partitionBy("query_id").orderBy(F.col("raw_score").desc(), *id_columns)
-    return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        extra = [T.StructField(c, corpus.schema[c].dataType) for c in payload or []]
+        longs = [T.StructField(c, T.LongType()) for c in ("query_id", *id_columns)]
+        return corpus.sparkSession.createDataFrame([], T.StructType([*longs, T.StructField("raw_score", T.DoubleType()), *extra, T.StructField("rank", T.IntegerType())]))
+    partial = _blocked_scan(queries, corpus, id_columns, k, exclude_same_id, block_rows, labels or [], payload or [], query_blocks)
+    return ranked(partial, id_columns, k)
 
 
-def nearest_jobs(vectors: DataFrame, k: int, targets: DataFrame | None = None, block_rows: int | None = None) -> DataFrame:
-    """Exact k nearest postings of each posting, itself excluded: job_id, candidate_id, raw_score, rank.
+def searchable(queries: DataFrame, corpus: DataFrame, id_columns: list[str], labels: list[str], payload: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the columns that a search needs, without rows whose id or vector is null."""
+    queries = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding", *labels).dropna(subset=["query_id", "embedding"])
+    return queries, corpus.select(*id_columns, "embedding", *labels, *payload).dropna(subset=[*id_columns, "embedding"])
 
-    A target without a row in `vectors` is an error.
+
+def consistent_vectors(vectors: DataFrame, id_column: str = "job_id") -> DataFrame:
+    """The rows with id and vector, or an error if an id is repeated or lengths differ; an empty table passes."""
+    rows = vectors.dropna(subset=[id_column, "embedding"])
+    found = vector_integrity(rows, id_column).first()
+    if found["vector_count"] and not found["is_valid"]:
+        raise ValueError(f"embedding data is inconsistent: {found.asDict()}")
+    return rows
+
+
+def nearest_jobs(vectors: DataFrame, k: int, targets: DataFrame | None = None, block_rows: int | None = None, cells=None, probes: int | None = None) -> DataFrame:
+    """The k nearest postings of each posting, itself excluded: job_id, candidate_id, raw_score, rank.
+
+    A target without a row in `vectors`, repeated ids and vectors of unequal length are errors.  With `cells` (see
+    `neighbours`) cells that cannot hold a neighbour are skipped; with `probes` too, only so many cells of each
+    posting are looked at and the result is approximate.
     """
+    vectors = consistent_vectors(vectors)
     if targets is not None:
         require_known(targets, vectors)
     queries = vectors if targets is None else vectors.join(targets.select("job_id"), "job_id", "left_semi")
-    found = nearest(
-        queries.withColumnRenamed("job_id", "query_id"),
-        vectors.select(F.col("job_id").alias("candidate_id"), "embedding"),
-        ["candidate_id"],
-        k,
-        exclude_same_id=True,
-        block_rows=block_rows,
-    )
+    queries = queries.withColumnRenamed("job_id", "query_id")
+    corpus = vectors.select(F.col("job_id").alias("candidate_id"), "embedding")
+    if cells is None:
+        found = nearest(queries, corpus, ["candidate_id"], k, exclude_same_id=True, block_rows=block_rows)
+    else:
+        from vacantia.operators import neighbours
+
+        index = neighbours.build_index(corpus, cells)
+        found = neighbours.nearest_in_cells(queries, index, cells, ["candidate_id"], k, exclude_same_id=True, probes=probes,
+                                            block_rows=block_rows or neighbours.BLOCK_ROWS)
     return found.withColumnRenamed("query_id", "job_id")

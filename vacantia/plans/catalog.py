@@ -14,6 +14,7 @@ from vacantia.operators import (
     chunks,
     evaluate,
     ingest,
+    neighbours,
     prepare,
     process,
     recommend,
@@ -29,6 +30,7 @@ from vacantia.sources import adapters
 NOW = "2024-03-01 00:00:00"
 EARLIER = "2024-02-01 00:00:00"
 TOP_K = 5
+TOP_N = 10
 NEWEST_ROWS = 100
 ADMIT_LIMIT = 2
 ADMIT_WINDOW = 6 * 3600
@@ -82,6 +84,12 @@ def searched(spark: SparkSession, folder: str, k: int = TOP_K * 4) -> DataFrame:
     return retrieve.search_chunks(asked, corpus, k)
 
 
+def stored_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The passages as a stored table, so that a job that reads them repeatedly cuts the texts once."""
+    ensure_checkpoint_dir(spark)
+    return job_chunks(spark, folder).checkpoint()
+
+
 def joined(column: str) -> Column:
     return F.array_join(column, ",")
 
@@ -325,6 +333,52 @@ def retrieve_topk(spark, folder):
     return searched(spark, folder).select("question_id", "rank", "job_id", "chunk_order", "title", "score", "keyword_score")
 
 
+@query
+def retrieve_topk_sparse(spark, folder):
+    """`retrieve_topk` from an inverted index."""
+    passages = stored_chunks(spark, folder)
+    asked = retrieve.normalize_questions(adapters.questions(spark, folder))
+    found = retrieve.search_index(asked, retrieve.index_chunks(passages), passages, TOP_K * 4)
+    return found.select("question_id", "rank", "job_id", "chunk_order", "title", "score", "keyword_score")
+
+
+@query
+def knn_topk_cells(spark, folder):
+    """`knn_topk` by cells; cells that cannot hold a neighbour are skipped."""
+    table = adapters.job_vectors(spark, folder)
+    ensure_checkpoint_dir(spark)
+    found = vectors.nearest_jobs(table, 10, cells=neighbours.fit_cells(table))
+    return found.select("job_id", "candidate_id", scores.rounded(F.col("raw_score"), 6).alias("score"), "rank")
+
+
+def inverted_lists(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Queries, and their approximate neighbours from so many lists as hold 0.97 of a sample's exact ones."""
+    table = adapters.job_vectors(spark, folder)
+    ensure_checkpoint_dir(spark)
+    cells = neighbours.fit_cells(table)
+    queries = table.withColumnRenamed("job_id", "query_id")
+    index = neighbours.build_index(table.withColumnRenamed("job_id", "candidate_id"), cells).checkpoint()
+    probes = neighbours.choose_probes(queries, index, cells, ["candidate_id"], TOP_N, exclude_same_id=True, target=0.97)
+    return queries, neighbours.nearest_in_cells(queries, index, cells, ["candidate_id"], TOP_N, exclude_same_id=True, probes=probes)
+
+
+@query
+def knn_ivf(spark, folder):
+    """Approximate neighbours; no SQL counterpart, `knn_ivf_recall` holds them against exact search."""
+    found = inverted_lists(spark, folder)[1]
+    return found.select(F.col("query_id").alias("job_id"), "candidate_id", scores.rounded(F.col("raw_score"), 6).alias("score"), "rank")
+
+
+@query
+def knn_ivf_recall(spark, folder):
+    queries, found = inverted_lists(spark, folder)
+    truth = vectors.nearest(queries, queries.withColumnRenamed("query_id", "candidate_id"), ["candidate_id"], TOP_N, exclude_same_id=True)
+    return neighbours.recall(found, truth, ["candidate_id"]).select("neighbours", (F.col("recall") >= 0.9).alias("reached"))
+
+
+APPROXIMATE = {"knn_ivf"}
+
+
 # --- aggregations ------------------------------------------------------------------------------
 
 
@@ -426,7 +480,7 @@ def dedup_per_job(spark, folder):
 
 @query
 def chunk_ids(spark, folder):
-    return chunks.with_chunk_ids(job_chunks(spark, folder), 64).select("job_id", "chunk_order", "chunk_id")
+    return chunks.with_chunk_ids(stored_chunks(spark, folder), 64).select("job_id", "chunk_order", "chunk_id")
 
 
 @query

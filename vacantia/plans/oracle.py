@@ -485,10 +485,14 @@ LEFT JOIN incoming i USING (url)""", "stored", "incoming", "state"),
             f"SELECT id, CASE WHEN embedded THEN {NOW} END AS embedded_at FROM stages", "stages"),
         "knn_topk": build(f"SELECT job_id, candidate_id, {rnd('raw', 6)} AS score, rank FROM neighbours WHERE rank <= 10", "neighbours"),
         "knn_topk_blocked": build(f"SELECT job_id, candidate_id, {rnd('raw', 6)} AS score, rank FROM neighbours WHERE rank <= 10", "neighbours"),
+        "knn_topk_cells": build(f"SELECT job_id, candidate_id, {rnd('raw', 6)} AS score, rank FROM neighbours WHERE rank <= 10", "neighbours"),
+        "knn_ivf_recall": build("SELECT count(*) AS neighbours, TRUE AS reached FROM neighbours WHERE rank <= 10", "neighbours"),
         "retrieve_topk_prefiltered": build("""
 SELECT question_id, position, job_id, chunk_order::BIGINT AS chunk_order, title, location, category, final_score FROM early_hits""", "early_hits"),
         "retrieve_topk": build(
             "SELECT question_id, rank, job_id, chunk_order::BIGINT AS chunk_order, title, score, keyword_score FROM searched", "searched"),
+        "retrieve_topk_sparse": build(
+            "SELECT question_id, rank, job_id, chunk_order::BIGINT AS chunk_order, title, score, keyword_score FROM searched", "searched"),
         "skills_per_posting": build("SELECT job_id, skills_text FROM skill_text", "skill_text"),
         "top_skills": build("""
 SELECT skill, count(*) AS count FROM (SELECT unnest(skills) AS skill FROM jobs) GROUP BY skill ORDER BY count DESC, skill LIMIT 10""", "jobs"),

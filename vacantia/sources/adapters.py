@@ -30,8 +30,14 @@ TIMES = ["epoch", "2024-01-15 12:30:00", "2023-11-05", "not a date", None, "2024
 LANGS = ["en", "fr", "de", "es", None]
 
 
+PARTITIONS = "spark.vacantia.documentPartitions"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table.  A number set under PARTITIONS deals the documents to so many tasks, for files of one row group."""
+    found = spark.read.parquet(f"{folder}/{name}.parquet")
+    wanted = spark.conf.get(PARTITIONS, None) if name == "documents" else None
+    return found.repartition(int(wanted)) if wanted else found
 
 
 def pick(options: list, number: Column) -> Column:
