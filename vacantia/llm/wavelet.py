@@ -27,6 +27,9 @@ END_ID = 1
 SLICE = 2 << 20
 CACHE_WORDS = 3_000_000  # some 50 bytes each
 GROUP = 1000
+MERGE = 4
+WARM_WORDS = 1 << 19
+WARM_DOCUMENTS = 20_000
 BROADCAST_SHARDS = 1_000_000
 SCHEMA = ("shard long, block long, before long, n long, bits int, zeros array<long>, planes binary, ranks binary,"
           " keys array<long>, lengths array<long>")
@@ -49,13 +52,17 @@ class WaveletMatrix:
         n, zeros, planes, ranks = len(ids), [], [], []
         row = np.asarray(ids)
         for b in range(bits - 1, -1, -1):
-            one = (row >> b) & 1 == 1
+            one = ((row >> b) & 1).astype(bool)
             packed = np.packbits(one, bitorder="little")
-            per_step = np.add.reduceat(_BITS[packed], np.arange(0, len(packed), STEP // 8), dtype=np.uint32) if n else []
+            counts = np.bitwise_count(np.pad(packed, (0, -len(packed) % 8)).view(np.uint64))
+            per_step = np.add.reduceat(counts, np.arange(0, len(counts), STEP // 64), dtype=np.uint32) if n else []
             ranks.append(np.concatenate([[0], np.cumsum(per_step)]).astype("<u4"))
             planes.append(packed)
-            row = np.concatenate([row[~one], row[one]])
             zeros.append(n - int(ranks[-1][-1]))
+            below = np.empty_like(row)
+            np.take(row, np.flatnonzero(~one), out=below[:zeros[-1]])
+            np.take(row, np.flatnonzero(one), out=below[zeros[-1]:])
+            row = below
         return cls(n, bits, zeros, np.concatenate(planes).tobytes(), np.concatenate(ranks).tobytes())
 
     def _ones(self, level: int, at: int) -> int:
@@ -119,8 +126,8 @@ class WaveletMatrix:
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             above = np.empty_like(row)
             z = self.zeros[level]
-            above[~one] = row[:z]
-            above[one] = row[z:] | (1 << (self.bits - 1 - level))
+            above[np.flatnonzero(~one)] = row[:z]
+            above[np.flatnonzero(one)] = row[z:] | (1 << (self.bits - 1 - level))
             row = above
         return row
 
@@ -148,13 +155,59 @@ def pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 _encoders: dict[str, WordEncoder] = {}
 
 
-def worker_encoder(path: str) -> WordEncoder:
-    """The encoder of this Python worker, kept with its cache between tasks."""
+def worker_encoder(path: str, warm=None) -> WordEncoder:
+    """The encoder of this Python worker, kept with its cache between tasks; `warm` holds words that a new one starts with."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+        if warm is not None:
+            _encoders[path].start_with(*warm.value)
     return _encoders[path]
 
 
+def _sample_words(text: str):
+    """The distinct words of each slice, as the encoder cuts them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in words.slices(batch, text, SLICE):
+                starts, ends, hashes, _, data = pieces(texts)
+                _, one, often = np.unique(hashes, return_index=True, return_counts=True)
+                found = [data[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(often)], names=["word", "n"])
+    return run
+
+
+def _encoded_words(tokenizer_path: str):
+    """Hashes, numbers of ids and ids of the words of each batch, packed to one row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encoder = WordEncoder(tokenizer_path)
+        for batch in batches:
+            found = batch.column(0).to_pylist()
+            if not found:
+                continue
+            ids, sizes = encoder._encode_new(found)
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            keys = words.hash_runs(np.frombuffer(b"".join(found), np.uint8), np.cumsum(lengths) - lengths, words.WORD_VALUES)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (keys, sizes, ids)], names=["keys", "sizes", "ids"])
+    return run
+
+
+def warm_words(docs: DataFrame, text: str, tokenizer_path: str, most: int = WARM_WORDS, sample_documents: int = WARM_DOCUMENTS):
+    """A broadcast of the ids of at most `most` words, the most frequent of a sample, each encoded once; results do not depend on it.
+
+    Every worker would otherwise encode them itself.  Some 30 bytes a word.
+    """
+    spark = docs.sparkSession
+    share = min(1.0, sample_documents / max(docs.count(), 1))
+    counted = docs.select(text).sample(share, 7).mapInArrow(_sample_words(text), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    often = counted.where("n > 1 AND position('<|', cast(word AS string)) = 0").orderBy(F.desc("n"), "word").limit(most).select("word")
+    rows = often.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_encoded_words(tokenizer_path), "keys binary, sizes binary, ids binary").collect()
+    keys, sizes, ids = (np.concatenate([np.empty(0, kind), *(np.frombuffer(r[i], kind) for r in rows)]) for i, kind in enumerate((np.uint64, np.int64, np.uint32)))
+    return spark.sparkContext.broadcast((keys, sizes.astype(np.uint16), ids))
+
+
 class WordEncoder:
     """Ids of whole texts through a bounded cache of words.
 
@@ -175,11 +228,39 @@ class WordEncoder:
         self.between, self.between_id = special[0].encode(), self.tokenizer.token_to_id(special[0])
 
     def _clear(self) -> None:
-        """The cache: sorted word hashes, and where in `flat` the ids of each begin and how many there are."""
-        self.keys = np.empty(0, np.uint64)
-        self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        """The cache: runs of sorted word hashes, where in `flat` the ids of each begin and how many there are.
+
+        Each run is over MERGE times as long as the next, so a word is copied a few times only as the cache grows.
+        """
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.flat = np.empty(0, np.uint32)
 
+    def start_with(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Words encoded elsewhere: their hashes, numbers of ids, and ids."""
+        order = np.argsort(keys)
+        sizes = sizes.astype(np.int64)
+        self.flat = np.concatenate([self.flat, ids])
+        if len(keys):
+            self._add(keys[order], (np.cumsum(sizes) - sizes)[order], sizes[order])
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and number of the ids of each word; begin is -1 for unknown ones."""
+        begin, size = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        missing = np.arange(len(keys))
+        for known, begins, sizes in self.runs:
+            at = np.minimum(np.searchsorted(known, keys[missing]), len(known) - 1)
+            hit = known[at] == keys[missing]
+            begin[missing[hit]], size[missing[hit]] = begins[at[hit]], sizes[at[hit]]
+            missing = missing[~hit]
+        return begin, size
+
+    def _add(self, keys: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        self.runs.append((keys, begin, size))
+        while len(self.runs) > 1 and MERGE * len(self.runs[-1][0]) > len(self.runs[-2][0]):
+            last, before = self.runs.pop(), self.runs.pop()
+            order = np.argsort(np.concatenate([before[0], last[0]]), kind="stable")  # two sorted runs: a merge
+            self.runs.append(tuple(np.concatenate([x, y])[order] for x, y in zip(before, last)))
+
     def _encode_new(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their numbers, encoding many words at a time with a special token between them."""
         if any(b"<|" in w for w in new):  # a word may hold special tokens itself
@@ -203,31 +284,27 @@ class WordEncoder:
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
         keys, one, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == keys[at < len(self.keys)]
-        if len(self.keys) > self.cache_words and not known.all():
+        begin, size = self._find(keys)
+        if sum(len(r[0]) for r in self.runs) > self.cache_words and (begin < 0).any():
             self._clear()
-            known[:], at[:] = False, 0
-        if not known.all():
-            new = np.flatnonzero(~known)
+            begin[:] = -1
+        new = np.flatnonzero(begin < 0)
+        if len(new):
             ids, sizes = self._encode_new([data[a:b] for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist())])
-            begin = len(self.flat) + np.cumsum(sizes) - sizes
+            begin[new], size[new] = len(self.flat) + np.cumsum(sizes) - sizes, sizes
             self.flat = np.concatenate([self.flat, ids])
-            self.keys = np.insert(self.keys, at[new], keys[new])
-            self.begin, self.size = np.insert(self.begin, at[new], begin), np.insert(self.size, at[new], sizes)
-            at = np.searchsorted(self.keys, keys)
-        begin, size = self.begin[at][back], self.size[at][back]
+            self._add(keys[new], begin[new], sizes)
+        begin, size = begin[back], size[back]
         sums = np.concatenate([[0], np.cumsum(size)])
         return self.flat[words.ragged(begin, size)], np.diff(sums[first])
 
 
-def _write_blocks(tokenizer_path: str, bits: int, key: str, text: str, end_id: int, block_tokens: int):
+def _write_blocks(tokenizer_path: str, warm, bits: int, key: str, text: str, end_id: int, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, shard, block, before = worker_encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        encoder, shard, block, before = worker_encoder(tokenizer_path, warm), TaskContext.get().partitionId(), 0, 0
         keys, lengths, ids = [], [], []
 
         def flush() -> pa.RecordBatch:
@@ -279,7 +356,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, key:
     bits = max(1, (max(Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True) - 1, end_id)).bit_length())
     rows = docs.select(key, text)
     ordered = (rows.repartitionByRange(partitions, key) if partitions else rows.repartitionByRange(key)).sortWithinPartitions(key)
-    blocks = ordered.mapInArrow(_write_blocks(tokenizer_path, bits, key, text, end_id, block_tokens), SCHEMA)
+    blocks = ordered.mapInArrow(_write_blocks(tokenizer_path, warm_words(docs, text, tokenizer_path), bits, key, text, end_id, block_tokens), SCHEMA)
     blocks.write.option("compression", "zstd").parquet(folder)
 
 
