@@ -100,16 +100,20 @@ def test_run_log(spark, tmp_path):
     assert runs.latest_runs(log.read(), 1, "run_id").first()["pipeline_name"] == "process_jobs"
 
 
+def test_run_log_without_runs(spark, tmp_path):
+    assert runs.RunLog(spark, str(tmp_path / "none")).read().collect() == []
+
+
 def test_freshness(frame):
     rows = [("a", "success", dt.datetime(2024, 1, 1, 0)), ("a", "failed", dt.datetime(2024, 1, 2, 12)), ("b", "failed", None),
             ("c", "success", dt.datetime(2024, 1, 1, 23, 30))]
     got = {r["pipeline_name"]: tuple(r)[1:] for r in runs.freshness(
         frame(rows, "pipeline_name string, status string, finished_at timestamp_ntz"), "2024-01-02 01:00:00").collect()}
     assert got == {"a": (True, True, 25.0), "b": (False, None, None), "c": (True, False, 1.5)}
-    meta = frame([("x", "2024-01-01T00:00:00"), ("y", "soon"), ("z", None), ("o", "2024-01-01T00:00:00+05:00"), ("u", "2024-01-01T06:00:00Z")], "artifact string, generated_at string")
+    meta = frame([("x", "2024-01-01T00:00:00"), ("y", "soon"), ("z", None), ("o", "2024-01-01T00:00:00+05:00"), ("h", "2024-01-01T00:00:00+05"), ("u", "2024-01-01T06:00:00Z")], "artifact string, generated_at string")
     got = {r["artifact"]: tuple(r)[1:] for r in runs.metadata_freshness(meta, "2024-01-01 12:00:00").collect()}
     assert got == {"x": (True, False, 12.0), "y": (True, None, None), "z": (False, None, None),
-                   "o": (True, False, 17.0), "u": (True, False, 6.0)}
+                   "o": (True, False, 17.0), "h": (True, False, 17.0), "u": (True, False, 6.0)}
 
 
 SNAPSHOT = ("ordinal long, title string, company string, location string, category string, seniority string, "

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from vacantia.functions import rules
 from vacantia.functions.scores import rounded
+from vacantia.sources.tables import path_exists
 
 RUNS_SCHEMA = (
     "run_id string, pipeline_name string, status string, source_name string, input_rows bigint, output_rows bigint, "
@@ -65,6 +66,9 @@ class RunLog:
         return done
 
     def read(self) -> DataFrame:
+        """The latest row of each run; none before the first run."""
+        if not path_exists(self.spark, self.path):
+            return self.spark.createDataFrame([], RUNS_SCHEMA)
         return current_runs(self.spark.read.schema(RUNS_SCHEMA).parquet(self.path))
 
 
@@ -111,7 +115,7 @@ def metadata_freshness(metadata: DataFrame, now: str) -> DataFrame:
     text = F.trim("generated_at")
     local = text.try_cast("timestamp").cast("timestamp_ntz")
     instant = F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
-    has_offset = text.rlike(r":\d\d(\.\d+)?\s*(Z|UTC|[+-]\d\d:?\d\d)$")
+    has_offset = text.rlike(r":\d\d(\.\d+)?\s*(Z|UTC|[+-]\d\d(:?\d\d)?)$")
     age, stale = staleness(F.when(has_offset, instant).otherwise(text.try_cast("timestamp_ntz")), at)
     return metadata.select(
         "artifact", F.col("generated_at").isNotNull().alias("available"), stale.alias("stale"), age.alias("age_hours")
