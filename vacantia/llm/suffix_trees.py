@@ -1,10 +1,10 @@
 """Substring deduplication by prefix-partitioned suffix trees over words.
 
 Suffixes are split by a prefix of variable length: a prefix whose suffixes would not fit a task's memory is lengthened
-word by word, and suffixes of short prefixes share a task, so every group fits.  A task builds the part of the tree that
-matters for its suffixes: the nodes WINDOW words deep, each the set of suffixes that share this path.  A node with two
-suffixes or more is an internal node of the tree or lies on the edge above one; runs of such nodes along a text are its
-repeats, right-maximal where the run ends.  A path is known by the 64-bit hash of its words, within its prefix group.
+word by word, and suffixes of short prefixes share a task, so every group fits.  No tree is built: a task sorts
+its suffixes by the 64-bit hash of their first WINDOW words and finds the nodes of that depth as runs of equal hashes, without
+an order by words, common prefix lengths or deeper nodes, which do not change what is removed.  A node with two suffixes or
+more lies on a repeat; runs of such nodes along a text are its repeats, right-maximal where the run ends.
 Prefixes that stay too large at full depth (passages in very many texts) are nodes already: their first places are found
 by a minimum per task beforehand and settled where the text is read.
 
