@@ -13,22 +13,27 @@ from vacantia.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the chain trained on the given labels does not call toxic; null and empty texts stay, an empty table stays empty."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies; see `order_minhash.one_of_each` for nulls, ties and repeated rows."""
     return order_minhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a passage of a benchmark item; null and empty texts hold none, repeated rows are judged alike."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows repeated and sampled to the source weights; texts without words are not taken, equal rows all or none."""
     return mixing.mixed_documents(docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A digest of every row from the token files; null texts have the end id only, repeated keys are neighbours."""
     return wavelet.encode_and_read(docs, tokenizer_path("word_bpe_49k.json"))
 
 
