@@ -64,6 +64,19 @@ def test_upsert_cycle(frame, empty):
     assert sorted(again.collect()) == sorted(after.collect())
 
 
+def test_texts_are_read_and_hashed_once(frame, empty):
+    """After the staged table is written, numbering and matching use addresses, hashes and row numbers alone."""
+    staged = ingest.stage(frame([row(1, "a"), row(1, "a", "Tie"), row(2, "b"), row(3, None)], SNAPSHOT))
+    actions = ingest.key_actions(empty, staged)
+    assert actions.columns == ["url", "_row", "id", "action"]
+    assert sorted(r["url"] for r in actions.collect()) == ["a", "b"]
+    state = ingest.upsert_state(empty, frame([row(1, "a"), row(1, "a", "Tie"), row(2, "b")], SNAPSHOT).coalesce(1), T1)
+    assert by_url(state)["a"]["title"] == "Tie"
+    plan = state._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan
+    assert not any("description" in line for line in plan.splitlines() if "Window" in line)
+
+
 def test_missing_rows_stay_and_null_hash_counts_as_changed(frame, empty):
     state = ingest.upsert_state(empty, frame([row(1, "a"), row(2, "b")], SNAPSHOT), T1)
     state = state.withColumn("source_hash", F.lit(None).cast("string")).checkpoint()

@@ -185,3 +185,73 @@ def test_versions_are_complete_or_not_seen(spark, frame, tmp_path):
     (tmp_path / "t" / "v=3").mkdir()
     assert t.current() == 2 and t.read().first()["a"] == 2 and t.read(1).first()["a"] == 1
     assert t.write(frame([(5,)], "a int"), 2) == 2 and t.read().agg(F.sum("a")).first()[0] == 5
+
+
+def test_buckets_that_are_not_replaced_keep_their_files(spark, frame, tmp_path):
+    t = tables.BucketedTable(spark, str(tmp_path / "t"), "k int, v string", "k", 8)
+    rows = frame([(i, "old") for i in range(200)], "k int, v string")
+    assert t.current() is None and t.read().count() == 0 and set(t.places().values()) == {None}
+    t.replace(rows, range(8))
+    before = {b: sorted(p.name for p in (tmp_path / "t" / "v=1" / f"_bucket={b}").iterdir()) for b in range(8)}
+    one = t.buckets_of(rows.filter("k = 7"), F.col("k"))
+    t = tables.BucketedTable(spark, str(tmp_path / "t"), "k int, v string", "k", 5)      # the stored number of buckets counts
+    new = t.read(buckets=one).withColumn("v", F.when(F.col("k") == 7, "new").otherwise(F.col("v")))
+    assert t.replace(new, one) == 2
+    assert sorted(r["k"] for r in t.read().filter("v = 'new'").collect()) == [7] and t.read().count() == 200
+    files = t.read().inputFiles()
+    for b in set(range(8)) - set(one):
+        assert all(any(f.endswith(f"v=1/_bucket={b}/{n}") for f in files) for n in before[b] if n.endswith(".parquet") and n[0] != ".")
+    assert t.read(1).filter("v = 'new'").count() == 0
+    with pytest.raises(ValueError):
+        t.replace(rows, one)
+    assert t.current() == 2 and t.read().count() == 200
+    assert t.replace(t.read(1, one).limit(0), one, version=2) == 2 and t.places()[one[0]] is None
+    assert t.read().count() == 200 - t.read(1, one).count()
+
+
+def test_old_versions_expire(spark, frame, tmp_path):
+    t = tables.BucketedTable(spark, str(tmp_path / "t"), "k int", "k", 4)
+    rows = frame([(i,) for i in range(50)], "k int")
+    t.replace(rows, range(4))
+    for b in (0, 0, 1):
+        t.replace(t.read(buckets=[b]), [b])
+    assert t.versions() == [1, 2, 3, 4] and t.expire(2) == 2 and t.versions() == [3, 4]
+    assert t.read().count() == 50 and t.read(3).count() == 50
+    assert not (tmp_path / "t" / "v=2" / "_bucket=0").exists() and (tmp_path / "t" / "v=1" / "_bucket=2").exists()
+    with pytest.raises(ValueError):
+        t.expire(0)
+
+
+def test_a_small_snapshot_rewrites_its_buckets_only(spark, frame, tmp_path):
+    p = Pipeline(spark, str(tmp_path / "p"), buckets=16, keep_versions=3)
+    p.run(snapshot(frame, [(f"u{i}", f"T{i}", TEXT) for i in range(60)]))
+    jobs, vectors = p.jobs.places(), p.vectors.places()
+    s = p.run(snapshot(frame, [("u5", "Changed", TEXT), ("u6", "T6", TEXT)]))
+    assert (s["ingest"]["updated_rows"], s["ingest"]["unchanged_rows"], s["process"]["processed_jobs"]) == (1, 1, 1)
+    assert sum(p.jobs.places()[b] != v for b, v in jobs.items()) == 1
+    assert sum(p.vectors.places()[b] != v for b, v in vectors.items()) == 1
+    assert p.jobs.read().count() == 60 and p.served_vectors().count() == 60 and len(p.jobs.versions()) == 3
+    assert p.jobs.read().filter("title = 'Changed'").select("processing_status").first()[0] == "processed"
+
+
+def test_a_repeated_version_and_an_empty_snapshot(spark, frame, tmp_path):
+    p = Pipeline(spark, str(tmp_path / "p"))
+    assert p.ingest(snapshot(frame, []))["input_rows"] == 0 and p.jobs.read().count() == 0
+    rows = [("a", "A", TEXT), ("a", "A2", TEXT), ("b", "B", "short"), (None, "N", TEXT)]
+    for _ in range(2):
+        s = p.ingest(snapshot(frame, rows), version=5)
+        assert (s["inserted_rows"], s["duplicate_rows"], s["missing_url"], s["short_description"]) == (1, 1, 1, 1)
+    assert p.jobs.current() == 5 and p.jobs.read().first()["title"] == "A2"
+
+
+def test_bad_vectors_are_not_stored(spark, frame, tmp_path):
+    def uneven():
+        return lambda texts: np.ones((len(texts), 3 if any("changed" in t.lower() for t in texts) else 2))
+
+    p = Pipeline(spark, str(tmp_path / "p"), load_encoder=uneven, buckets=1)
+    p.run(snapshot(frame, [("a", "A", TEXT), ("b", "B", TEXT)]))
+    with pytest.raises(ValueError):
+        p.run(snapshot(frame, [("b", "B", "Changed. " + TEXT)]))
+    assert p.served_vectors().count() == 2
+    with pytest.raises(ValueError):
+        Pipeline(spark, str(tmp_path / "none")).served_vectors()

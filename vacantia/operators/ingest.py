@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vacantia.functions import rules, text
+from vacantia.session import written
 
 SOURCE_FIELDS = ["category", "company", "date_posted", "description", "location", "seniority", "title", "url"]
 DERIVED_FIELDS = {
@@ -108,46 +109,102 @@ def reset_derived(rows: DataFrame) -> DataFrame:
     return rows.withColumns({**blank, "processing_status": F.lit("pending")})
 
 
-def changed_rows(existing: DataFrame, actions: DataFrame, now: str) -> DataFrame:
-    """Full job rows for inserted and updated addresses, in state pending."""
+def stage(snapshot: DataFrame) -> DataFrame:
+    """Normalised, validated rows with a number `_row` of their own, to be written once and then read by column."""
+    return validate(normalize(snapshot)).withColumn("_row", F.monotonically_increasing_id())
+
+
+def key_actions(existing: DataFrame, staged: DataFrame, full_rebuild: bool = False) -> DataFrame:
+    """url, _row, id and action of the last valid staged row of each address (equal ordinals: the later row).
+
+    Only addresses, hashes and numbers are read and shuffled, no texts.
+    """
+    order = Window.partitionBy("url").orderBy(F.col("ordinal").desc(), F.col("_row").desc())
+    valid = staged.filter("reject_reason IS NULL").select("url", "ordinal", "_row", "source_hash")
+    keys = valid.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1")
+    known = existing.select("url", "id", F.col("source_hash").alias("known_hash"))
+    changed = ~F.col("known_hash").eqNullSafe(F.col("source_hash")) | F.lit(full_rebuild)
+    action = F.when(F.col("id").isNull(), "inserted").when(changed, "updated").otherwise("unchanged")
+    return keys.join(known, "url", "left").select("url", "_row", "id", action.alias("action"))
+
+
+def changed_rows(staged: DataFrame, actions: DataFrame, top: Column, now: str) -> DataFrame:
+    """Full job rows for inserted and updated addresses, in state pending; new ids follow `top`.
+
+    Ids are given to the narrow keys; texts join them by row number, so they are in no window.
+    """
     changed = numbered(actions.filter("action <> 'unchanged'"), "url", F.col("id").isNull())
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
-    rows = changed.withColumns({"id": F.coalesce("id", F.col("position") + top), "ingested_at": moment(now)})
-    return reset_derived(rows).select(JOBS_COLUMNS)
+    keys = changed.select("_row", F.coalesce("id", F.col("position") + top).alias("id"))
+    return reset_derived(staged.join(keys, "_row").withColumn("ingested_at", moment(now))).select(JOBS_COLUMNS)
+
+
+def top_id(existing: DataFrame) -> Column:
+    return existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
+
+
+def kept_rows(existing: DataFrame, actions: DataFrame, full_rebuild: bool = False) -> DataFrame:
+    """Rows that the upsert leaves; `full_rebuild` resets them."""
+    changed = actions.filter("action <> 'unchanged'").select("url")
+    kept = existing.join(changed, "url", "left_anti").select(JOBS_COLUMNS)
+    return reset_derived(kept).select(JOBS_COLUMNS) if full_rebuild else kept
 
 
 def upsert_state(existing: DataFrame, snapshot: DataFrame, now: str, full_rebuild: bool = False) -> DataFrame:
-    """State after the upsert.  Rows missing from the snapshot stay; `full_rebuild` resets every row."""
-    changed = changed_rows(existing, upsert_actions(existing, snapshot, full_rebuild), now)
-    kept = existing.join(changed.select("url"), "url", "left_anti").select(JOBS_COLUMNS)
-    if full_rebuild:
-        kept = reset_derived(kept).select(JOBS_COLUMNS)
-    return kept.unionByName(changed)
+    """State after the upsert.  Rows missing from the snapshot stay; `full_rebuild` resets every row.
+
+    The snapshot is normalised and hashed once, into a written table; so are the actions.
+    """
+    staged = written(stage(snapshot), "staged")
+    actions = written(key_actions(existing, staged, full_rebuild), "actions")
+    changed = changed_rows(staged, actions, top_id(existing), now)
+    return kept_rows(existing, actions, full_rebuild).unionByName(changed)
+
+
+def _number_where(condition: Column) -> Column:
+    return F.count(F.when(condition, F.lit(1)))
+
+
+def staged_counters() -> list[Column]:
+    """Aggregates over the staged rows."""
+    reason = F.col("reject_reason")
+    return [
+        F.count(F.lit(1)).alias("input_rows"),
+        F.count(reason).alias("skipped_rows"),
+        *[_number_where(reason == r).alias(r) for r in ("missing_url", "missing_title", "short_description")],
+    ]
+
+
+def action_counters() -> list[Column]:
+    """Aggregates over the actions."""
+    return [_number_where(F.col("action") == a).alias(f"{a}_rows") for a in ("inserted", "updated", "unchanged")]
+
+
+def all_counters(staged: dict, acted: dict) -> dict:
+    """Counters of one ingest from the aggregates over its staged rows and its actions."""
+    changed = acted["inserted_rows"] + acted["updated_rows"]
+    duplicates = staged["input_rows"] - staged["skipped_rows"] - changed - acted["unchanged_rows"]
+    return {**staged, **acted, "changed_rows": changed, "duplicate_rows": duplicates}
+
+
+def _counters(checked: DataFrame, acted: DataFrame) -> DataFrame:
+    parts = checked.agg(*staged_counters()).unionByName(acted.agg(*action_counters()), allowMissingColumns=True)
+    both = parts.agg(*[F.sum(c).alias(c) for c in parts.columns])
+    both = both.withColumn("changed_rows", F.col("inserted_rows") + F.col("updated_rows"))
+    rest = F.col("input_rows") - F.col("skipped_rows") - F.col("changed_rows") - F.col("unchanged_rows")
+    return both.withColumn("duplicate_rows", rest).select(
+        "input_rows", "inserted_rows", "updated_rows", "unchanged_rows", "changed_rows", "skipped_rows",
+        "missing_url", "missing_title", "short_description", "duplicate_rows",
+    )
 
 
 def ingest_summary(existing: DataFrame, snapshot: DataFrame, full_rebuild: bool = False) -> DataFrame:
     """Counters of one ingest as a single row."""
-    checked = validate(normalize(snapshot)).groupBy("reject_reason").agg(F.count("*").alias("n"))
-    acted = upsert_actions(existing, snapshot, full_rebuild).groupBy("action").agg(F.count("*").alias("n"))
+    return _counters(validate(normalize(snapshot)), upsert_actions(existing, snapshot, full_rebuild))
 
-    def total(condition: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.expr(condition), F.col("n"))), F.lit(0)).cast("bigint")
 
-    rows = checked.select("reject_reason", F.lit(None).cast("string").alias("action"), "n").unionByName(
-        acted.select(F.lit(None).cast("string").alias("reject_reason"), "action", "n")
-    )
-    return rows.agg(
-        total("action IS NULL").alias("input_rows"),
-        total("action = 'inserted'").alias("inserted_rows"),
-        total("action = 'updated'").alias("updated_rows"),
-        total("action = 'unchanged'").alias("unchanged_rows"),
-        total("action IN ('inserted', 'updated')").alias("changed_rows"),
-        total("reject_reason IS NOT NULL").alias("skipped_rows"),
-        total("reject_reason = 'missing_url'").alias("missing_url"),
-        total("reject_reason = 'missing_title'").alias("missing_title"),
-        total("reject_reason = 'short_description'").alias("short_description"),
-        (total("action IS NULL AND reject_reason IS NULL") - total("action IS NOT NULL")).alias("duplicate_rows"),
-    )
+def staged_summary(staged: DataFrame, actions: DataFrame) -> DataFrame:
+    """The same from written staged rows and actions."""
+    return _counters(staged, actions)
 
 
 def stamp_touched(jobs: DataFrame, touched: DataFrame, column: str, now: str) -> DataFrame:

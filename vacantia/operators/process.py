@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions import text
@@ -30,11 +30,20 @@ def process_postings(jobs: DataFrame, now: str, lexicon: dict[str, list[str]] |
     ).select(jobs.columns)
 
 
+def summary_columns(among: Column | None = None) -> list[Column]:
+    """Aggregates over processed rows, or over those of them where `among` holds."""
+    def only(value: Column) -> Column:
+        return value if among is None else F.when(among, value)
+
+    skills, one = F.size("detected_skills"), F.lit(1)
+    rows = F.count(only(one))
+    return [
+        rows.alias("processed_jobs"),
+        F.count(only(F.when(skills == 0, one))).alias("jobs_without_skills"),
+        F.count(only(F.when(F.col("cleaned_description") == "", one))).alias("empty_cleaned_description"),
+        F.coalesce(rounded(F.try_divide(F.sum(only(skills)), rows), 3), F.lit(0.0)).alias("avg_skills_per_job"),
+    ]
+
+
 def process_summary(processed: DataFrame) -> DataFrame:
-    skills = F.size("detected_skills")
-    return processed.agg(
-        F.count("*").alias("processed_jobs"),
-        F.count_if(skills == 0).alias("jobs_without_skills"),
-        F.count_if(F.col("cleaned_description") == "").alias("empty_cleaned_description"),
-        F.coalesce(rounded(F.try_divide(F.sum(skills), F.count("*")), 3), F.lit(0.0)).alias("avg_skills_per_job"),
-    )
+    return processed.agg(*summary_columns())

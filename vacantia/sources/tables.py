@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,3 +102,105 @@ class VersionedTable:
         names = [f.split()[0] for f in self.schema.split(", ")]
         rows.select(names).write.mode("overwrite").parquet(f"{self.path}/v={version}")
         return version
+
+
+PLACES_SCHEMA = "bucket int, version int"
+
+
+class BucketedTable:
+    """A Parquet table dealt by the hash of a key into buckets; a write replaces whole buckets and leaves the others' files.
+
+    Version n holds the replaced buckets in folders `v=n/_bucket=b`, and a small table `places/v=n` that names for each
+    bucket the version with its rows (null: none).  That table is written last and makes the version complete, so a
+    failed write is never seen, readers keep their files and old versions stay readable until `expire`.  The number of
+    buckets is fixed by the first write.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 32):
+        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
+        self._first_buckets = buckets
+
+    def _found(self, pattern: str) -> list:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
+        found = place.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(place) or []
+        return [f.getPath() for f in found]
+
+    def versions(self) -> list[int]:
+        return sorted(int(p.getParent().getName()[2:]) for p in self._found("places/v=*/_SUCCESS"))
+
+    def current(self, before: int | None = None) -> int | None:
+        """The newest complete version, or the newest one older than `before`."""
+        found = [v for v in self.versions() if before is None or v < before]
+        return found[-1] if found else None
+
+    def places(self, version: int | None = None) -> dict[int, int | None]:
+        """The version that holds each bucket's rows: one entry a bucket, read on the driver."""
+        version = self.current() if version is None else version
+        if version is None:
+            return dict.fromkeys(range(self._first_buckets))
+        rows = self.spark.read.schema(PLACES_SCHEMA).parquet(f"{self.path}/places/v={version}").collect()
+        return {r["bucket"]: r["version"] for r in rows}
+
+    def bucket_of(self, key: Column) -> Column:
+        versions = self.versions()
+        count = len(self.places(versions[0])) if versions else self._first_buckets
+        return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+
+    def buckets_of(self, rows: DataFrame, key: Column) -> list[int]:
+        """The buckets that the rows belong to, at most all of them."""
+        return sorted(r[0] for r in rows.select(self.bucket_of(key)).distinct().collect())
+
+    def read(self, version: int | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
+        """The table, or some buckets of it."""
+        wanted = None if buckets is None else set(buckets)
+        paths = [
+            f"{self.path}/v={v}/_bucket={b}"
+            for b, v in sorted(self.places(version).items())
+            if v is not None and (wanted is None or b in wanted)
+        ]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def replace(
+        self,
+        rows: DataFrame,
+        buckets: Iterable[int],
+        version: int | None = None,
+        verify: Callable[[DataFrame], object] | None = None,
+    ) -> int:
+        """Make `rows` the content of these buckets.  Rows of any other bucket are an error.
+
+        `verify` gets the written rows, if there are any, before the version counts; what it raises prevents that.
+        Writing an existing version again starts from the one before it.  Large buckets become several files.
+        """
+        base = self.current(version)
+        version = (base or 0) + 1 if version is None else version
+        places = self.places(base) if base is not None else dict.fromkeys(range(self._first_buckets))
+        buckets, folder = set(buckets), f"{self.path}/v={version}"
+        names = [f.split()[0] for f in self.schema.split(", ")]
+        dealt = rows.select(*names, F.pmod(F.xxhash64(self.key), F.lit(len(places))).cast("int").alias("_bucket"))
+        dealt.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(folder)
+        present = {int(p.getName().split("=")[1]) for p in self._found(f"v={version}/_bucket=*")}
+        if not present <= buckets:
+            raise ValueError(f"rows of buckets that are not replaced: {sorted(present - buckets)[:10]}")
+        if verify is not None and present:
+            verify(self.spark.read.schema(self.schema).parquet(*[f"{folder}/_bucket={b}" for b in sorted(present)]))
+        places |= {b: version if b in present else None for b in buckets}
+        table = self.spark.createDataFrame(sorted(places.items()), PLACES_SCHEMA).coalesce(1)
+        table.write.mode("overwrite").parquet(f"{self.path}/places/v={version}")
+        return version
+
+    def expire(self, keep: int) -> int:
+        """Drop all but the newest `keep` versions, and the folders of buckets that only the dropped ones used."""
+        if keep < 1:
+            raise ValueError("keep at least one version")
+        found = self.versions()
+        dropped = found[:-keep]
+        used = {(v, b) for version in found[-keep:] for b, v in self.places(version).items()}
+        old = [p for v in dropped for p in self._found(f"places/v={v}")]
+        for v in dropped:
+            old += [p for p in self._found(f"v={v}/_bucket=*") if (v, int(p.getName().split("=")[1])) not in used]
+        for place in old:
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        return len(dropped)
