@@ -64,11 +64,15 @@ def test_client_key(frame):
     assert got == ["1.1.1.1", "h", "h", "unknown"]
 
 
+LEFT = {}
+
+
 def run_stream(spark, folder, name, delay):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder))
     out = decide_stream(stream, "key", "ts", "id", 2, 60, delay)
     query = out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
+    LEFT[name] = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     return {r["request_id"]: r["admitted"] for r in spark.table(name).collect()}
 
 
@@ -89,3 +93,13 @@ def test_stream_with_delay_sorts_late_requests(spark, frame, tmp_path):
     got = run_stream(spark, tmp_path / "in", "late", "2 hours")
     got = {k: v for k, v in got.items() if k >= 0}
     assert got == loop(rows, 2, 60)
+
+
+def test_idle_keys_leave_the_state(spark, frame, tmp_path):
+    rows = [(i, f"k{i % 50}", START + dt.timedelta(seconds=i // 50)) for i in range(200)]
+    batches = [rows] + [[(1000 + d, "end", START + dt.timedelta(days=d))] for d in (1, 2, 3)]
+    for batch in batches:
+        frame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = run_stream(spark, tmp_path / "in", "idle", "10 minutes")
+    assert {k: v for k, v in got.items() if k < 1000} == loop(rows, 2, 60)
+    assert max(LEFT["idle"]) == 50 + 1 and LEFT["idle"][-1] == 1

@@ -35,7 +35,9 @@ def decide_stream(
 
     Without `delay` requests are decided as their micro-batch arrives, ordered inside it.  With `delay` they
     wait in the state of their key until the watermark has passed them, so late and unordered requests are
-    decided in time order.
+    decided in time order.  A key's state is then dropped once the watermark has passed the last request that it
+    holds by the window, since that state admits like none; requests older than the watermark are dropped by Spark
+    (`numRowsDroppedByWatermark` counts them).  Without `delay` there is no watermark, so a key keeps at most `limit` times.
     """
     window = int(round(window_seconds * MICROS))
     rows = _requests(stream, key, time, request_id)
@@ -55,9 +57,15 @@ def decide_stream(
         if delay is not None:
             ready = int(np.searchsorted(at, state.getCurrentWatermarkMs() * 1000, side="left"))
         admitted, held = admit(at[:ready], held, limit, window)
+        held = [int(t) for t in held]
         state.update((held, at[ready:].tolist(), ids[ready:].tolist()))
-        if delay is not None and ready < len(at):
-            state.setTimeoutTimestamp(int(at[ready] // 1000) + 1)
+        if delay is not None:
+            watermark = state.getCurrentWatermarkMs()
+            due = [int(at[ready])] if ready < len(at) else [held[-1] + window] if held else []
+            if due and (ready < len(at) or due[0] // 1000 + 1 > watermark):
+                state.setTimeoutTimestamp(max(due[0] // 1000 + 1, watermark + 1))
+            else:
+                state.remove()
         yield pd.DataFrame({"key": group[0], "request_id": ids[:ready], "admitted": admitted})
 
     timeout = GroupStateTimeout.NoTimeout if delay is None else GroupStateTimeout.EventTimeTimeout
