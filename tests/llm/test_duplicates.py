@@ -163,6 +163,34 @@ def test_short_classes_are_exact(spark, frame, monkeypatch, hot):
     assert {i: c for i, c in enumerate(least) if got[i] != c} == {} and len(got) == len(texts)
 
 
+def test_parities_never_rule_out_a_similar_pair():
+    rng = random.Random(12)
+    for size in (5, 40, 300, 4000):
+        a = np.array([rng.randrange(size) for _ in range(size)], np.uint64)
+        b = np.delete(a, rng.sample(range(size), size // 20 + 1))
+        x, y = (order_minhash.labelled(order_minhash.shingles(words.mix(v))) for v in (a, b))
+        bits = sum(int(v).bit_count() for v in (order_minhash.parities(x) ^ order_minhash.parities(y)).view(np.uint64))
+        assert bits <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_pairs_by_blocks_and_shuffle_joins(spark, frame, monkeypatch):
+    """Buckets cut into blocks, no star repeated and nothing broadcast: the same links between components."""
+    for name, value in (("PAIR_BLOCK", 3), ("STAR_ROUNDS", 0), ("BROADCAST_IDS", 0), ("BROADCAST_SKETCHES", 0)):
+        monkeypatch.setattr(order_minhash, name, value)
+    texts = [t for seed in range(20, 25) for t in near_copies(seed, 6, 2)]
+    members = frame([(token, i, len(t.split()), 0) for token in (7, 8) for i, t in enumerate(texts)], "token long, id long, n long, u long")
+    links = order_minhash.similar_links(members, frame(list(enumerate(texts)), "id long, text string"), len(texts), 0.8)
+    got = {r["node"]: r["component"] for r in components.components(links).collect()}
+    value = [words.word_arrays(t.encode())[2] for t in texts]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if least[i] != least[j] and order_minhash.similar(value[i], value[j]) >= 0.8:
+                a, b = sorted((least[i], least[j]))
+                least = [a if x == b else x for x in least]
+    assert len(set(least)) < len(texts) and [got.get(i, i) for i in range(len(texts))] == least
+
+
 @pytest.mark.parametrize("hot", [100, 2])
 def test_prefix_tokens_meet(spark, frame, monkeypatch, hot):
     monkeypatch.setattr(order_minhash, "HOT", hot)

@@ -11,7 +11,8 @@ the rarest of their shingles instead (`prefix_tokens`), and one in common makes
 
 Large groups never become pairs: each bucket compares its members with one centre (a star, salted), stars repeat with other
 centres for members that did not join, and only what then still lies in different components is compared pairwise, so
-no link between two members of a bucket is lost.
+no link between two members of a bucket is lost.  There, bitmaps of parities rule out most pairs before they become rows:
+two texts differ in at least as many shingles as their bitmaps differ in bits, so no similar pair is ruled out.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ HOT = 100  # short texts with one shingle, beyond which its bucket is split by t
 BROADCAST_SKETCHES = 50_000  # half a KB each, seldom more
 SALT_ROWS = 64
 PAIR_SALTS = 8  # the last pairs have many first texts with fewer partners each
+PARITY_WORDS = 16  # longs of a parity bitmap
+PAIR_BLOCK = 2048  # first texts of one bucket that one group compares with all of its members
 _RANDOM = np.random.default_rng(20240101)
 _MULTIPLY = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -253,6 +256,35 @@ def _alike(n: str, u: str, m: str, v: str, threshold: float):
     return (both > 0) & (both >= F.lit(threshold - 1e-9) * (a + b - both))
 
 
+def parities(values: np.ndarray) -> np.ndarray:
+    """A bitmap whose bits tell whether an odd number of the values falls on them.
+
+    Values that two texts share cancel out in the XOR of their bitmaps, so it has at most as many bits as values are in
+    one of the texts alone.
+    """
+    bits = np.bincount(words.mix(values) % np.uint64(64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(bits.astype(bool), bitorder="little").view(np.int64)
+
+
+def _parity_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for _, texts in words.slices(batch, "text"):
+            _, _, _, hashes, first = words.sliced_words(texts)
+            rows += [parities(labelled(shingles(hashes[a:b]))).tolist() for a, b in zip(first[:-1], first[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["id", "bits"])
+
+
+def _within(n: str, bits: str, m: str, other: str, threshold: float):
+    """Whether the bitmaps of two texts of n and m words leave them a similarity of `threshold`.
+
+    At that similarity at most (1 - threshold) / (1 + threshold) of all their shingles are in one of them alone.
+    """
+    apart = sum(F.bit_count(F.col(bits)[i].bitwiseXOR(F.col(other)[i])) for i in range(PARITY_WORDS))
+    both = F.col(n) + F.col(m) - 2 * (SHINGLE - 1)
+    return apart <= F.lit((1 - threshold) / (1 + threshold)) * both + 1e-6
+
+
 def _star(members: DataFrame, threshold: float) -> DataFrame:
     """Pairs of every bucket's least member with its others, once each."""
     low = members.groupBy("token").agg(F.min(F.struct("id", "n", "u")).alias("low"))
@@ -286,16 +318,23 @@ def similar_links(members: DataFrame, texts: DataFrame, documents: int, threshol
                  .select(F.col("low.id").alias("a"), F.col("id").alias("b")).distinct())
         links = written(links.unionByName(verified(again, texts, threshold)), "links")
     # All common tokens of a pair that is still apart are here, since their buckets hold several components.
-    own = written(mixed.groupBy("id").agg(F.collect_set("token").alias("sketch")), "mixed-sketches")
+    own = mixed.groupBy("id").agg(F.collect_set("token").alias("sketch"))
+    known = written(texts.join(_bounded(mixed.select("id").distinct(), "mixed-ids"), "id").select("id", "text")
+                    .mapInArrow(_parity_rows, "id long, bits array<long>"), "parities")
+    own = written(own.join(known, "id"), "mixed-sketches")
     own = F.broadcast(own) if own.count() <= BROADCAST_SKETCHES else own
-    mixed = mixed.select("token", "id", "n", "u", "c", "c_low").join(own, "id")
+    # A large bucket is cut into blocks of first texts, each with a copy of the members.
+    mixed = (mixed.select("token", "id", "n", "u", "c", "c_low", F.ceil(F.col("size") / PAIR_BLOCK).alias("blocks")).join(own, "id"))
     rest = mixed.where(F.col("c") != F.col("c_low")).select(
-        "token", *[F.col(x).alias(y) for x, y in (("id", "a"), ("n", "m"), ("u", "v"), ("c", "d"), ("sketch", "other"))])
+        "token", F.pmod(F.xxhash64("id"), "blocks").alias("block"),
+        *[F.col(x).alias(y) for x, y in (("id", "a"), ("n", "m"), ("u", "v"), ("c", "d"), ("sketch", "other"), ("bits", "other_bits"))])
+    mixed = mixed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     both = (F.col("c") != F.col("d")) & ((F.col("c") == F.col("c_low")) | (F.col("a") < F.col("id")))
     # A pair meets in each of its common tokens; it counts in the least.
     common = F.array_intersect("sketch", "other")
     once = F.array_min(common) == F.col("token")
-    left = rest.join(mixed, "token").where(both & _alike("n", "u", "m", "v", threshold) & once).select("a", F.col("id").alias("b"))
+    fits = both & _alike("n", "u", "m", "v", threshold) & _within("n", "bits", "m", "other_bits", threshold) & once
+    left = rest.join(mixed, ["token", "block"]).where(fits).select("a", F.col("id").alias("b"))
     return links.unionByName(verified(left, texts, threshold, PAIR_SALTS))
 
 
