@@ -51,6 +51,32 @@ def test_equals_a_plain_loop(frame, limit, window, slice_seconds):
     assert got == loop(rows, limit, window)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_one_key_and_one_window_hold_most_rows(frame, parts):
+    """90 % of the rows in one key, nearly all of them within one window and many at one time, cut over many ranges."""
+    rng = random.Random(11)
+    rows = [(i, "hot", START + dt.timedelta(seconds=rng.choice([0, 0, 5, 20, rng.randint(0, 50)]))) for i in range(2600)]
+    rows += [(3000 + i, "hot", START + dt.timedelta(seconds=40 + 7 * i)) for i in range(100)]
+    rows += [(5000 + i, f"k{i % 7}", START + dt.timedelta(seconds=rng.randint(0, 600))) for i in range(300)]
+    for limit, window in ((2, 60), (100, 60), (1, 1)):
+        assert decided(admission.decide(frame(rows, SCHEMA), "key", "ts", "id", limit, window, parts=parts)) == loop(rows, limit, window)
+
+
+def test_no_group_is_collected(frame):
+    rows = admission.decide(frame(traffic(1, 50), SCHEMA), "key", "ts", "id", 2, 60)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "MapInArrow" in plan
+
+
+def test_nulls_and_empty_tables(frame):
+    at = [START + dt.timedelta(seconds=s) for s in range(4)]
+    rows = [(1, None, at[0]), (2, None, at[1]), (3, None, at[2]), (4, "", at[0]), (5, "a", None), (6, None, None), (7, "a", at[3])]
+    got = decided(admission.decide(frame(rows, SCHEMA), "key", "ts", "id", 2, 60, parts=3))
+    assert got == {1: True, 2: True, 3: False, 4: True, 5: False, 6: False, 7: True}
+    assert decided(admission.decide(frame(rows[:5], SCHEMA), "key", "ts", "id", 0, 60)) == dict.fromkeys(range(1, 6), False)
+    assert admission.decide(frame([], SCHEMA), "key", "ts", "id", 2, 60).collect() == []
+
+
 def test_limit_expiry_and_boundary(frame):
     at = [0, 10, 20, 60, 61, 71]
     rows = [(i, "a", START + dt.timedelta(seconds=s)) for i, s in enumerate(at)] + [(9, "b", START)]

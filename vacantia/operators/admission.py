@@ -3,11 +3,11 @@
 A request is rejected when N admitted ones are at most W old; rejected requests are not remembered, so the
 decision depends on earlier decisions and no range count gives it.
 
-A key may hold a large share of all rows, so a key is never one group.  Its requests are cut into time
-slices, each a bounded group.  In most slices there is a moment where the state is known from the slice
-alone (`_known_end`); these end states start the following slices at once.  Only slices without such a
-moment, where a key is over its limit all the time, wait for the slice before.  Each round settles the next
-run of up to CHAIN such slices of every key, one slice in memory at a time.
+A key may hold a large share of all rows, so a key is never one group.  Requests are dealt into ranges of (key, time, id),
+which cut a large key wherever it has to be.  The state at the end of a range follows from the range alone if its last key
+begins there, or if there is a moment where the state does not depend on what came before (`_known_end`); the ranges behind
+start from it at once.  Only a range whose one key is over its limit throughout waits for the one before: runs of such
+ranges are walked in order, batch by batch, with the at most N times held as the only state.
 """
 
 from __future__ import annotations
@@ -16,15 +16,17 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vacantia.functions import rules, text
 from vacantia.session import ensure_checkpoint_dir
 
 MICROS = 1_000_000
-CHAIN = 256
+ROW_BITS = 33  # a row's number is its range's number and its place in the range, in this many bits
 
 
 def client_key(forwarded_for: Column, host: Column) -> Column:
@@ -73,6 +75,93 @@ def _known_end(times: np.ndarray, begin: int, end: int, limit: int, window: int)
     return admit(times[start:], times[behind[start]:start].tolist(), limit, window)[1]
 
 
+def _key_runs(keys: pa.Array) -> list[tuple[object, int, int]]:
+    """(key, start, end) of the runs of equal keys, null being a key like others."""
+    if not len(keys):
+        return []
+    null = np.asarray(keys.is_null())
+    other = np.asarray(pc.fill_null(pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)), False))
+    cuts = [0, *(np.flatnonzero(other | (null[1:] != null[:-1])) + 1).tolist(), len(keys)]
+    return [(keys[a].as_py(), a, b) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _summaries(limit: int, window: int, schema: pa.Schema):
+    """A row for each range that has requests: its ends, and what of the last key's state they tell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, last, one_key, state, times = None, None, None, True, [], []
+        for batch in batches:
+            at = batch["at"].to_numpy()
+            for key, a, b in _key_runs(batch["key"]):
+                if part is None:
+                    part, first = batch["row"][0].as_py() >> ROW_BITS, key
+                elif key != last:
+                    one_key, state, times = False, [], []
+                last = key
+                if one_key:
+                    times.append(at[a:b])
+                state = admit(at[a:b], state, limit, window)[1]
+        if part is not None:
+            known = None
+            if limit <= 0:
+                known = []
+            elif one_key:
+                every = np.concatenate(times)
+                # Requests of the range before may be as late as the first one here.
+                known = _known_end(every, int(every[0]) + 1, int(every[-1]), limit, window)
+            row = {"part": part, "first_key": first, "last_key": last, "one_key": one_key, "fresh": state, "known": known}
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    return run
+
+
+def _chain_ends(limit: int, window: int):
+    """End states of the ranges of each run, whose rows come in order; the first row of a run brings the state before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, state = None, []
+        for batch in batches:
+            parts, at, held = batch["part"].to_numpy(), batch["at"].to_numpy(), batch["held"]
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            done = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if part is not None and part != parts[a]:
+                    done.append((part, state))
+                if held[a].is_valid:
+                    state = held[a].as_py()
+                part = int(parts[a])
+                state = admit(at[a:b], state, limit, window)[1]
+            yield _ends(done)
+        if part is not None:
+            yield _ends([(part, state)])
+
+    return run
+
+
+def _ends(done: list[tuple[int, list[int]]]) -> pa.RecordBatch:
+    columns = [pa.array([p for p, _ in done], pa.int64()), pa.array([s for _, s in done], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "walked"])
+
+
+def _decisions(limit: int, window: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, last, state = False, None, []
+        for batch in batches:
+            at, admitted = batch["at"].to_numpy(), np.zeros(len(batch), dtype=bool)
+            for key, a, b in _key_runs(batch["key"]):
+                if not begun:
+                    begun, state = True, batch["held"][0].as_py() or []
+                elif key != last:
+                    state = []
+                last = key
+                admitted[a:b], state = admit(at[a:b], state, limit, window)
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["request_id"], pa.array(admitted)], names=names)
+
+    return run
+
+
 def decide(
     requests: DataFrame,
     key: str,
@@ -81,84 +170,69 @@ def decide(
     limit: int = rules.RATE_LIMIT_REQUESTS,
     window_seconds: float = rules.RATE_LIMIT_WINDOW_SECONDS,
     slice_seconds: float | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Requests with `admitted`.  Requests at the same time are taken in id order.
+    """Requests with `admitted`.  Requests at the same time are taken in id order; a null key is a key like others.
 
-    `slice_seconds` bounds the rows of a group; it is at least 4 W (default 8 W).
+    Requests without a time are not admitted and not remembered.  `parts` is the number of ranges (default: the session's
+    shuffle partitions); a task holds the times of one range at most.  `slice_seconds` is kept for older callers and has no
+    effect: ranges are bounded by rows, not by time.
     """
     window = int(round(window_seconds * MICROS))
-    span = max(int(round((slice_seconds or 8 * window_seconds) * MICROS)), 4 * window, 1)
     spark = requests.sparkSession
+    ensure_checkpoint_dir(spark)
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     micros = F.timestamp_diff("MICROSECOND", epoch, F.col(time).cast("timestamp_ntz"))
     rows = requests.select(F.col(key).alias("key"), F.col(request_id).alias("request_id"), micros.alias("at"))
-    slices = (
-        rows.withColumn("slice", F.floor(F.col("at") / span))
-        .groupBy("key", "slice")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "request_id"))).alias("requests"))
+    order = ["key", "at", "request_id"]
+    timed = rows.filter("at IS NOT NULL")
+    ranges = timed.repartitionByRange(*order) if parts is None else timed.repartitionByRange(parts, *order)
+    # The checkpoint fixes ranges and order, which a repeated task could otherwise draw anew.
+    dealt = ranges.sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id()).checkpoint()
+
+    key_type, id_type = rows.schema["key"].dataType, rows.schema["request_id"].dataType
+    state = T.ArrayType(T.LongType())
+    told = T.StructType([
+        T.StructField("part", T.LongType()), T.StructField("first_key", key_type), T.StructField("last_key", key_type),
+        T.StructField("one_key", T.BooleanType()), T.StructField("fresh", state), T.StructField("known", state),
+    ])
+    arrow = pa.schema([
+        ("part", pa.int64()), ("first_key", _arrow_type(timed)), ("last_key", _arrow_type(timed)), ("one_key", pa.bool_()),
+        ("fresh", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())),
+    ])
+    # A row for each range from here on: few enough for one ordered window and for broadcasts.
+    by_part = Window.orderBy("part")
+    ends = dealt.select("key", "at", "row").mapInArrow(_summaries(limit, window, arrow), told)
+    continues = F.coalesce(F.lag(F.lit(True)).over(by_part), F.lit(False)) & F.col("first_key").eqNullSafe(
+        F.lag("last_key").over(by_part)
     )
-
-    @F.pandas_udf("array<bigint>")
-    def known_end(times: pd.Series, number: pd.Series) -> pd.Series:
-        ends = [
-            _known_end(np.asarray(t, dtype=np.int64), s * span, (s + 1) * span, limit, window)
-            for t, s in zip(times, number)
-        ]
-        return pd.Series(ends, dtype=object)
-
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Ends of slices sorted by key and number; a slice starts from the one before it in the same run."""
-        last, end = None, None
-        for batch in batches:
-            ends = []
-            for key_value, number, times, held in zip(batch["key"], batch["slice"], batch["times"], batch["held"]):
-                if last != (key_value, number - 1) or end is None:
-                    end = None if held is None else list(held)
-                if end is not None:
-                    end = admit(np.asarray(times, dtype=np.int64), end, limit, window)[1]
-                last = (key_value, number)
-                ends.append(end)
-            yield pd.DataFrame({"key": batch["key"], "slice": batch["slice"], "_new": pd.Series(ends, dtype=object)})
-
-    @F.pandas_udf("array<boolean>")
-    def decisions(times: pd.Series, held: pd.Series) -> pd.Series:
-        return pd.Series(
-            [admit(np.asarray(t, dtype=np.int64), list(h), limit, window)[0] for t, h in zip(times, held)], dtype=object
-        )
-
-    ensure_checkpoint_dir(spark)
-    packed = slices.withColumn("times", F.col("requests.at")).withColumn("end", known_end("times", "slice"))
-    packed = packed.checkpoint()
-    ends = packed.select("key", "slice", "end")
-    empty = F.array().cast("array<bigint>")
-
-    def with_start(table: DataFrame, known: DataFrame) -> DataFrame:
-        """Add `held`: the end of the slice before, empty when there was no request, null when not settled."""
-        before = known.select("key", (F.col("slice") + 1).alias("slice"), F.col("end").alias("_held"), F.lit(True).alias("_is"))
-        return (
-            table.join(before, ["key", "slice"], "left")
-            .withColumn("held", F.when(F.col("_is"), F.col("_held")).otherwise(empty))
-            .drop("_held", "_is")
-        )
-
-    key_type = packed.schema["key"].dataType.simpleString()
-    run = F.floor(F.col("slice") / CHAIN)
-    while not ends.filter("end IS NULL").isEmpty():
-        waiting = with_start(ends.filter("end IS NULL").drop("end"), ends)
-        settled = (
-            packed.select("key", "slice", "times")
-            .join(waiting, ["key", "slice"])
-            .repartition("key", run)
-            .sortWithinPartitions("key", "slice")
-            .mapInPandas(follow, f"key {key_type}, slice bigint, _new array<bigint>")
-        )
-        ends = (
-            ends.join(settled, ["key", "slice"], "left")
-            .select("key", "slice", F.coalesce("end", "_new").alias("end"))
-            .checkpoint()
-        )
-    decided = with_start(packed.drop("end"), ends).withColumn("admitted", decisions("times", "held"))
-    return decided.select(
-        "key", F.explode(F.arrays_zip("requests", "admitted")).alias("_r")
-    ).select("key", F.col("_r.requests.request_id").alias(request_id), F.col("_r.admitted").alias("admitted"))
-
+    ends = ends.withColumn("continues", continues)
+    ends = ends.withColumn("end", F.when(F.col("one_key") & F.col("continues"), F.col("known")).otherwise(F.col("fresh")))
+    settled = F.max(F.when(F.col("end").isNotNull(), F.col("part"))).over(by_part)
+    ends = ends.select(
+        "part", "continues", "end", F.lag("end").over(by_part).alias("held"), settled.alias("run")
+    ).checkpoint()
+
+    first_row = F.shiftleft(F.col("part"), ROW_BITS).alias("row")
+    waiting = ends.filter("end IS NULL")
+    chained = (
+        dealt.select("at", "row", F.shiftright("row", ROW_BITS).alias("part"))
+        .join(F.broadcast(waiting.select("part", "run")), "part")
+        .join(F.broadcast(waiting.filter("held IS NOT NULL").select(first_row, "held")), "row", "left")
+        .repartition("run")
+        .sortWithinPartitions("run", "row")
+        .select("part", "at", "held")
+        .mapInArrow(_chain_ends(limit, window), "part bigint, walked array<bigint>")
+    )
+    whole = ends.join(F.broadcast(chained), "part", "left").withColumn("end", F.coalesce("end", "walked"))
+    starts = whole.select("part", "continues", F.lag("end").over(by_part).alias("held")).filter("continues")
+    decided = dealt.join(F.broadcast(starts.select(first_row, "held")), "row", "left").select("key", "request_id", "at", "held")
+    result = T.StructType([
+        T.StructField("key", key_type), T.StructField(request_id, id_type), T.StructField("admitted", T.BooleanType())
+    ])
+    untimed = rows.filter("at IS NULL").select("key", F.col("request_id").alias(request_id), F.lit(False).alias("admitted"))
+    return decided.mapInArrow(_decisions(limit, window, result.names), result).unionByName(untimed)
+
+
+def _arrow_type(rows: DataFrame) -> pa.DataType:
+    return rows.select("key").limit(0).toArrow().schema.field("key").type
