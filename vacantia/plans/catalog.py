@@ -14,6 +14,7 @@ from vacantia.operators import (
     chunks,
     evaluate,
     ingest,
+    keywords,
     neighbours,
     prepare,
     process,
@@ -24,7 +25,7 @@ from vacantia.operators import (
     vectors,
 )
 from vacantia.plans import pipeline
-from vacantia.session import ensure_checkpoint_dir
+from vacantia.session import ensure_checkpoint_dir, written
 from vacantia.sources import adapters
 
 NOW = "2024-03-01 00:00:00"
@@ -257,6 +258,23 @@ def search_postings_keyset(spark, folder):
     return search.search_postings(table, **options, after=after).select(*PAGE)
 
 
+def indexed_jobs(spark: SparkSession, folder: str, keyword: str) -> DataFrame:
+    """Postings that hold a keyword, through an index built from all of them; both stand for stored tables."""
+    table = written(jobs(spark, folder), "jobs")
+    return keywords.holding(table, written(keywords.index_keywords(table), "keywords"), keyword)
+
+
+@query
+def search_postings_indexed(spark, folder):
+    found = indexed_jobs(spark, folder, SEARCH["keyword"])
+    return search.search_postings(found, **{k: v for k, v in SEARCH.items() if k != "keyword"}).select(*PAGE)
+
+
+@query
+def keyword_matches(spark, folder):
+    return indexed_jobs(spark, folder, "IEUX%tion").select("id", "title")
+
+
 @query
 def search_total(spark, folder):
     return search.search_total(jobs(spark, folder), **SEARCH)

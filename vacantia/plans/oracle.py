@@ -458,6 +458,10 @@ FROM conversations WHERE role = 'assistant'""",
             "SELECT ordinal, reject_reason, reject_reason IS NULL AS is_valid FROM checked", "checked"),
         "search_postings": build(
             f"SELECT {DISPLAY} FROM jobs WHERE {FOUND} ORDER BY date_posted DESC NULLS FIRST, id LIMIT 20", "jobs"),
+        "search_postings_indexed": build(
+            f"SELECT {DISPLAY} FROM jobs WHERE {FOUND} ORDER BY date_posted DESC NULLS FIRST, id LIMIT 20", "jobs"),
+        "keyword_matches": build(
+            "SELECT id, title FROM jobs WHERE " + " OR ".join(f"{c} ILIKE '%ieux%tion%'" for c in ("title", "description", "cleaned")), "jobs"),
         "search_postings_page2": build(f"""
 SELECT {DISPLAY} FROM jobs WHERE (title ILIKE '%a%e%' OR description ILIKE '%a%e%' OR cleaned ILIKE '%a%e%') AND seniority ILIKE '%senior%'
 ORDER BY location ASC NULLS LAST, id LIMIT 25 OFFSET 25""", "jobs"),
