@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ RAW_COLUMNS = [
     "work_type", "remote_allowed",
 ]
 EXTRA_FIELD = "_extra_field"
+PLACE_BITS = 33  # rows of one file, as in monotonically_increasing_id
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -23,28 +26,79 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def _csv_scans(spark: SparkSession, path: str, one_line: bool) -> list[tuple[list[str], DataFrame]]:
+    """(header, rows) for each header that occurs among the files; rows also hold `_file` and `_ordinal`.
+
+    The driver reads the first line of every file.  `_ordinal` grows with the file's place in name order, then with the
+    row's place in the file, unless files are read in splits.
+    """
+    options = {"header": True, "multiLine": not one_line, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+    encoded = sorted(spark.read.text(path).inputFiles(), key=unquote)
+    names = [spark._jvm.org.apache.hadoop.fs.Path(unquote(f)).toString() for f in encoded]
+    if len(names) <= 1:
+        headers = {tuple(spark.read.options(**options).csv(path).columns): names}
+    else:
+        headers = {}
+        for name in names:
+            headers.setdefault(tuple(spark.read.options(**options).csv(name).columns), []).append(name)
+    # The hidden column has encoded names.
+    keys = [spark._jvm.org.apache.hadoop.fs.Path(f).toString() for f in encoded]
+    numbers = spark.createDataFrame(list(zip(range(len(names)), keys, names)), "_number bigint, _key string, _file string")
+    scans = []
+    for header, files in headers.items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, EXTRA_FIELD]])
+        rows = spark.read.options(**options, mode="PERMISSIVE").schema(schema).csv(path if len(headers) == 1 else files)
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+        rows = rows.select("*", F.col("_metadata.file_path").alias("_key"), place.alias("_place"))
+        if len(names) > 1:
+            rows = rows.join(F.broadcast(numbers), "_key")
+        else:
+            rows = rows.withColumns({"_number": F.lit(0).cast("bigint"), "_file": F.lit(names[0] if names else None).cast("string")})
+        scans.append((list(header), rows.withColumn("_ordinal", F.shiftleft("_number", PLACE_BITS) + F.col("_place"))))
+    return scans
+
+
+def _csv_rows(spark: SparkSession, path: str, columns: list[str], one_line: bool = False) -> DataFrame:
+    """The named columns of all files and `ordinal`."""
+    parts = []
+    for header, rows in _csv_scans(spark, path, one_line):
+        present = {c: F.col(f"`{c}`") for c in header}
+        wanted = [present.get(c, F.lit(None).cast("string")).alias(c) for c in columns]
+        parts.append(rows.filter(F.col(EXTRA_FIELD).isNull()).select(*wanted, F.col("_ordinal").alias("ordinal")))
+    if not parts:
+        fields = [T.StructField(c, T.StringType()) for c in columns]
+        return spark.createDataFrame([], T.StructType([*fields, T.StructField("ordinal", T.LongType())]))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str], one_line: bool = False) -> DataFrame:
     """The named columns of CSV files with headers, all as text; absent ones are null.
 
     Quoted fields may hold line breaks.  Lines with fewer fields than the header keep what they have, lines with more are
-    skipped (an empty field at the end is not counted), and bad bytes are replaced.  The header of the first file gives the positions, so columns may come in any
-    order.  With `one_line`, for files whose quoted fields hold no line break, large files are read in splits.
+    skipped (an empty field at the end is not counted; `rejected_lines` has them), and bad bytes are replaced.  Every
+    file's own header gives its positions, so columns may come in any order.  With `one_line`, for files whose quoted fields
+    hold no line break, large files are read in splits.
     """
-    options = {"header": True, "multiLine": not one_line, "quote": '"', "escape": '"', "encoding": "UTF-8"}
-    header = spark.read.options(**options).csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, EXTRA_FIELD]])
-    rows = spark.read.options(**options, mode="PERMISSIVE").schema(schema).csv(path)
-    good = rows.filter(F.col(EXTRA_FIELD).isNull())
-    present = {c: F.col(f"`{c}`") for c in header}
-    return good.select(*[present.get(c, F.lit(None).cast("string")).alias(c) for c in columns])
+    return _csv_rows(spark, path, columns, one_line).drop("ordinal")
+
+
+def rejected_lines(spark: SparkSession, path: str, one_line: bool = False) -> DataFrame:
+    """(file, fields) of the lines that `read_csv` skips: the header's fields and the first one beyond them."""
+    parts = [
+        rows.filter(F.col(EXTRA_FIELD).isNotNull()).select(
+            F.col("_file").alias("file"), F.array(*[F.col(f"`{c}`") for c in [*header, EXTRA_FIELD]]).alias("fields")
+        )
+        for header, rows in _csv_scans(spark, path, one_line)
+    ]
+    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], "file string, fields array<string>")
 
 
 def load_postings(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw postings with `ordinal`, the row's place in file order (one file; for several, files in scan order)."""
+    """Raw postings with `ordinal`, the row's place in file order; several files follow each other by name."""
     path = f"{folder}/postings.csv"
     if not path_exists(spark, path):
         raise FileNotFoundError(path)
-    return read_csv(spark, path, RAW_COLUMNS).withColumn("ordinal", F.monotonically_increasing_id())
+    return _csv_rows(spark, path, RAW_COLUMNS)
 
 
 def load_job_skills(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,9 +113,8 @@ def load_prepared(spark: SparkSession, path: str) -> DataFrame:
     """Prepared postings for ingest, from CSV or Parquet."""
     if path.rstrip("/").endswith(".parquet"):
         rows = spark.read.parquet(path).select(*[F.col(c).cast("string").alias(c) for c in PREPARED_COLUMNS])
-    else:
-        rows = read_csv(spark, path, PREPARED_COLUMNS)
-    return rows.withColumn("ordinal", F.monotonically_increasing_id())
+        return rows.withColumn("ordinal", F.monotonically_increasing_id())
+    return _csv_rows(spark, path, PREPARED_COLUMNS)
 
 
 def write_prepared(rows: DataFrame, path: str) -> None:
