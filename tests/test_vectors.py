@@ -168,3 +168,17 @@ def test_skewed_recommendations_stay_whole(frame):
     rows = recommend.recommend(jobs, table(frame, m), limit=3, pool=40, block_rows=20)
     assert rows.groupBy("job_id").count().filter("count = 3").count() == 90
     assert rows.filter(F.col("job_id") == F.col("candidate_id")).count() == 0
+
+
+def test_small_blocks_do_not_copy_a_table_for_each_of_them(frame, monkeypatch):
+    copied, original = [], vectors.scan_blocks
+
+    def counted(blocks, *rest):
+        copied.append(blocks.count())
+        return original(blocks, *rest)
+
+    monkeypatch.setattr(vectors, "scan_blocks", counted)
+    matrix = np.random.default_rng(3).normal(size=(600, 4))
+    v = table(frame, matrix)
+    assert found(vectors.nearest_jobs(v, 3, block_rows=2)) == brute(matrix, 3)
+    assert copied[0] <= 600 * (1 + v.sparkSession.sparkContext.defaultParallelism)  # 600 * 600 with a block for two rows

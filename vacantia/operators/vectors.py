@@ -236,15 +236,19 @@ def estimated_bytes(rows: DataFrame) -> int:
 
 
 def _block_count(rows: DataFrame, block_rows: int | None, least: int) -> int:
-    """Blocks of bounded bytes, `least` at least.  Rows are counted only if a block size is given or the estimate is too vague."""
+    """Blocks of bounded bytes, `least` at least.  Rows are counted only if a block size is given or the estimate is too vague.
+
+    Every row of the other side is copied once for each block, so `block_rows` makes blocks smaller only up to `least` blocks
+    or as many as the bytes need, whichever is more: copies do not grow with the rows otherwise.
+    """
     parallelism = rows.sparkSession.sparkContext.defaultParallelism
     if block_rows is None:
         blocks = math.ceil(estimated_bytes(rows) * EXPANSION / MAX_BLOCK_BYTES)
         if blocks <= MOST_ESTIMATED * parallelism:
             return max(blocks, least)
-        found = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
-        return max(math.ceil(found["n"] * 8 * max(found["width"] or 1, 1) / MAX_BLOCK_BYTES), min(least, math.ceil(found["n"] / 1024)), 1)
-    return max(1, math.ceil(rows.count() / block_rows))
+    found = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    needed = math.ceil(found["n"] * 8 * max(found["width"] or 1, 1) / MAX_BLOCK_BYTES)
+    return max(needed, min(least, math.ceil(found["n"] / (block_rows or 1024))), 1)
 
 
 def scan_blocks(blocks: DataFrame, keys: list[str], id_columns: list[str], k: int, exclude: bool, labels: list[str], payload: list[str]) -> DataFrame:
@@ -319,8 +323,8 @@ def nearest(
     take no part; vectors of unequal length are an error when the result is read.  `labels` names bigint columns of both
     sides that must be equal where the query's is not null.  `payload` names corpus columns that travel with the vectors.
 
-    Building the result runs no job: the number of blocks follows the optimizer's size estimate.  `block_rows` sets the
-    size of the blocks and `query_blocks` the number of those of the queries instead.
+    Building the result runs no job: the number of blocks follows the optimizer's size estimate.  With `block_rows` rows are
+    counted and blocks are about that small while they are few; `query_blocks` sets the number of those of the queries.
     """
     queries, corpus = searchable(queries, corpus, id_columns, labels or [], payload or [])
     if k <= 0:
