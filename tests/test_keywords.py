@@ -76,3 +76,30 @@ def test_empty_tables_and_bad_arguments(spark, jobs):
         keywords.index_keywords(jobs, 0)
     extra = jobs.withColumn("like", F.lit(1)).withColumn("block", F.lit("b")).withColumn("gram", F.lit("g"))
     assert ids(keywords.holding(extra, keywords.index_keywords(extra), "spark")) == ids(search.matching(jobs, "spark"))
+
+
+def test_index_is_gathered_in_lists_and_holds_every_sequence(jobs):
+    rare = "".join(chr(0x4E00 + i) for i in range(3000)) + "\U0001f600\U0001f601x"
+    rows = jobs.unionByName(jobs.sparkSession.createDataFrame([(1000, rare, None, None, "c"), (1001, "a\x00b", None, None, "c")], SCHEMA))
+    index = keywords.index_keywords(rows.union(rows), 3)  # every id twice
+    expected = {}
+    for r in rows.select("id", F.concat_ws("\n", *[F.lower(c) for c in keywords.SEARCHED]).alias("text")).collect():
+        for size in (2, 3):
+            for i in range(len(r["text"]) - size + 1):
+                expected.setdefault(r["text"][i : i + size], set()).add(r["id"])
+    got = {}
+    for r in index.collect():
+        assert not got.setdefault(r["gram"], set()) & set(r["ids"])
+        got[r["gram"]] |= set(r["ids"])
+    assert got == expected
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no row for a pair of sequence and posting
+
+
+@pytest.mark.parametrize("texts", [[], [""], ["a"], ["ab", "", "abc"], ["".join(chr(i) for i in range(0xE000, 0x19000))] * 3, ["aXbc"] * 40])
+def test_pairs_of_texts(texts):
+    grams, numbers = keywords._text_pairs(texts)
+    got = list(zip(keywords._gram_texts(grams), numbers.tolist()))
+    expected = {(t[i : i + s], n) for n, t in enumerate(texts) for s in (2, 3) for i in range(len(t) - s + 1)}
+    assert len(got) == len(set(got)) and set(got) == expected
+    assert list(grams) == sorted(grams)

@@ -4,10 +4,17 @@ The index has a row for each sequence of two or three lower-cased characters and
 the postings that hold it.  A posting that contains a keyword holds all of the keyword's sequences, so the lists of a few
 rare ones, intersected block by block, contain every posting wanted.  No list is longer than a block, however common its
 sequence is.
+
+Texts are dealt to their blocks once.  A task gathers the pairs of sequence and posting of many texts as numbers and passes
+them on as partial lists, so that no pair becomes a row; the partial lists of a sequence and block are then joined.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +27,95 @@ BLOCKS = 64
 RAREST = 4
 
 
+RUN_CHARS = 1 << 21  # characters whose sequences are sorted at once
+RUN_PAIRS = 1 << 22  # pairs of sequence and posting that are gathered for partial lists
+POINT_BITS = 21
+
+
 def _sequences(lowered: Column, size: int) -> Column:
-    return F.regexp_extract_all(lowered, F.lit(f"(?s)(?=({'.' * size}))"), F.lit(1))
+    """All sequences of so many code points."""
+    places = F.sequence(F.lit(1), F.length(lowered) - (size - 1))
+    found = F.transform(places, lambda i: F.substr(lowered, i, F.lit(size)))
+    return F.when(F.length(lowered) >= size, found).otherwise(F.array().cast("array<string>"))
+
+
+def _text_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, number of the text) of all sequences of two and three code points, each pair once, ordered by sequence.
+
+    A sequence is three fields of 21 bits, code points plus one; the third is 0 where there are only two.
+    """
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    seen = np.zeros(1 << POINT_BITS, bool)
+    seen[points] = True
+    letters = np.concatenate([[-1], np.flatnonzero(seen)])
+    bits, text_bits = int(len(letters) - 1).bit_length(), (len(texts) - 1).bit_length()
+    if 3 * bits + text_bits > 63:  # so many different letters that a sequence and a text do not share a number; fits for one text
+        half = len(texts) // 2
+        (left, first), (right, second) = _text_pairs(texts[:half]), _text_pairs(texts[half:])
+        grams, numbers = np.concatenate([left, right]), np.concatenate([first, second + half])
+        order = np.argsort(grams, kind="stable")
+        return grams[order], numbers[order]
+    letter = np.cumsum(seen, dtype=np.int64)[points]
+    number = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    pairs = letter[:-1] << (2 * bits) | letter[1:] << bits
+    triples = pairs[:-1] | letter[2:]
+    keys = np.concatenate([(pairs << text_bits | number[:-1])[number[:-1] == number[1:]],
+                           (triples << text_bits | number[:-2])[number[:-2] == number[2:]]])
+    keys.sort()
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+    code, mask = keys >> text_bits, (1 << bits) - 1
+    point = [letters[code >> (place * bits) & mask] + 1 for place in (2, 1, 0)]
+    return point[0] << (2 * POINT_BITS) | point[1] << POINT_BITS | point[2], keys & ((1 << text_bits) - 1)
+
+
+def _gram_texts(grams: np.ndarray) -> list[str]:
+    points = np.stack([grams >> (2 * POINT_BITS), grams >> POINT_BITS & ((1 << POINT_BITS) - 1), grams & ((1 << POINT_BITS) - 1)], axis=1)
+    held = points > 0
+    whole = (points[held] - 1).astype("<u4").tobytes().decode("utf-32-le")
+    ends = np.cumsum(held.sum(axis=1)).tolist()
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _partial_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (gram, block, ids) for batches of (id, block, text); a sequence and block may have several."""
+    texts, owners, chars, pairs, gathered = [], [], 0, [], 0
+
+    def sort_texts() -> int:
+        grams, numbers = _text_pairs(texts)
+        own = np.array(owners, np.int64).reshape(-1, 2)[numbers]
+        pairs.append((grams, own[:, 0], own[:, 1]))
+        return len(grams)
+
+    def lists() -> Iterator[pa.RecordBatch]:
+        grams, ids, blocks = (np.concatenate(column) for column in zip(*pairs))
+        for block in np.unique(blocks):
+            mine = blocks == block
+            gram, held = grams[mine], ids[mine]
+            order = np.argsort(gram, kind="stable")
+            gram, held = gram[order], held[order]
+            starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            offsets = np.append(starts, len(gram)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_gram_texts(gram[starts]), pa.string()), pa.array(np.full(len(starts), block, np.int32)),
+                 pa.ListArray.from_arrays(offsets, pa.array(held))], names=["gram", "block", "ids"])
+
+    for batch in batches:
+        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()))
+        for number, block, value in rows:
+            one = value.as_py().decode("utf-8", "replace")
+            texts.append(one)
+            owners.append((number, block))
+            chars += len(one)
+            if chars >= RUN_CHARS:
+                gathered += sort_texts()
+                texts, owners, chars = [], [], 0
+            if gathered >= RUN_PAIRS:
+                yield from lists()
+                pairs, gathered = [], 0
+    if texts:
+        sort_texts()
+    if pairs:
+        yield from lists()
 
 
 def index_keywords(jobs: DataFrame, blocks: int = BLOCKS, columns: tuple[str, ...] = SEARCHED) -> DataFrame:
@@ -32,10 +126,11 @@ def index_keywords(jobs: DataFrame, blocks: int = BLOCKS, columns: tuple[str, ..
     if blocks < 1:
         raise ValueError("an index has at least one block")
     whole = F.concat_ws("\n", *[F.lower(F.col(c)) for c in columns])
-    held = jobs.filter(F.col("id").isNotNull()).select(F.col("id").cast("bigint").alias("id"), whole.alias("_text"))
-    grams = F.array_distinct(F.concat(_sequences(F.col("_text"), 2), _sequences(F.col("_text"), 3)))
-    rows = held.select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(grams).alias("gram"))
-    lists = rows.groupBy("gram", "block").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    number = F.col("id").cast("bigint")
+    held = jobs.filter(F.col("id").isNotNull()).select(
+        number.alias("id"), F.pmod(F.xxhash64(number), F.lit(blocks)).cast("int").alias("block"), whole.alias("_text"))
+    partial = held.repartition("block").mapInArrow(_partial_lists, "gram string, block int, ids array<bigint>")
+    lists = partial.groupBy("gram", "block").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
     return lists.select("gram", "block", F.size("ids").alias("n"), "ids")
 
 
