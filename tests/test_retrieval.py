@@ -163,3 +163,27 @@ def test_filters_before_the_cut_and_blank_questions(spark, frame):
     early = retrieve.retrieve(asked, chunks, 1, strict=False, prefilter=True).collect()
     assert [r["job_id"] for r in early] == [9] and [r["job_id"] for r in late] in ([], [9])
     assert [tuple(r) for r in retrieve.blank_questions(asked).collect()] == [(2, "blank_question")]
+
+
+def test_few_questions_meet_the_corpus_where_it_is(spark, frame, tmp_path):
+    texts = [f"python{i % 7} word{i} sql{i % 3} backend number {i}." for i in range(300)]
+    rows = [(i, "t", "c", "Berlin", "backend" if i % 2 else "data", None, 0, t) for i, t in enumerate(texts)] + [(None, "t", "c", "x", "y", None, 0, "no id")]
+    frame(rows, CHUNKS).repartition(3).write.parquet(str(tmp_path / "chunks"))
+    frame([(i, f"python{i} sql{i % 3} {i}", "data" if i % 2 else None, None, None) for i in range(9)], QUESTIONS).write.parquet(str(tmp_path / "questions"))
+    passages, q = (spark.read.parquet(str(tmp_path / name)) for name in ("chunks", "questions"))
+    corpus = vectors.embed_texts(passages, "chunk_text")
+    for prefilter in (False, True):
+        few = retrieve.search_chunks(q, corpus, 5, prefilter=prefilter)
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInArrow" not in plan and plan.count("dense(") == 2  # questions and passages, each embedded once
+        assert sorted(few.collect()) == sorted(retrieve.search_chunks(q, corpus, 5, prefilter=prefilter, block_rows=40).collect())
+    assert few.count() == 45
+
+
+def test_passages_cut_their_sentences_once(frame):
+    from vacantia.operators import chunks as cutting
+
+    jobs = frame([(1, "a", "b", "c", "d", "e", "one sentence here. and more.", None)],
+                 "id long, title string, company string, location string, category string, seniority string, description string, cleaned_description string")
+    plan = cutting.chunk_documents(jobs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?<=[.!?]) ") == 1

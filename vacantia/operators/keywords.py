@@ -27,7 +27,7 @@ BLOCKS = 64
 RAREST = 4
 
 
-RUN_CHARS = 1 << 21  # characters whose sequences are sorted at once
+RUN_CHARS = 1 << 18  # characters whose sequences are sorted at once
 RUN_PAIRS = 1 << 22  # pairs of sequence and posting that are gathered for partial lists
 POINT_BITS = 21
 
@@ -45,7 +45,7 @@ def _text_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     A sequence is three fields of 21 bits, code points plus one; the third is 0 where there are only two.
     """
     points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    seen = np.zeros(1 << POINT_BITS, bool)
+    seen = np.zeros(int(points.max(initial=0)) + 1, bool)
     seen[points] = True
     letters = np.concatenate([[-1], np.flatnonzero(seen)])
     bits, text_bits = int(len(letters) - 1).bit_length(), (len(texts) - 1).bit_length()

@@ -9,6 +9,7 @@ Scores are compared after rounding to nine digits, equal scores by id, so result
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -29,12 +30,29 @@ TILE_CELLS = 4_000_000
 Encoder = Callable[[list[str]], np.ndarray]
 
 
-def word_buckets(source: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Bucket number of every word of the text (hashed bag of words)."""
-    return F.transform(
-        text.word_list(source),
-        lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int") % dimensions,
-    )
+MOST_KNOWN_WORDS = 1 << 18
+_known: dict[bytes, int] = {}  # hashes of the words that this Python worker has met; emptied when it is full
+
+
+def _word_hash(word: bytes) -> int:
+    found = _known.get(word)
+    if found is None:
+        if len(_known) >= MOST_KNOWN_WORDS:
+            _known.clear()
+        found = _known[word] = int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:3], "big")
+    return found
+
+
+def _word_cells(words: pa.Array, dimensions: int) -> np.ndarray:
+    """Row times dimensions plus bucket of every word (hashed bag of words); a word is hashed once in a batch."""
+    lengths = np.diff(words.offsets.to_numpy())
+    coded = words.flatten().dictionary_encode()
+    buckets = np.array([_word_hash(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.int64) % dimensions
+    return np.repeat(np.arange(len(words)) * dimensions, lengths) + buckets[coded.indices.to_numpy()]
+
+
+def _words(column: str) -> Column:
+    return F.coalesce(text.word_list(F.col(column)), F.array().cast("array<string>"))
 
 
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -50,11 +68,9 @@ def _as_lists(matrix: np.ndarray) -> pa.Array:
 
 def _dense_counts(dimensions: int):
     @F.arrow_udf("array<float>")
-    def dense(buckets: pa.Array) -> pa.Array:
-        rows = len(buckets)
-        lengths = np.diff(buckets.offsets.to_numpy())
-        cells = np.repeat(np.arange(rows), lengths) * dimensions + buckets.flatten().to_numpy()
-        counts = np.bincount(cells, minlength=rows * dimensions).reshape(rows, dimensions)
+    def dense(words: pa.Array) -> pa.Array:
+        rows = len(words)
+        counts = np.bincount(_word_cells(words, dimensions), minlength=rows * dimensions).reshape(rows, dimensions)
         return _as_lists(_unit_rows(counts.astype(np.float64)))
 
     return dense
@@ -62,10 +78,9 @@ def _dense_counts(dimensions: int):
 
 def _sparse_counts(dimensions: int):
     @F.arrow_udf("array<struct<bucket:int,weight:float>>")
-    def sparse(buckets: pa.Array) -> pa.Array:
-        rows = len(buckets)
-        cells = np.repeat(np.arange(rows), np.diff(buckets.offsets.to_numpy())) * dimensions + buckets.flatten().to_numpy()
-        cells, counts = np.unique(cells, return_counts=True)
+    def sparse(words: pa.Array) -> pa.Array:
+        rows = len(words)
+        cells, counts = np.unique(_word_cells(words, dimensions), return_counts=True)
         row = cells // dimensions
         norms = np.sqrt(np.bincount(row, counts * counts, rows))
         values = pa.StructArray.from_arrays([pa.array((cells % dimensions).astype(np.int32)), pa.array((counts / norms[row]).astype(np.float32))], names=["bucket", "weight"])
@@ -79,9 +94,8 @@ def text_weights(rows: DataFrame, column: str, dimensions: int = DIMENSIONS) ->
 
     Texts without words have no row.
     """
-    buckets = F.coalesce(word_buckets(F.col(column), dimensions), F.array().cast("array<int>"))
     rest = [F.col(c) for c in rows.columns if c != column]
-    return rows.select(*rest, F.inline(_sparse_counts(dimensions)(buckets)))
+    return rows.select(*rest, F.inline(_sparse_counts(dimensions)(_words(column))))
 
 
 def embed_texts(
@@ -93,11 +107,11 @@ def embed_texts(
     """Add `embedding`, a unit-length array<float> of the text column.
 
     `load_encoder` is called once per Python worker batch stream and returns a function from a list of texts
-    to a matrix; without it a hashed bag of words is used, whose words are hashed in the JVM.
+    to a matrix; without it a hashed bag of words is used, whose words are hashed once in a batch.
     """
     if load_encoder is None:
-        buckets = F.coalesce(word_buckets(F.col(column), dimensions), F.array().cast("array<int>"))
-        return rows.withColumn("embedding", _dense_counts(dimensions)(buckets))
+        # Said to be nondeterministic, or a filter on the embedding would be moved below it with a second evaluation.
+        return rows.withColumn("embedding", _dense_counts(dimensions).asNondeterministic()(_words(column)))
 
     @F.arrow_udf("array<float>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -227,6 +241,7 @@ def _scan(
 
 
 EXPANSION = 16  # bytes of vectors in a task for a byte that the optimizer expects of their source
+BROADCAST_QUERY_BYTES = 8 << 20  # queries expected to be no larger are broadcast, and the corpus is not shuffled
 MOST_ESTIMATED = 64  # blocks for each core, beyond which the rows are counted instead
 
 
@@ -251,30 +266,81 @@ def _block_count(rows: DataFrame, block_rows: int | None, least: int) -> int:
     return max(needed, min(least, math.ceil(found["n"] / (block_rows or 1024))), 1)
 
 
+def _best_rows(q: pa.Table, c: pa.Table, id_columns: list[str], k: int, exclude: bool, labels: list[str], payload: list[str]) -> pa.Table:
+    """The best k corpus rows `c` of each query in `q`, with score and payload."""
+    query_ids = q.column("query_id").to_numpy()
+    ids = [c.column(name).to_numpy() for name in id_columns]
+    wide, narrow = matrix(q.column("embedding")), matrix(c.column("embedding"))
+    if len(wide) and len(narrow) and wide.shape[1] != narrow.shape[1]:
+        raise ValueError(f"queries have {wide.shape[1]} dimensions, the corpus has {narrow.shape[1]}")
+    if not len(wide) or not len(narrow):
+        wide, narrow, ids = wide[:0].reshape(0, 1), narrow[:0].reshape(0, 1), [values[:0] for values in ids]
+    row, score, found = _scan(wide, narrow, [*ids, np.arange(len(narrow))], query_ids if exclude else None, k,
+                              [(pc.is_valid(q.column(n)).to_numpy(), pc.fill_null(q.column(n), 0).to_numpy(),
+                                pc.fill_null(c.column(n), 0).to_numpy()) for n in labels] if len(narrow) else None)
+    place = pa.array(found[-1])
+    return pa.table([pa.array(query_ids[row], pa.int64()), *[pa.array(v, pa.int64()) for v in found[:-1]], pa.array(score),
+                     *[c.column(name).take(place) for name in payload]], names=["query_id", *id_columns, "raw_score", *payload])
+
+
+def _found_schema(id_columns: list[str], payload: list[T.StructField]) -> T.StructType:
+    return T.StructType([T.StructField("query_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in id_columns],
+                         T.StructField("raw_score", T.DoubleType()), *[T.StructField(f.name, f.dataType) for f in payload]])
+
+
 def scan_blocks(blocks: DataFrame, keys: list[str], id_columns: list[str], k: int, exclude: bool, labels: list[str], payload: list[str]) -> DataFrame:
     """The best k corpus rows of each query in every group of `keys`; query rows have `_asks`, corpus rows the ids."""
-    taken = [blocks.schema[name] for name in payload]
 
     def scan(block: pa.Table) -> pa.Table:
         asks = block.column("_asks")
-        q, c = block.filter(asks), block.filter(pc.invert(asks))
-        query_ids = q.column("query_id").to_numpy()
-        ids = [c.column(name).to_numpy() for name in id_columns]
-        wide, narrow = matrix(q.column("embedding")), matrix(c.column("embedding"))
-        if len(wide) and len(narrow) and wide.shape[1] != narrow.shape[1]:
-            raise ValueError(f"queries have {wide.shape[1]} dimensions, the corpus has {narrow.shape[1]}")
-        if not len(wide) or not len(narrow):
-            wide, narrow, ids = wide[:0].reshape(0, 1), narrow[:0].reshape(0, 1), [values[:0] for values in ids]
-        row, score, found = _scan(wide, narrow, [*ids, np.arange(len(narrow))], query_ids if exclude else None, k,
-                                  [(pc.is_valid(q.column(n)).to_numpy(), pc.fill_null(q.column(n), 0).to_numpy(),
-                                    pc.fill_null(c.column(n), 0).to_numpy()) for n in labels] if len(narrow) else None)
-        place = pa.array(found[-1])
-        return pa.table([pa.array(query_ids[row], pa.int64()), *[pa.array(v, pa.int64()) for v in found[:-1]], pa.array(score),
-                         *[c.column(name).take(place) for name in payload]], names=["query_id", *id_columns, "raw_score", *payload])
-
-    schema = T.StructType([T.StructField("query_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in id_columns],
-                           T.StructField("raw_score", T.DoubleType()), *[T.StructField(f.name, f.dataType) for f in taken]])
-    return blocks.groupBy(*keys).applyInArrow(scan, schema)
+        return _best_rows(block.filter(asks), block.filter(pc.invert(asks)), id_columns, k, exclude, labels, payload)
+
+    return blocks.groupBy(*keys).applyInArrow(scan, _found_schema(id_columns, [blocks.schema[name] for name in payload]))
+
+
+def packed(rows: DataFrame, name: str) -> DataFrame:
+    """A row for each Arrow batch of the rows, which holds the batch as one binary value."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as stream:
+                    stream.write_batch(batch)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=[name])
+
+    return rows.mapInArrow(pack, T.StructType([T.StructField(name, T.BinaryType())]))
+
+
+def unpacked(value: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(value.as_buffer()).read_all()
+
+
+def best_of_each(found: pa.Table, id_columns: list[str], k: int) -> pa.Table:
+    """The best k rows of each query."""
+    found = found.sort_by([("query_id", "ascending"), ("raw_score", "descending"), *[(c, "ascending") for c in id_columns]])
+    query = found.column("query_id").to_numpy()
+    return found.filter(pa.array(np.arange(len(query)) - np.searchsorted(query, query) < k))
+
+
+def _broadcast_scan(queries: DataFrame, corpus: DataFrame, id_columns: list[str], k: int, exclude: bool, labels: list[str], payload: list[str]) -> DataFrame:
+    """The best k corpus rows of each query in every task.  The corpus stays where it is and meets all queries batch by batch."""
+    asked = queries.select("query_id", "embedding", *labels).coalesce(1)
+    held = corpus.select(*[F.col(c).cast("bigint").alias(c) for c in id_columns], "embedding", *labels, *payload)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, held = None, 0
+        for batch in batches:
+            for q, c in zip(batch.column("_queries"), batch.column("_corpus")):
+                found = _best_rows(unpacked(q), unpacked(c), id_columns, k, exclude, labels, payload)
+                best = found if best is None else pa.concat_tables([best, found])
+                if len(best) > 4 * held:
+                    best = best_of_each(best, id_columns, k)
+                    held = len(best)
+        if best is not None:
+            yield from best_of_each(best, id_columns, k).combine_chunks().to_batches()
+
+    met = packed(held, "_corpus").crossJoin(F.broadcast(packed(asked, "_queries")))
+    return met.mapInArrow(scan, _found_schema(id_columns, [corpus.schema[name] for name in payload]))
 
 
 def block_sides(queries: DataFrame, corpus: DataFrame, id_columns: list[str], labels: list[str], payload: list[str]) -> tuple[list[Column], list[Column]]:
@@ -323,6 +389,7 @@ def nearest(
     take no part; vectors of unequal length are an error when the result is read.  `labels` names bigint columns of both
     sides that must be equal where the query's is not null.  `payload` names corpus columns that travel with the vectors.
 
+    A few queries, by the optimizer's size estimate, are broadcast: no vector of the corpus is shuffled then.
     Building the result runs no job: the number of blocks follows the optimizer's size estimate.  With `block_rows` rows are
     counted and blocks are about that small while they are few; `query_blocks` sets the number of those of the queries.
     """
@@ -331,7 +398,10 @@ def nearest(
         extra = [T.StructField(c, corpus.schema[c].dataType) for c in payload or []]
         longs = [T.StructField(c, T.LongType()) for c in ("query_id", *id_columns)]
         return corpus.sparkSession.createDataFrame([], T.StructType([*longs, T.StructField("raw_score", T.DoubleType()), *extra, T.StructField("rank", T.IntegerType())]))
-    partial = _blocked_scan(queries, corpus, id_columns, k, exclude_same_id, block_rows, labels or [], payload or [], query_blocks)
+    if block_rows is None and query_blocks is None and estimated_bytes(queries) * EXPANSION <= BROADCAST_QUERY_BYTES:
+        partial = _broadcast_scan(queries, corpus, id_columns, k, exclude_same_id, labels or [], payload or [])
+    else:
+        partial = _blocked_scan(queries, corpus, id_columns, k, exclude_same_id, block_rows, labels or [], payload or [], query_blocks)
     return ranked(partial, id_columns, k)
 
 
