@@ -168,3 +168,14 @@ def test_building_a_retrieval_runs_no_job_and_reads_the_texts_once(spark):
     assert jobs() == before
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("documents.parquet") == 1
+
+
+def test_lists_added_up_in_tasks_equal_joined_ones(passages, asked, monkeypatch):
+    monkeypatch.setattr(retrieve, "POSTING_ROWS", 40)
+    odd = passages.limit(20).unionByName(passages.limit(9).withColumn("job_id", F.lit(None).cast("long")))
+    rows = passages.unionByName(odd).repartition(3)  # repeated and null ids
+    index = retrieve.index_chunks(rows).checkpoint()
+    for k in (1, 7, 200):
+        few = retrieve.search_index(asked, index, rows, k, broadcast_bytes=1 << 62)
+        assert sorted(map(str, few.collect())) == sorted(map(str, retrieve.search_index(asked, index, rows, k, broadcast_bytes=0).collect()))
+    assert "score(_index" in few._jdf.queryExecution().optimizedPlan().toString()

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vacantia.functions import rules, scores, text
-from vacantia.operators.vectors import embed_texts, estimated_bytes, nearest, text_weights
+from vacantia.operators.vectors import Best, best_of_each, embed_texts, estimated_bytes, nearest, packed, text_weights, unpacked
 
 BROADCAST_QUESTION_BYTES = 4 << 20
 BUCKET_SALTS = 32
+POSTING_ROWS = 1 << 18  # rows of the index that are scored at once
+PASSAGE = ["job_id", "chunk_order"]
 
 
 def normalize_questions(questions: DataFrame, strict: bool = True) -> DataFrame:
@@ -85,28 +92,108 @@ def index_chunks(chunks: DataFrame) -> DataFrame:
     return text_weights(ids, "chunk_text").select("bucket", "job_id", "chunk_order", "weight")
 
 
+def _passage_starts(rows: pa.Table) -> np.ndarray:
+    """Where in rows ordered by passage the next passage begins; null ids are a passage of their own."""
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for name in PASSAGE:
+        for values in (pc.fill_null(rows.column(name), 0).to_numpy(), pc.is_null(rows.column(name)).to_numpy()):
+            new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of some POSTING_ROWS rows that end where a passage ends."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= POSTING_ROWS:
+            whole = pa.Table.from_batches(held)
+            last = int(_passage_starts(whole)[-1])
+            yield whole.slice(0, last)
+            held = whole.slice(last).combine_chunks().to_batches()
+            rows = len(whole) - last
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _score_lists(rows: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """The best k passages of each question among those with a common bucket; the postings are added up list by list."""
+    starts = _passage_starts(rows)
+    passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
+    ids, question = np.unique(asked.column("question_id").to_numpy(), return_inverse=True)
+    width = 1 + max(pc.max(t.column("bucket")).as_py() for t in (rows, asked))
+
+    def lists(owner: np.ndarray, table: pa.Table, weight: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Owners and summed weights by bucket, and where a bucket begins."""
+        owners = int(owner.max()) + 1
+        keys, place = np.unique(table.column("bucket").to_numpy().astype(np.int64) * owners + owner, return_inverse=True)
+        return keys % owners, np.bincount(place, table.column(weight).to_numpy().astype(np.float64)), np.searchsorted(keys // owners, np.arange(width + 1))
+
+    held, weight, at = lists(passage, rows, "weight")
+    wanted, asked_weight, asked_at = lists(question, asked, "_asked")
+    sums = np.zeros((len(ids), len(starts)))
+    for bucket in range(width):
+        p, q = slice(at[bucket], at[bucket + 1]), slice(asked_at[bucket], asked_at[bucket + 1])
+        if p.start < p.stop and q.start < q.stop:
+            sums[wanted[q][:, None], held[p]] += asked_weight[q][:, None] * weight[p]
+    scores = np.where(sums > 0, np.round(sums, 9), -np.inf)
+    first = rows.take(pa.array(starts))
+    # Null ids come first among equal scores.
+    order = [pc.fill_null(first.column(name), np.iinfo(np.int64).min).to_numpy() for name in PASSAGE]
+    best = Best(k, len(ids), len(PASSAGE) + 1)
+    best.add(scores, [*order, np.arange(len(starts))])
+    best.settle()
+    found = first.take(pa.array(best.ids[-1]))
+    return pa.table([pa.array(ids[best.query]), *[found.column(name) for name in PASSAGE], pa.array(best.score)], names=["query_id", *PASSAGE, "raw_score"])
+
+
+def _broadcast_sums(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(job_id, chunk_order, question_id, raw_score): the best k passages of each question in every task, of those with a common bucket."""
+    rows = index.select(F.col("job_id").cast("bigint").alias("job_id"), "chunk_order", "bucket", "weight").dropna(subset=["bucket", "weight"])
+    ordered = rows.repartition(*PASSAGE).sortWithinPartitions(*PASSAGE)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, kept = None, 0
+        for batch in batches:
+            for lists, questions in zip(batch.column("_index"), batch.column("_questions")):
+                found = _score_lists(unpacked(lists), unpacked(questions), k)
+                best = found if best is None else pa.concat_tables([best, found])
+                if len(best) > 4 * kept:
+                    best = best_of_each(best, PASSAGE, k)
+                    kept = len(best)
+        if best is not None:
+            yield from best_of_each(best, PASSAGE, k).combine_chunks().to_batches()
+
+    questions = packed(asked.select(F.col("question_id").cast("bigint").alias("question_id"), "bucket", "_asked").dropna().coalesce(1), "_questions")
+    met = packed(ordered, "_index", _whole_passages).crossJoin(F.broadcast(questions))
+    return met.mapInArrow(score, "query_id long, job_id long, chunk_order long, raw_score double").select(*PASSAGE, F.col("query_id").alias("question_id"), "raw_score")
+
+
 def search_index(
     questions: DataFrame, index: DataFrame, chunks: DataFrame, k: int, broadcast_bytes: int = BROADCAST_QUESTION_BYTES, salts: int = BUCKET_SALTS
 ) -> DataFrame:
     """The same rows as `search_chunks`, from an inverted index (see `index_chunks`) instead of vectors.
 
-    Weights of questions and passages meet by equality of their buckets and are summed by question and passage.  The
-    index is dealt by passage, so the sums need no further shuffle, and the questions' weights are broadcast while the
-    optimizer expects at most `broadcast_bytes` of questions.  Beyond that both sides are shuffled by bucket: rows of the
+    Weights of questions and passages meet by equality of their buckets and are summed by question and passage.  While the
+    optimizer expects at most `broadcast_bytes` of questions, their weights are broadcast and the index is dealt by passage:
+    a task adds up the lists of some thousand passages at once, and no pair of question and passage becomes a row unless it
+    is among the best of its task.  Beyond that both sides are shuffled by bucket: rows of the
     index over `salts` salts each, since a bucket may hold most passages, with a copy of the questions' weights per salt.
     Passages without a common word have score 0 and fill the places that are left, by id.
     """
-    ids = ["job_id", "chunk_order"]
+    ids = PASSAGE
     asked = text_weights(questions.select("question_id", "question"), "question").withColumnRenamed("weight", "_asked")
     index = index.withColumn("chunk_order", F.col("chunk_order").cast("bigint"))
     if estimated_bytes(questions) <= broadcast_bytes:
-        met = index.repartition(*ids).join(F.broadcast(asked), "bucket")
+        sums = _broadcast_sums(index, asked, 3 * k)
     else:
         salt = F.pmod(F.xxhash64(*ids), F.lit(salts)).cast("int")
         copies = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         met = index.withColumn("_salt", salt).join(copies, ["bucket", "_salt"])
-    product = F.col("weight").cast("double") * F.col("_asked").cast("double")
-    sums = met.groupBy(*ids, "question_id").agg(F.round(F.sum(product), 9).alias("raw_score"))
+        product = F.col("weight").cast("double") * F.col("_asked").cast("double")
+        sums = met.groupBy(*ids, "question_id").agg(F.round(F.sum(product), 9).alias("raw_score"))
     first = F.broadcast(chunks.select("job_id", F.col("chunk_order").cast("bigint").alias("chunk_order")).dropna().orderBy(*ids).limit(2 * k))  # 2 k rows
     fill = questions.select("question_id").dropna().crossJoin(first).withColumn("raw_score", F.lit(0.0))
     best = Window.partitionBy("question_id").orderBy(F.col("raw_score").desc(), *ids)

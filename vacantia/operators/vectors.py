@@ -172,7 +172,7 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1 if len(column) else 0)
 
 
-class _Best:
+class Best:
     """Best k corpus rows of each of a tile of queries over the corpus tiles seen so far."""
 
     def __init__(self, k: int, queries: int, id_count: int):
@@ -221,7 +221,7 @@ def _scan(
     found = []
     for top in range(0, len(queries), height):
         tile = queries[top : top + height]
-        best = _Best(k, len(tile), len(ids))
+        best = Best(k, len(tile), len(ids))
         for left in range(0, len(corpus), width):
             part = [values[left : left + width] for values in ids]
             scores = np.round(tile @ corpus[left : left + width].T, 9)
@@ -298,14 +298,14 @@ def scan_blocks(blocks: DataFrame, keys: list[str], id_columns: list[str], k: in
     return blocks.groupBy(*keys).applyInArrow(scan, _found_schema(id_columns, [blocks.schema[name] for name in payload]))
 
 
-def packed(rows: DataFrame, name: str) -> DataFrame:
-    """A row for each Arrow batch of the rows, which holds the batch as one binary value."""
+def packed(rows: DataFrame, name: str, regroup: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch | pa.Table]] = iter) -> DataFrame:
+    """A row for each Arrow batch of the rows, which holds the batch as one binary value.  `regroup` may form other batches."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in regroup(batches):
             if batch.num_rows:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema) as stream:
-                    stream.write_batch(batch)
+                    stream.write(batch)
                 yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=[name])
 
     return rows.mapInArrow(pack, T.StructType([T.StructField(name, T.BinaryType())]))
@@ -317,7 +317,8 @@ def unpacked(value: pa.Scalar) -> pa.Table:
 
 def best_of_each(found: pa.Table, id_columns: list[str], k: int) -> pa.Table:
     """The best k rows of each query."""
-    found = found.sort_by([("query_id", "ascending"), ("raw_score", "descending"), *[(c, "ascending") for c in id_columns]])
+    order = [("query_id", "ascending"), ("raw_score", "descending"), *[(c, "ascending") for c in id_columns]]
+    found = found.take(pc.sort_indices(found, sort_keys=order, null_placement="at_start"))
     query = found.column("query_id").to_numpy()
     return found.filter(pa.array(np.arange(len(query)) - np.searchsorted(query, query) < k))
 
