@@ -1,6 +1,7 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +183,34 @@ def test_small_blocks_do_not_copy_a_table_for_each_of_them(frame, monkeypatch):
     v = table(frame, matrix)
     assert found(vectors.nearest_jobs(v, 3, block_rows=2)) == brute(matrix, 3)
     assert copied[0] <= 600 * (1 + v.sparkSession.sparkContext.defaultParallelism)  # 600 * 600 with a block for two rows
+
+
+def test_a_block_returns_its_rows_in_parts(frame, monkeypatch):
+    monkeypatch.setattr(vectors, "FOUND_ROWS", 1)  # 256 queries at once
+    matrix = np.random.default_rng(6).normal(size=(700, 4))
+    v = table(frame, matrix)
+    sizes, original = [], vectors._best_rows
+
+    def counted(q, *rest):
+        sizes.append(len(q))
+        return original(q, *rest)
+
+    monkeypatch.setattr(vectors, "_best_rows", counted)
+    block = pa.Table.from_pylist([{"_asks": True, "query_id": i, "candidate_id": None, "embedding": matrix[i].tolist()} for i in range(700)]
+                                 + [{"_asks": False, "query_id": None, "candidate_id": i, "embedding": matrix[i].tolist()} for i in range(700)])
+    got = vectors._block_rows(block, ["candidate_id"], 5, True, [], [])
+    assert sum(len(b) for b in got) == 3500 and max(sizes) == 256
+    assert found(vectors.nearest_jobs(v, 5, block_rows=100)) == brute(matrix, 5)
+
+
+def test_scores_behind_the_first_tile_are_looked_at_only_if_they_can_matter():
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(6000, 6))
+    m[::5] = m[0]  # many equal scores
+    m[7] = np.nan
+    ids = np.arange(6000)
+    row, score, taken = vectors._scan(m[:60], m, [ids], ids[:60], 10)
+    exact = np.round(m[:60] @ m.T, 9)
+    for i in range(60):
+        order = sorted((j for j in range(6000) if j != i and not np.isnan(exact[i, j])), key=lambda j: (-exact[i, j], j))[:10]
+        assert taken[0][row == i].tolist() == order

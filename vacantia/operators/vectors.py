@@ -25,7 +25,9 @@ from vacantia.functions import text
 
 DIMENSIONS = 256
 MAX_BLOCK_BYTES = 128 << 20
-TILE_CELLS = 4_000_000
+TILE_CELLS = 1_000_000
+ROUNDING = 1e-8  # scores are compared after rounding to nine digits
+FOUND_ROWS = 1 << 20  # rows that a block of queries returns at once
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -186,10 +188,15 @@ class Best:
     def add(self, scores: np.ndarray, ids: list[np.ndarray]) -> None:
         """`scores` is queries x corpus rows of one tile; -inf marks a pair to leave out."""
         if scores.shape[1] > self.k:
-            kth = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
+            place = scores.shape[1] - self.k
+            kth = np.partition(scores, place, axis=1)[:, place]
             self.least = np.maximum(self.least, kth)
         row, column = np.nonzero((scores >= self.least[:, None]) & (scores > -np.inf))
-        self.parts.append((row, scores[row, column], [values[column] for values in ids]))
+        self.keep(row, scores[row, column], [values[column] for values in ids])
+
+    def keep(self, row: np.ndarray, scores: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Pairs that may matter, by their query."""
+        self.parts.append((row, scores, ids))
         self.held += len(row)
         if self.held > 4 * self.k * self.queries:
             self.settle()
@@ -216,7 +223,7 @@ def _scan(
 
     `labels` holds for each label which queries want one, which they want, and what the corpus rows have.
     """
-    width = max(1, min(len(corpus), 4096))
+    width = max(1, min(len(corpus), max(1024, 20 * k)))
     height = max(1, TILE_CELLS // width)
     found = []
     for top in range(0, len(queries), height):
@@ -224,13 +231,23 @@ def _scan(
         best = Best(k, len(tile), len(ids))
         for left in range(0, len(corpus), width):
             part = [values[left : left + width] for values in ids]
-            scores = np.round(tile @ corpus[left : left + width].T, 9)
-            if own is not None:
-                scores[own[top : top + height, None] == part[0][None, :]] = -np.inf
-            scores[np.isnan(scores)] = -np.inf
+            scores = tile @ corpus[left : left + width].T
             for asks, want, have in labels or []:
                 other = want[top : top + height, None] != have[None, left : left + width]
                 scores[asks[top : top + height, None] & other] = -np.inf
+            if left:  # only scores that reach the kth one so far are rounded and looked at
+                row, column = np.nonzero(scores >= (best.least - ROUNDING)[:, None])
+                if len(row) <= scores.size // 8:
+                    score, mine = np.round(scores[row, column], 9), [values[column] for values in part]
+                    good = (score >= best.least[row]) & (score > -np.inf)
+                    if own is not None:
+                        good &= own[top + row] != mine[0]
+                    best.keep(row[good], score[good], [values[good] for values in mine])
+                    continue
+            scores = np.round(scores, 9)
+            if own is not None:
+                scores[own[top : top + height, None] == part[0][None, :]] = -np.inf
+            scores[np.isnan(scores)] = -np.inf
             best.add(scores, part)
         best.settle()
         found.append((best.query + top, best.score, best.ids))
@@ -288,12 +305,19 @@ def _found_schema(id_columns: list[str], payload: list[T.StructField]) -> T.Stru
                          T.StructField("raw_score", T.DoubleType()), *[T.StructField(f.name, f.dataType) for f in payload]])
 
 
+def _block_rows(block: pa.Table, id_columns: list[str], k: int, exclude: bool, labels: list[str], payload: list[str]) -> Iterator[pa.RecordBatch]:
+    """The best rows of a block, some queries at once: a query returns up to k rows, and those of all would be many times the block."""
+    q, c = (block.filter(mine) for mine in (block.column("_asks"), pc.invert(block.column("_asks"))))
+    some = max(256, FOUND_ROWS // k)
+    for top in range(0, len(q), some):
+        yield from _best_rows(q.slice(top, some), c, id_columns, k, exclude, labels, payload).combine_chunks().to_batches()
+
+
 def scan_blocks(blocks: DataFrame, keys: list[str], id_columns: list[str], k: int, exclude: bool, labels: list[str], payload: list[str]) -> DataFrame:
     """The best k corpus rows of each query in every group of `keys`; query rows have `_asks`, corpus rows the ids."""
 
-    def scan(block: pa.Table) -> pa.Table:
-        asks = block.column("_asks")
-        return _best_rows(block.filter(asks), block.filter(pc.invert(asks)), id_columns, k, exclude, labels, payload)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _block_rows(pa.Table.from_batches(batches), id_columns, k, exclude, labels, payload)
 
     return blocks.groupBy(*keys).applyInArrow(scan, _found_schema(id_columns, [blocks.schema[name] for name in payload]))
 
