@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from vacantia.functions import text
 from vacantia.operators import recommend, vectors
 
 SCHEMA = "job_id long, embedding array<float>"
@@ -214,3 +215,30 @@ def test_scores_behind_the_first_tile_are_looked_at_only_if_they_can_matter():
     for i in range(60):
         order = sorted((j for j in range(6000) if j != i and not np.isnan(exact[i, j])), key=lambda j: (-exact[i, j], j))[:10]
         assert taken[0][row == i].tolist() == order
+
+
+def test_tasks_find_the_words_that_the_jvm_finds(frame):
+    odd = ["", None, "One two_3, ONE", "Ärger über 2½ m² naïve", "x", " ", "áb c", "İstanbul ǅ ɐɐ word", "Привет, мир! 日本語 テキスト", "end\x00of \U0001d49c1 line",
+           "K ⅷ — ok", "ß", " nbsp em", "tail", "é", "÷×"]
+    rows = frame(list(enumerate(odd)), "id int, body string").coalesce(1)
+    marked = vectors._marked_words(rows, "body").select("_marked").toArrow().column(0).combine_chunks()
+    for part in (marked, marked.slice(3, 7)):
+        row, found = vectors._found_words(part)
+        got = [[] for _ in range(len(part))]
+        for place, word in zip(row.tolist(), found.to_pylist()):
+            got[place].append(word.decode())
+        want = [r[0] or [] for r in rows.select(text.word_list(F.col("body"))).collect()]
+        assert got == (want if len(part) == len(odd) else want[3:10])
+
+
+def test_embedding_sends_no_list_of_words_to_python(frame):
+    rows = frame([(1, "a b"), (2, "Привет a")], "id int, body string")
+    for found in (vectors.embed_texts(rows, "body"), vectors.text_weights(rows, "body")):
+        assert "split(" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [round(sum(w * w for w in r.embedding), 6) for r in vectors.embed_texts(rows, "body").collect()] == [1, 1]
+
+
+def test_plain_texts_pass_by_the_expression_for_white_space(frame):
+    rows = ["a b", " a  b ", "a\tb", "a b", "é ü", " x", "", None, "a \n b", "x\x85y", "\x1c"]
+    got = [r[0] for r in frame([(r,) for r in rows], "t string").select(text.collapse_spaces(F.col("t"))).collect()]
+    assert got == ["a b", "a b", "a b", "a b", "é ü", "x", "", None, "a b", "x y", ""]

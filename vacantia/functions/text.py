@@ -40,7 +40,13 @@ def first_filled(*texts: Column) -> Column:
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    """Runs of white space as one space, trimmed.  Texts without such runs are told by a cheaper test and stay as they are."""
+
+    def collapsed(t: Column) -> Column:
+        plain = ~F.contains(t, F.lit("  ")) & ~t.rlike(r"[^ -~\x{a1}-\x{24f}]")
+        return F.trim(F.when(plain, t).otherwise(F.regexp_replace(t, f"{SPACE}+", " ")))
+
+    return let(text, collapsed)
 
 
 def clean_text(text: Column) -> Column:

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,29 +34,55 @@ FOUND_ROWS = 1 << 20  # rows that a block of queries returns at once
 Encoder = Callable[[list[str]], np.ndarray]
 
 
-MOST_KNOWN_WORDS = 1 << 18
-_known: dict[bytes, int] = {}  # hashes of the words that this Python worker has met; emptied when it is full
+LATIN = 0x250  # the code points below are letters or numbers, or not, alike in every version of Unicode
+_SHORT_WORD = np.ones(0x800, bool)  # code points of at most two bytes
+_SHORT_WORD[:LATIN] = [chr(i) == "_" or unicodedata.category(chr(i))[0] in "LN" for i in range(LATIN)]
+_BYTE_WORD = np.ones(256, bool)
+_BYTE_WORD[:128] = _SHORT_WORD[:128]
 
 
-def _word_hash(word: bytes) -> int:
-    found = _known.get(word)
-    if found is None:
-        if len(_known) >= MOST_KNOWN_WORDS:
-            _known.clear()
-        found = _known[word] = int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:3], "big")
-    return found
+def _marked_words(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with `_marked`, the lower-case text in which every code point from LATIN on belongs to a word.
 
-
-def _word_cells(words: pa.Array, dimensions: int) -> np.ndarray:
+    What is a word beyond LATIN is left to the JVM, as in `text.word_list`: such texts come with a space between their words.
+    One string a row; a list of words costs the transfer to Python several times as much.
+    """
+    rows = rows.withColumn("_marked", F.coalesce(F.lower(F.col(column)), F.lit("")))
+    beyond = (F.octet_length("_marked") > F.length("_marked")) & F.col("_marked").rlike(r"[^\x00-\x{24f}]")
+    return rows.withColumn("_marked", F.when(beyond, F.regexp_replace("_marked", text.NOT_WORD + "+", " ")).otherwise(F.col("_marked")))
+
+
+def _found_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Row and bytes of every word of marked texts."""
+    texts = texts.cast(pa.large_binary())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    buf = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
+    at = at - at[0]
+    word = _BYTE_WORD[buf]
+    lead = np.flatnonzero(buf & 0xE0 == 0xC0)
+    word[lead] = word[lead + 1] = _SHORT_WORD[(buf[lead].astype(np.int64) & 31) << 6 | buf[lead + 1] & 63]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    first = at[:-1][at[:-1] < len(buf)]
+    begins[first] = word[first]
+    kept = np.compress(word, buf)
+    ends = np.append(np.flatnonzero(np.compress(word, begins)), len(kept))
+    found = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(kept)])
+    return np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(np.flatnonzero(begins), at))), found
+
+
+def _word_cells(texts: pa.Array, dimensions: int) -> np.ndarray:
     """Row times dimensions plus bucket of every word (hashed bag of words); a word is hashed once in a batch."""
-    lengths = np.diff(words.offsets.to_numpy())
-    coded = words.flatten().dictionary_encode()
-    buckets = np.array([_word_hash(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.int64) % dimensions
-    return np.repeat(np.arange(len(words)) * dimensions, lengths) + buckets[coded.indices.to_numpy()]
-
-
-def _words(column: str) -> Column:
-    return F.coalesce(text.word_list(F.col(column)), F.array().cast("array<string>"))
+    row, found = _found_words(texts)
+    coded = found.dictionary_encode()
+    if not len(coded.dictionary):
+        return np.empty(0, np.int64)
+    at, data = np.frombuffer(coded.dictionary.buffers()[1], np.int64).tolist(), coded.dictionary.buffers()[2].to_pybytes()
+    md5 = partial(hashlib.md5, usedforsecurity=False)
+    digests = b"".join([md5(data[at[i]:at[i + 1]]).digest() for i in range(len(coded.dictionary))])
+    parts = np.frombuffer(digests, np.uint8).reshape(-1, 16)[:, :3].astype(np.int64)
+    buckets = (parts @ np.array([1 << 16, 1 << 8, 1])) % dimensions
+    return row * dimensions + buckets[coded.indices.to_numpy()]
 
 
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -70,9 +98,9 @@ def _as_lists(matrix: np.ndarray) -> pa.Array:
 
 def _dense_counts(dimensions: int):
     @F.arrow_udf("array<float>")
-    def dense(words: pa.Array) -> pa.Array:
-        rows = len(words)
-        counts = np.bincount(_word_cells(words, dimensions), minlength=rows * dimensions).reshape(rows, dimensions)
+    def dense(texts: pa.Array) -> pa.Array:
+        rows = len(texts)
+        counts = np.bincount(_word_cells(texts, dimensions), minlength=rows * dimensions).reshape(rows, dimensions)
         return _as_lists(_unit_rows(counts.astype(np.float64)))
 
     return dense
@@ -80,9 +108,9 @@ def _dense_counts(dimensions: int):
 
 def _sparse_counts(dimensions: int):
     @F.arrow_udf("array<struct<bucket:int,weight:float>>")
-    def sparse(words: pa.Array) -> pa.Array:
-        rows = len(words)
-        cells, counts = np.unique(_word_cells(words, dimensions), return_counts=True)
+    def sparse(texts: pa.Array) -> pa.Array:
+        rows = len(texts)
+        cells, counts = np.unique(_word_cells(texts, dimensions), return_counts=True)
         row = cells // dimensions
         norms = np.sqrt(np.bincount(row, counts * counts, rows))
         values = pa.StructArray.from_arrays([pa.array((cells % dimensions).astype(np.int32)), pa.array((counts / norms[row]).astype(np.float32))], names=["bucket", "weight"])
@@ -97,7 +125,7 @@ def text_weights(rows: DataFrame, column: str, dimensions: int = DIMENSIONS) ->
     Texts without words have no row.
     """
     rest = [F.col(c) for c in rows.columns if c != column]
-    return rows.select(*rest, F.inline(_sparse_counts(dimensions)(_words(column))))
+    return _marked_words(rows, column).select(*rest, F.inline(_sparse_counts(dimensions)(F.col("_marked"))))
 
 
 def embed_texts(
@@ -113,7 +141,7 @@ def embed_texts(
     """
     if load_encoder is None:
         # Said to be nondeterministic, or a filter on the embedding would be moved below it with a second evaluation.
-        return rows.withColumn("embedding", _dense_counts(dimensions).asNondeterministic()(_words(column)))
+        return _marked_words(rows, column).withColumn("embedding", _dense_counts(dimensions).asNondeterministic()(F.col("_marked"))).drop("_marked")
 
     @F.arrow_udf("array<float>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
