@@ -9,6 +9,8 @@ documents, `before` counts the shard's ids before the block.  Access, counting a
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,10 +26,12 @@ from vacantia.llm import shared, words
 BLOCK_TOKENS = 1 << 18
 STEP = 512
 END_ID = 1
-SLICE = 2 << 20
+SLICE = 1 << 20
 CACHE_WORDS = 3_000_000  # some 50 bytes each
 GROUP = 1000
 MERGE = 4
+FRONT = 19  # bits of the hash that choose a place in front of the cache
+HASHED = 1 << 15  # bytes hashed at once, so that a processor's cache holds them
 WARM_WORDS = 1 << 19
 WARM_DOCUMENTS = 20_000
 BROADCAST_SHARDS = 1_000_000
@@ -36,6 +40,11 @@ SCHEMA = ("shard long, block long, before long, n long, bits int, zeros array<lo
 _MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
 _MARK[list(b".,!?;:")] = True
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+# Runs of these letters, a to z and \xdf to \xff in UTF-8, are left as they are by NFC and lower case and never cut.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_BYTE_LEVEL = np.arange(256, dtype="<u4")  # the letters that stand for bytes, as in ByteLevel
+_BYTE_LEVEL[0x80:0xA1] += 0xA2
+_BYTE_LEVEL[0xAD] = 0x143
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -143,13 +152,39 @@ def pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     buf = np.frombuffer(data, np.uint8)
     edge = np.flatnonzero(np.diff(words.SPACE[buf], prepend=True, append=True))
     starts, ends = edge[0::2], edge[1::2]
-    cuts = np.flatnonzero(_MARK[buf[1:]] & _ALNUM[buf[:-1]]) + 1
+    cuts = np.flatnonzero(_MARK[buf[1:]])
+    cuts = cuts[_ALNUM[buf[cuts]]] + 1
     if len(cuts):
         word_starts = starts
         starts = np.sort(np.concatenate([starts, cuts]))
         ends = np.minimum(np.append(starts[1:], len(buf)), ends[np.searchsorted(word_starts, starts, side="right") - 1])
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return starts, ends, words.hash_runs(buf, starts, words.WORD_VALUES), np.searchsorted(starts, offsets), data
+    return starts, ends, _hashes(buf, starts), np.searchsorted(starts, offsets), data
+
+
+def _hashes(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """`words.hash_runs` of some HASHED bytes at a time; a longer part is hashed whole."""
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(buf), HASHED)))
+    bounds = [*starts[cuts[cuts < len(starts)]].tolist(), len(buf)]
+    parts = [words.hash_runs(buf[a:b], starts[i:j] - a, words.WORD_VALUES)
+             for a, b, i, j in zip(bounds, bounds[1:], cuts.tolist(), [*cuts[1:].tolist(), len(starts)])]
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def _plain_letters(tokenizer) -> bool:
+    """Whether the parts of a tokenizer are such that a run of _LETTERS is one piece, unchanged but for the letters of its bytes."""
+    def steps(part, name: str) -> list[dict]:
+        found = json.loads(part.__getstate__()) if part is not None else {"type": None}
+        return found[name] if found["type"] == "Sequence" else [found]
+
+    normal = steps(tokenizer.normalizer, "normalizers")
+    cut = steps(tokenizer.pre_tokenizer, "pretokenizers")
+    model = tokenizer.model
+    return (all(n["type"] in ("NFC", "Lowercase") or (n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"}) for n in normal)
+            and [c["type"] for c in cut] == ["Split", "ByteLevel"]
+            and cut[0]["pattern"] == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"} and cut[0]["invert"]
+            and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"]
+            and type(model).__name__ == "BPE" and bool(model.end_of_word_suffix) and not model.dropout and not model.continuing_subword_prefix)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -211,8 +246,8 @@ def warm_words(docs: DataFrame, text: str, tokenizer_path: str, most: int = WARM
 class WordEncoder:
     """Ids of whole texts through a bounded cache of words.
 
-    Exact for tokenizers that ignore case, drop white space, never join across it and split letters from marks; each distinct word of a slice is looked up once,
-    by its 64-bit hash.
+    Exact for tokenizers that ignore case, drop white space, never join across it and split letters from marks.  Words are looked up by their 64-bit
+    hash, frequent ones at once, each distinct one of the others once in a slice.
     """
 
     def __init__(self, tokenizer_path: str, cache_words: int = CACHE_WORDS):
@@ -226,6 +261,14 @@ class WordEncoder:
         # Any special token in `<| |>` will do; it is matched before anything else and never joined to its neighbours.
         special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content.startswith("<|"))
         self.between, self.between_id = special[0].encode(), self.tokenizer.token_to_id(special[0])
+        self.letters = None
+        if _plain_letters(self.tokenizer):
+            from tokenizers.pre_tokenizers import WhitespaceSplit
+
+            self.letters = Tokenizer(self.tokenizer.model)  # the same merges without normaliser and patterns
+            self.letters.pre_tokenizer = WhitespaceSplit()
+            end = self.tokenizer.model.end_of_word_suffix
+            self.last = np.fromiter(((self.letters.id_to_token(i) or "").endswith(end) for i in range(self.letters.get_vocab_size())), bool)  # the ids that end a word
 
     def _clear(self) -> None:
         """The cache: runs of sorted word hashes, where in `flat` the ids of each begin and how many there are.
@@ -234,14 +277,25 @@ class WordEncoder:
         """
         self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.flat = np.empty(0, np.uint32)
+        # In front of the runs, the first word for each place: its hash, begin and number of ids (none: -1).
+        self.front = (np.zeros(1 << FRONT, np.uint64), np.full(1 << FRONT, -1), np.zeros(1 << FRONT, np.int32))
+
+    def _to_front(self, keys: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Words, the most frequent ones first, to the places that are still free."""
+        place = (keys >> np.uint64(64 - FRONT)).astype(np.int64)
+        free = np.flatnonzero(self.front[1][place] < 0)[::-1]
+        for held, values in zip(self.front, (keys, begin, size)):
+            held[place[free]] = values[free]
 
     def start_with(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         """Words encoded elsewhere: their hashes, numbers of ids, and ids."""
         order = np.argsort(keys)
         sizes = sizes.astype(np.int64)
+        begin = len(self.flat) + np.cumsum(sizes) - sizes
         self.flat = np.concatenate([self.flat, ids])
         if len(keys):
-            self._add(keys[order], (np.cumsum(sizes) - sizes)[order], sizes[order])
+            self._to_front(keys, begin, sizes)
+            self._add(keys[order], begin[order], sizes[order])
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and number of the ids of each word; begin is -1 for unknown ones."""
@@ -262,6 +316,31 @@ class WordEncoder:
             self.runs.append(tuple(np.concatenate([x, y])[order] for x, y in zip(before, last)))
 
     def _encode_new(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers; runs of common letters skip the steps of the tokenizer that change nothing in them."""
+        if self.letters is None:
+            return self._encode_any(new)
+        plain = np.fromiter((_LETTERS.fullmatch(w) is not None for w in new), bool, len(new))
+        parts, sizes = [], np.zeros(len(new), np.int64)
+        for which, encode in ((plain, self._encode_letters), (~plain, self._encode_any)):
+            if which.any():
+                ids, sizes[which] = encode([w for w, mine in zip(new, which.tolist()) if mine])
+                parts.append((which, ids))
+        ends = np.cumsum(sizes)
+        found = np.empty(int(ends[-1]) if len(new) else 0, np.uint32)
+        for which, ids in parts:
+            found[words.ragged((ends - sizes)[which], sizes[which])] = ids
+        return found, sizes
+
+    def _encode_letters(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers of runs of _LETTERS."""
+        groups = [np.frombuffer(b" ".join(new[i:i + GROUP]), np.uint8) for i in range(0, len(new), GROUP)]
+        texts = [_BYTE_LEVEL[g].tobytes().decode("utf-32-le") for g in groups]
+        found = self.letters.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in found])
+        sizes = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+        return (ids, sizes) if len(sizes) == len(new) else self._encode_any(new)  # letters that the model lacks
+
+    def _encode_any(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their numbers, encoding many words at a time with a special token between them."""
         if any(b"<|" in w for w in new):  # a word may hold special tokens itself
             found = [self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in new]
@@ -278,23 +357,34 @@ class WordEncoder:
             ids.append(np.delete(own, cuts))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts one after another, and the number of each text."""
-        starts, ends, hashes, first, data = pieces(texts)
-        if not len(starts):
-            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+    def _of_words(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and number of the ids of words of `data`; each distinct one that is unknown is encoded once."""
         keys, one, back = np.unique(hashes, return_index=True, return_inverse=True)
         begin, size = self._find(keys)
-        if sum(len(r[0]) for r in self.runs) > self.cache_words and (begin < 0).any():
-            self._clear()
-            begin[:] = -1
         new = np.flatnonzero(begin < 0)
         if len(new):
             ids, sizes = self._encode_new([data[a:b] for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist())])
             begin[new], size[new] = len(self.flat) + np.cumsum(sizes) - sizes, sizes
             self.flat = np.concatenate([self.flat, ids])
             self._add(keys[new], begin[new], sizes)
-        begin, size = begin[back], size[back]
+            self._to_front(keys[new], begin[new], sizes)
+        return begin[back], size[back]
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and the number of each text."""
+        starts, ends, hashes, first, data = pieces(texts)
+        if not len(starts):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        place = hashes >> np.uint64(64 - FRONT)
+        begin = np.where(self.front[0][place] == hashes, self.front[1][place], -1)
+        size = self.front[2][place].astype(np.int64)
+        rest = np.flatnonzero(begin < 0)
+        if sum(len(r[0]) for r in self.runs) > self.cache_words and len(rest):
+            unknown = self._find(np.unique(hashes[rest]))[0] < 0
+            if unknown.any():
+                self._clear()
+                rest = np.arange(len(hashes))
+        begin[rest], size[rest] = self._of_words(hashes[rest], starts[rest], ends[rest], data)
         sums = np.concatenate([[0], np.cumsum(size)])
         return self.flat[words.ragged(begin, size)], np.diff(sums[first])
 
