@@ -29,6 +29,7 @@ DIMENSIONS = 256
 MAX_BLOCK_BYTES = 128 << 20
 TILE_CELLS = 1_000_000
 ROUNDING = 1e-8  # scores are compared after rounding to nine digits
+COUNTED_ROWS = 512  # rows of counts that a task holds at once
 FOUND_ROWS = 1 << 20  # rows that a block of queries returns at once
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -93,15 +94,20 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
 def _as_lists(matrix: np.ndarray) -> pa.Array:
     rows, width = matrix.shape
     offsets = np.arange(0, (rows + 1) * width, width, dtype=np.int32) if width else np.zeros(rows + 1, np.int32)
-    return pa.ListArray.from_arrays(offsets, pa.array(matrix.astype(np.float32).reshape(-1)))
+    return pa.ListArray.from_arrays(offsets, pa.array(matrix.astype(np.float32, copy=False).reshape(-1)))
 
 
 def _dense_counts(dimensions: int):
     @F.arrow_udf("array<float>")
     def dense(texts: pa.Array) -> pa.Array:
-        rows = len(texts)
-        counts = np.bincount(_word_cells(texts, dimensions), minlength=rows * dimensions).reshape(rows, dimensions)
-        return _as_lists(_unit_rows(counts.astype(np.float64)))
+        cells, rows = _word_cells(texts, dimensions), len(texts)
+        found = np.empty((rows, dimensions), np.float32)
+        for top in range(0, rows, COUNTED_ROWS):  # the cells are in the order of the rows
+            some = min(COUNTED_ROWS, rows - top)
+            first, last = np.searchsorted(cells, [top * dimensions, (top + some) * dimensions])
+            counts = np.bincount(cells[first:last] - top * dimensions, minlength=some * dimensions).reshape(some, dimensions)
+            found[top:top + some] = _unit_rows(counts.astype(np.float64))
+        return _as_lists(found)
 
     return dense
 
@@ -358,7 +364,9 @@ def packed(rows: DataFrame, name: str, regroup: Callable[[Iterator[pa.RecordBatc
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema) as stream:
                     stream.write(batch)
-                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=[name])
+                value = sink.getvalue()
+                ends = pa.py_buffer(np.array([0, value.size], np.int32))
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), 1, [None, ends, value])], names=[name])
 
     return rows.mapInArrow(pack, T.StructType([T.StructField(name, T.BinaryType())]))
 
