@@ -181,3 +181,17 @@ def test_dates(frame):
 def test_question_types(frame):
     asked = ["Which jobs use Python?", "What skills are common?", "Tell me what jobs exist", "How is pay?", "common requirements"]
     assert apply(frame, asked, text.question_type) == ["jobs", "skills", "jobs", "general", "skills"]
+
+
+def test_phrases_are_found_by_their_words_and_only_as_a_whole(frame):
+    lexicon = {"ab": ["a/b", "a b"], "c++": ["c++"], "net": [".net core", "ré sumé"], "x": ["x_y z", "one"]}
+    texts = ["a/b", "A B.", "b a", "a  b", "aa/b", "c++", "c ++", "objc++", "asp .net core", "net core", "ré sumé", "résumé", "x_y z one", "x y z", "zone", ""]
+    assert apply(frame, texts, lambda t: text.detect_skills(t, lexicon)) == [
+        ["ab"], ["ab"], [], [], [], ["c++"], [], [], ["net"], [], ["net"], [], ["x"], [], [], []]
+
+
+def test_texts_are_not_searched_for_every_phrase(frame):
+    """A text is searched for a phrase only if it has all its words."""
+    held = frame([("x",)], "t string").select(text.detect_skills(F.col("t"), {"ab": ["a b"], "one": ["one"]}))
+    plan = held._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.index("array_contains(lambda") < plan.index("contains(lambda", plan.index("array_contains(lambda") + 20)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacantia.functions import text
-from vacantia.operators import recommend, vectors
+from vacantia.operators import evaluate, recommend, vectors
 
 SCHEMA = "job_id long, embedding array<float>"
 
@@ -242,3 +242,87 @@ def test_plain_texts_pass_by_the_expression_for_white_space(frame):
     rows = ["a b", " a  b ", "a\tb", "a b", "é ü", " x", "", None, "a \n b", "x\x85y", "\x1c"]
     got = [r[0] for r in frame([(r,) for r in rows], "t string").select(text.collapse_spaces(F.col("t"))).collect()]
     assert got == ["a b", "a b", "a b", "a b", "é ü", "x", "", None, "a b", "x y", ""]
+
+
+@pytest.mark.parametrize("k", [1, 7, 300])
+def test_a_corpus_that_passes_blocks_of_queries_gives_the_rows_of_a_full_scan(frame, monkeypatch, k):
+    monkeypatch.setattr(vectors, "PACKET_ROWS", 40)
+    monkeypatch.setattr(vectors, "TILE_QUERIES", 16)
+    monkeypatch.setattr(vectors, "HELD_BYTES", 10_000)
+    rng = np.random.default_rng(9)
+    matrix = rng.normal(size=(240, 8)) * rng.choice([1e-3, 1.0, 1e3], size=(240, 1))
+    matrix[::3] = matrix[0]
+    v = table(frame, matrix).repartition(5)
+    rows = vectors.nearest_jobs(v, k)
+    assert found(rows) == brute(matrix, k)
+    assert [r["rank"] for r in rows.where("job_id = 4").orderBy("rank").collect()] == list(range(1, min(k, 239) + 1))
+    two = frame([(4,), (17,)], "job_id long")
+    assert found(vectors.nearest_jobs(v, k, two)) == {i: brute(matrix, k)[i] for i in (4, 17)}
+
+
+def test_no_more_than_k_rows_of_a_query_leave_its_task(frame, monkeypatch):
+    """With a row for each block of the corpus, 600,000 postings had thousands of rows each."""
+    def blocked(*_):
+        raise AssertionError("k rows for each block of the corpus")
+
+    monkeypatch.setattr(vectors, "scan_blocks", blocked)
+    matrix = np.random.default_rng(10).normal(size=(900, 4))
+    rows = vectors.nearest_jobs(table(frame, matrix), 5)
+    assert found(rows) == brute(matrix, 5)
+    assert "Window" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_passing_corpus_with_odd_values():
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(2000, 6))
+    m[7] = np.nan
+    m[8] *= 1e200  # beyond single precision
+    m[9] = 0
+    m[10:300:3] = m[10] + rng.normal(scale=1e-9, size=(97, 6))  # closer than single precision tells apart
+    ids = rng.permutation(2000)
+    with np.errstate(all="ignore"):
+        exact = np.round(m @ m.T, 9)
+    for width in (64, 300, 2000):
+        passing = vectors.Passing(m[:320], ids[:320], 10, 1, True)
+        for at in range(0, 2000, width):
+            passing.meet(m[at:at + width], [ids[at:at + width]])
+        parts = list(passing.found())
+        query, taken, score, rank = np.concatenate([p[0] for p in parts]), np.concatenate([p[1][0] for p in parts]), np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+        for i in range(320):
+            order = sorted((j for j in range(2000) if j != i and not np.isnan(exact[i, j])), key=lambda j: (-exact[i, j], ids[j]))[:10]
+            mine = query == ids[i]
+            assert rank[mine].tolist() == list(range(1, len(order) + 1))
+            if i != 8:
+                assert taken[mine].tolist() == ids[order].tolist()
+                assert np.allclose(score[mine], exact[i, order], rtol=1e-12, atol=2e-9)
+    with pytest.raises(ValueError):
+        vectors.Passing(m[:2], ids[:2], 1, 1, False).meet(m[:, :3], [ids])
+
+
+@pytest.mark.parametrize("options", [{}, {"limit": 10, "same_category_only": True, "min_shared_skills": 1, "min_embedding_score": 0.05}])
+def test_postings_are_tagged_once(spark, frame, options):
+    tagged = spark.sparkContext.accumulator(0)
+
+    def tag(i):
+        tagged.add(1)
+        return ["python", None] if i % 3 else None
+
+    rng = np.random.default_rng(12)
+    bare = frame([(i, "t", "c", "l", "ab"[i % 2], "s", f"u{i}") for i in range(1, 81)], JOBS.replace("detected_skills array<string>, ", ""))
+    jobs = bare.withColumn("detected_skills", F.udf(tag, "array<string>")("id"))
+    v = table(frame, rng.normal(size=(60, 6)))
+    rows = recommend.recommend(jobs, v, pool=20, **options)
+    got = sorted(rows.collect())
+    assert tagged.value <= 80  # 160 with a pass for the targets and one for the candidates
+    assert got and got == sorted(recommend.recommend(jobs.localCheckpoint(), v, pool=20, block_rows=20, **options).collect())
+    tagged.value = 0
+    cases = evaluate.recommendation_cases(jobs, v)
+    assert cases.count() == 40 and tagged.value <= 80  # 240 with one more for the cases
+    assert evaluate.recommendation_summary(cases).first()["evaluated_jobs"] == 40
+
+
+def test_pairs_are_scored_alike_from_sizes(frame):
+    jobs = frame([(1, "t", "c", "l", "k", "s", ["b", "a", "b", None], "u"), (2, "t", "c", "l", None, "s", [None, "b", "c", "b"], "u"), (3, "t", "c", "l", "", None, None, "u")], JOBS)
+    pool = frame([(1, 2, 0.5, 1), (2, 1, 0.5, 1), (1, 3, 0.1, 2), (3, 3, 0.1, 3)], "job_id long, candidate_id long, raw_score double, rank int")
+    got = {(r["job_id"], r["candidate_id"]): (r["shared_skills"], r["skill_overlap"]) for r in recommend.scored_pairs(jobs, pool).collect()}
+    assert got == {(1, 2): (["b", None], 0.5), (2, 1): (["b", None], 0.5), (1, 3): ([], 0.0), (3, 3): ([], 0.0)}

@@ -15,8 +15,11 @@ def rounded(value: Column, digits: int = 4) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all distinct elements; 0 when both sets are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
+    return jaccard_of_sizes(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
+
+
+def jaccard_of_sizes(shared: Column, union: Column) -> Column:
+    return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
 
 
 def same_label(a: Column, b: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -147,11 +148,16 @@ def is_tech_title(title: Column, words: list[str] | None = None, whole_words: bo
     return text.rlike(pattern(rules.TECH_TITLE_WORDS if words is None else words))
 
 
+def _ascii_words(phrase: str) -> list[str]:
+    """Words without which the phrase is in no text as a whole word; none if it is not plain ASCII."""
+    return list(dict.fromkeys(re.findall(r"[A-Za-z0-9_]+", phrase))) if phrase.isascii() else []
+
+
 def detect_skills(text: Column, lexicon: dict[str, list[str]] | None = None) -> Column:
     """Sorted distinct skills with at least one phrase in the text, as array<string>.
 
     A one-word phrase is looked up among the distinct words of the text, which costs one pass for all of
-    them.  Phrases of several words are guarded by a plain substring test before the regular expression.
+    them.  Of a longer phrase all words are looked up first; only texts that have them are searched for the phrase.
     """
     table = rules.SKILL_LEXICON if lexicon is None else lexicon
     single: dict[str, list[str]] = {}
@@ -162,10 +168,16 @@ def detect_skills(text: Column, lexicon: dict[str, list[str]] | None = None) ->
                 single.setdefault(phrase, []).append(skill)
             else:
                 several.setdefault(skill, []).append(phrase)
+    pieces = {p: _ascii_words(p) for phrases in several.values() for p in phrases}
+    sought = list(dict.fromkeys([*single, *(w for words in pieces.values() for w in words)]))
     lowered = F.lower(F.coalesce(text, F.lit("")))
 
     def tags(t: Column) -> Column:
-        found = F.array_intersect(F.array(*[F.lit(p) for p in single]), F.split(t, NOT_WORD + "+"))
+        words = F.array_intersect(F.array(*[F.lit(p) for p in sought]).cast("array<string>"), F.split(t, NOT_WORD + "+"))
+        return let(words, lambda held: tags_of(t, held))
+
+    def tags_of(t: Column, held: Column) -> Column:
+        found = F.array_intersect(F.array(*[F.lit(p) for p in single]), held)
         by_word = F.create_map(
             *[x for p, skills in single.items() for x in (F.lit(p), F.array(*[F.lit(s) for s in skills]))]
         )
@@ -175,7 +187,10 @@ def detect_skills(text: Column, lexicon: dict[str, list[str]] | None = None) ->
             for skill, phrases in several.items():
                 hit = F.lit(False)
                 for phrase in phrases:
-                    hit = hit | (F.contains(t, F.lit(phrase)) & t.rlike(whole_word_pattern([phrase])))
+                    there = F.contains(t, F.lit(phrase)) & t.rlike(whole_word_pattern([phrase]))
+                    for word in reversed(pieces[phrase]):
+                        there = F.array_contains(held, word) & there
+                    hit = hit | there
                 hits.append(F.when(hit, skill))
             parts.append(F.array_compact(F.array(*hits)))
         return F.array_sort(F.array_distinct(F.concat(*parts)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import text
 from vacantia.functions.scores import rounded
-from vacantia.operators.recommend import recommend
+from vacantia.operators.recommend import recommend, searched_postings
 
 
 def _mean(total: Column, cases: Column) -> Column:
@@ -18,10 +18,10 @@ def recommendation_cases(
     jobs: DataFrame, vectors: DataFrame, limit: int = 5, sample_size: int | None = None, block_rows: int | None = None
 ) -> DataFrame:
     """Recommendations found per posting that has skills and a vector; the first `sample_size` by id, or all."""
+    jobs = searched_postings(jobs, vectors)
     targets = jobs.filter(F.size("detected_skills") > 0).select(
         F.col("id").alias("job_id"), F.col("title").alias("target_title"), F.size("detected_skills").alias("target_skill_count")
     )
-    targets = targets.join(vectors.select("job_id"), "job_id", "left_semi")
     if sample_size is not None:
         targets = targets.orderBy("job_id").limit(sample_size)
     found = recommend(jobs, vectors, None if sample_size is None else targets, limit, block_rows=block_rows)

@@ -2,7 +2,9 @@
 
 Exact search hashes both sides into blocks of bounded bytes, and every pair of blocks is one group.  A group keeps the
 best k corpus rows of each of its queries and sends nothing else to the shuffle.  The corpus is copied once for each block
-of queries, so not at all for a table of questions.  `neighbours` has the forms that skip cells.
+of queries, so not at all for a table of questions.  Where the number of queries is known, as for all postings against all,
+a task holds a block of them and the whole corpus passes it packet by packet, so that k rows of a query leave its task and
+not k for each block of the corpus.  `neighbours` has the forms that skip cells.
 
 Scores are compared after rounding to nine digits, equal scores by id, so results do not depend on blocks.
 """
@@ -18,7 +20,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -31,6 +33,9 @@ TILE_CELLS = 1_000_000
 ROUNDING = 1e-8  # scores are compared after rounding to nine digits
 COUNTED_ROWS = 512  # rows of counts that a task holds at once
 FOUND_ROWS = 1 << 20  # rows that a block of queries returns at once
+PACKET_ROWS = 8192  # corpus rows that pass a block of queries at once
+TILE_QUERIES = 256  # queries of a block whose scores with a packet are held at once
+HELD_BYTES = 64 << 20  # best rows and vectors of the queries that a task holds while the corpus passes
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -291,6 +296,135 @@ def _scan(
             [np.concatenate([f[2][i] for f in found]) for i in range(len(ids))])
 
 
+def _places(mask: np.ndarray) -> np.ndarray:
+    """Flat places of the true cells of a sparse mask; eight cells are looked at together."""
+    flat = mask.reshape(-1)
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    some = np.flatnonzero(flat.view(np.uint64))
+    which, byte = np.nonzero(flat.reshape(-1, 8)[some])
+    return some[which] * 8 + byte
+
+
+class Passing:
+    """Best k corpus rows of each query of a block, over corpus rows that pass in packets.
+
+    Scores are first computed in single precision.  Only pairs that reach a query's kth score so far, less the most by which
+    single precision may be wrong, are computed in double precision, and only those scores are kept and compared.
+    """
+
+    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, k: int, id_count: int, exclude: bool):
+        self.queries, self.query_ids, self.k, self.exclude = queries, query_ids, k, exclude
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.single = queries.astype(np.float32)
+            self.norms = np.sqrt((queries * queries).sum(axis=1))
+        self.score = np.full((len(queries), k), -np.inf)
+        self.ids = [np.zeros((len(queries), k), np.int64) for _ in range(id_count)]
+        self.least = np.full(len(queries), -np.inf)  # the kth best score so far; lower ones cannot matter
+        self.waiting: dict[int, list[tuple]] = {}  # pairs not yet among the best, by the first query of their tile
+        self.counts: dict[int, int] = {}
+
+    def meet(self, corpus: np.ndarray, ids: list[np.ndarray]) -> None:
+        """A packet of corpus rows passes all queries."""
+        if not len(corpus) or not len(self.queries):
+            return
+        if corpus.shape[1] != self.queries.shape[1]:
+            raise ValueError(f"queries have {self.queries.shape[1]} dimensions, the corpus has {corpus.shape[1]}")
+        with np.errstate(over="ignore", invalid="ignore"):
+            longest = np.sqrt((corpus * corpus).sum(axis=1)).max()
+            largest = longest * self.norms.max()
+            single = bool(np.isfinite(largest) and largest < 1e30)  # else a product may be beyond single precision
+            wide = (corpus.astype(np.float32) if single else corpus).T
+        slack = (corpus.shape[1] + 4) * 2.0 ** -23 * longest * self.norms + 1e-30 if single else np.zeros(len(self.queries))
+        left = self.single if single else self.queries
+        own = np.argsort(ids[0], kind="stable") if self.exclude else None
+        for top in range(0, len(self.queries), TILE_QUERIES):
+            rows = slice(top, min(top + TILE_QUERIES, len(self.queries)))
+            with np.errstate(over="ignore", invalid="ignore"):
+                scores = left[rows] @ wide
+            if own is not None:
+                self._leave_out(scores, rows, ids[0], own)
+            bound = self.least[rows] - ROUNDING - slack[rows]
+            place = None
+            if np.isfinite(bound).all():
+                place = _places(scores >= self._below(bound, scores.dtype)[:, None])
+            if place is None or len(place) > scores.size // 16:
+                scores[np.isnan(scores)] = -np.inf
+                if scores.shape[1] > self.k:
+                    kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
+                    bound = np.fmax(bound, kth - ROUNDING - 2 * slack[rows])
+                bound = self._below(bound, scores.dtype)[:, None]
+                place = np.flatnonzero((scores >= bound) & (scores > -np.inf))
+            self._keep(top, rows, place // scores.shape[1], place % scores.shape[1], corpus, ids)
+
+    @staticmethod
+    def _below(bound: np.ndarray, kind: np.dtype) -> np.ndarray:
+        return np.nextafter(bound.astype(kind), np.array(-np.inf, kind))
+
+    def _leave_out(self, scores: np.ndarray, rows: slice, ids: np.ndarray, order: np.ndarray) -> None:
+        """No query meets the corpus rows of its own id."""
+        mine, held = self.query_ids[rows], ids[order]
+        first, last = np.searchsorted(held, mine), np.searchsorted(held, mine, side="right")
+        for row in np.flatnonzero(last > first):
+            scores[row, order[first[row]:last[row]]] = -np.inf
+
+    def _keep(self, top: int, rows: slice, row: np.ndarray, column: np.ndarray, corpus: np.ndarray, ids: list[np.ndarray]) -> None:
+        least, queries = self.least[rows], self.queries[rows]
+        for at in range(0, len(row), 1 << 16):
+            r, c = row[at:at + (1 << 16)], column[at:at + (1 << 16)]
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = np.round(np.einsum("ij,ij->i", queries[r], corpus[c]), 9)
+            good = (score >= least[r]) & (score > -np.inf)
+            if not good.any():
+                continue
+            self.waiting.setdefault(top, []).append((r[good], score[good], [values[c[good]] for values in ids]))
+            self.counts[top] = self.counts.get(top, 0) + int(good.sum())
+        if self.counts.get(top, 0) > self.k * len(queries):
+            self._settle(top)
+
+    def _settle(self, top: int) -> None:
+        """The pairs of a tile that wait join its best ones."""
+        parts = self.waiting.pop(top, [])
+        if not parts:
+            return
+        self.counts[top] = 0
+        k, rows = self.k, slice(top, min(top + TILE_QUERIES, len(self.queries)))
+        height = rows.stop - rows.start
+        row = np.concatenate([p[0] for p in parts])
+        order = np.argsort(row, kind="stable")
+        row = row[order]
+        place = k + np.arange(len(row)) - np.searchsorted(row, row)
+        width = int(place.max()) + 1
+        score = np.full((height, width), -np.inf)
+        score[:, :k], score[row, place] = self.score[rows], np.concatenate([p[1] for p in parts])[order]
+        ids = []
+        for i, old in enumerate(self.ids):
+            values = np.zeros((height, width), np.int64)
+            values[:, :k], values[row, place] = old[rows], np.concatenate([p[2][i] for p in parts])[order]
+            ids.append(values)
+        best = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        kth = np.take_along_axis(score, best, 1).min(axis=1)
+        tied = np.flatnonzero(((score >= kth[:, None]).sum(axis=1) > k) & (kth > -np.inf))
+        if len(tied):  # of equal scores those of the lowest ids
+            best[tied] = np.lexsort([*(values[tied] for values in reversed(ids)), -score[tied]], axis=1)[:, :k]
+        self.score[rows] = np.take_along_axis(score, best, 1)
+        for old, values in zip(self.ids, ids):
+            old[rows] = np.take_along_axis(values, best, 1)
+        self.least[rows] = kth
+
+    def found(self) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+        """Query ids, ids, scores and ranks (1 is best), some queries at once."""
+        for top in range(0, len(self.queries), TILE_QUERIES):
+            self._settle(top)
+            rows = slice(top, top + TILE_QUERIES)
+            order = np.lexsort([*(values[rows] for values in reversed(self.ids)), -self.score[rows]], axis=1)
+            score = np.take_along_axis(self.score[rows], order, 1)
+            there = score > -np.inf
+            rank = np.broadcast_to(np.arange(1, self.k + 1, dtype=np.int32), score.shape)
+            query = np.broadcast_to(self.query_ids[rows][:, None], score.shape)
+            yield query[there], [np.take_along_axis(values[rows], order, 1)[there] for values in self.ids], score[there], rank[there]
+
+
 EXPANSION = 16  # bytes of vectors in a task for a byte that the optimizer expects of their source
 BROADCAST_QUERY_BYTES = 8 << 20  # queries expected to be no larger are broadcast, and the corpus is not shuffled
 MOST_ESTIMATED = 64  # blocks for each core, beyond which the rows are counted instead
@@ -383,6 +517,56 @@ def best_of_each(found: pa.Table, id_columns: list[str], k: int) -> pa.Table:
     return found.filter(pa.array(np.arange(len(query)) - np.searchsorted(query, query) < k))
 
 
+def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of PACKET_ROWS."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        while rows >= PACKET_ROWS:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield table.slice(0, PACKET_ROWS).to_batches()[0]
+            held, rows = table.slice(PACKET_ROWS).to_batches(), rows - PACKET_ROWS
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _passing_scan(queries: DataFrame, corpus: DataFrame, id_columns: list[str], k: int, exclude: bool, query_rows: int, dimensions: int) -> DataFrame:
+    """The ranked best k corpus rows of each query, whose ids are distinct.
+
+    The queries are dealt into blocks of HELD_BYTES, as many for each core.  The corpus is packed where it lies; a packet is
+    copied once for each block and passes its task after the queries.
+    """
+    each = k * 8 * (1 + len(id_columns)) + 12 * max(dimensions, 1)
+    cores, blocks = queries.sparkSession.sparkContext.defaultParallelism, math.ceil(query_rows * each / HELD_BYTES)
+    blocks = max(1, min(math.ceil(blocks / cores) * cores, math.ceil(query_rows / TILE_QUERIES)))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    dealt = queries.select("query_id", "embedding").repartitionById(blocks, block)
+    asked = packed(dealt, "_packet", _packets).select(F.spark_partition_id().alias("_block"), F.lit(True).alias("_asks"), "_packet")
+    held = packed(corpus.select(*[F.col(c).cast("bigint").alias(c) for c in id_columns], "embedding"), "_packet", _packets)
+    copies = held.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), F.lit(False).alias("_asks"), "_packet")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asking, passing = [], None
+        for batch in batches:
+            for asks, packet in zip(batch.column("_asks").to_pylist(), batch.column("_packet")):
+                rows = unpacked(packet)
+                if asks:
+                    asking.append(rows)
+                elif asking:
+                    if passing is None:
+                        q = pa.concat_tables(asking)
+                        passing = Passing(matrix(q.column("embedding")), q.column("query_id").to_numpy(), k, len(id_columns), exclude)
+                    passing.meet(matrix(rows.column("embedding")), [rows.column(c).to_numpy() for c in id_columns])
+        for query, ids, score, rank in passing.found() if passing is not None else ():
+            if len(query):
+                yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), *[pa.array(v, pa.int64()) for v in ids], pa.array(score), pa.array(rank)],
+                                                 names=["query_id", *id_columns, "raw_score", "rank"])
+
+    together = asked.unionByName(copies).repartitionById(blocks, "_block").sortWithinPartitions("_block", F.col("_asks").desc())
+    return together.mapInArrow(scan, _found_schema(id_columns, []).add("rank", T.IntegerType()))
+
+
 def _broadcast_scan(queries: DataFrame, corpus: DataFrame, id_columns: list[str], k: int, exclude: bool, labels: list[str], payload: list[str]) -> DataFrame:
     """The best k corpus rows of each query in every task.  The corpus stays where it is and meets all queries batch by batch."""
     asked = queries.select("query_id", "embedding", *labels).coalesce(1)
@@ -443,6 +627,8 @@ def nearest(
     labels: list[str] | None = None,
     payload: list[str] | None = None,
     query_blocks: int | None = None,
+    query_rows: int | None = None,
+    dimensions: int = DIMENSIONS,
 ) -> DataFrame:
     """Exact top k corpus rows per query: query_id, id columns, raw_score, payload and rank (1 is best).
 
@@ -453,6 +639,8 @@ def nearest(
     A few queries, by the optimizer's size estimate, are broadcast: no vector of the corpus is shuffled then.
     Building the result runs no job: the number of blocks follows the optimizer's size estimate.  With `block_rows` rows are
     counted and blocks are about that small while they are few; `query_blocks` sets the number of those of the queries.
+    With `query_rows`, the number of the queries or more, of distinct ids, and `dimensions` a task holds some queries while the
+    corpus passes; not with labels or payload.
     """
     queries, corpus = searchable(queries, corpus, id_columns, labels or [], payload or [])
     if k <= 0:
@@ -461,6 +649,8 @@ def nearest(
         return corpus.sparkSession.createDataFrame([], T.StructType([*longs, T.StructField("raw_score", T.DoubleType()), *extra, T.StructField("rank", T.IntegerType())]))
     if block_rows is None and query_blocks is None and estimated_bytes(queries) * EXPANSION <= BROADCAST_QUERY_BYTES:
         partial = _broadcast_scan(queries, corpus, id_columns, k, exclude_same_id, labels or [], payload or [])
+    elif query_rows is not None and block_rows is None and query_blocks is None and not labels and not payload:
+        return _passing_scan(queries, corpus, id_columns, k, exclude_same_id, query_rows, dimensions)
     else:
         partial = _blocked_scan(queries, corpus, id_columns, k, exclude_same_id, block_rows, labels or [], payload or [], query_blocks)
     return ranked(partial, id_columns, k)
@@ -472,13 +662,17 @@ def searchable(queries: DataFrame, corpus: DataFrame, id_columns: list[str], lab
     return queries, corpus.select(*id_columns, "embedding", *labels, *payload).dropna(subset=[*id_columns, "embedding"])
 
 
-def consistent_vectors(vectors: DataFrame, id_column: str = "job_id") -> DataFrame:
-    """The rows with id and vector, or an error if an id is repeated or lengths differ; an empty table passes."""
+def _consistent(vectors: DataFrame, id_column: str) -> tuple[DataFrame, Row]:
     rows = vectors.dropna(subset=[id_column, "embedding"])
     found = vector_integrity(rows, id_column).first()
     if found["vector_count"] and not found["is_valid"]:
         raise ValueError(f"embedding data is inconsistent: {found.asDict()}")
-    return rows
+    return rows, found
+
+
+def consistent_vectors(vectors: DataFrame, id_column: str = "job_id") -> DataFrame:
+    """The rows with id and vector, or an error if an id is repeated or lengths differ; an empty table passes."""
+    return _consistent(vectors, id_column)[0]
 
 
 def nearest_jobs(vectors: DataFrame, k: int, targets: DataFrame | None = None, block_rows: int | None = None, cells=None, probes: int | None = None) -> DataFrame:
@@ -488,14 +682,16 @@ def nearest_jobs(vectors: DataFrame, k: int, targets: DataFrame | None = None, b
     `neighbours`) cells that cannot hold a neighbour are skipped; with `probes` too, only so many cells of each
     posting are looked at and the result is approximate.
     """
-    vectors = consistent_vectors(vectors)
+    vectors, shape = _consistent(vectors, "job_id")
     if targets is not None:
         require_known(targets, vectors)
     queries = vectors if targets is None else vectors.join(targets.select("job_id"), "job_id", "left_semi")
     queries = queries.withColumnRenamed("job_id", "query_id")
     corpus = vectors.select(F.col("job_id").alias("candidate_id"), "embedding")
     if cells is None:
-        found = nearest(queries, corpus, ["candidate_id"], k, exclude_same_id=True, block_rows=block_rows)
+        asking = shape["vector_count"] if targets is None or block_rows is not None else queries.count()
+        found = nearest(queries, corpus, ["candidate_id"], k, exclude_same_id=True, block_rows=block_rows, query_rows=asking,
+                        dimensions=shape["max_dimension"])
     else:
         from vacantia.operators import neighbours
 
