@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from vacantia.functions import rules, scores, text
 from vacantia.operators.vectors import Best, best_of_each, embed_texts, estimated_bytes, nearest, packed, text_weights, unpacked
 
+UNKNOWN_BYTES = 1 << 60  # the optimizer's estimate of rows it knows nothing of, such as local ones, is beyond
 BROADCAST_QUESTION_BYTES = 4 << 20
 BUCKET_SALTS = 32
 POSTING_ROWS = 1 << 18  # rows of the index that are scored at once
@@ -171,13 +172,19 @@ def _broadcast_sums(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return met.mapInArrow(score, "query_id long, job_id long, chunk_order long, raw_score double").select(*PASSAGE, F.col("query_id").alias("question_id"), "raw_score")
 
 
+def _question_bytes(questions: DataFrame) -> int:
+    """The optimizer's estimate, or the length of the questions where it has none."""
+    expected = estimated_bytes(questions)
+    return expected if expected < UNKNOWN_BYTES else questions.agg(F.sum(F.octet_length("question"))).first()[0] or 0
+
+
 def search_index(
     questions: DataFrame, index: DataFrame, chunks: DataFrame, k: int, broadcast_bytes: int = BROADCAST_QUESTION_BYTES, salts: int = BUCKET_SALTS
 ) -> DataFrame:
     """The same rows as `search_chunks`, from an inverted index (see `index_chunks`) instead of vectors.
 
-    Weights of questions and passages meet by equality of their buckets and are summed by question and passage.  While the
-    optimizer expects at most `broadcast_bytes` of questions, their weights are broadcast and the index is dealt by passage:
+    Weights of questions and passages meet by equality of their buckets and are summed by question and passage.  While there are
+    at most `broadcast_bytes` of questions by the optimizer's estimate (measured where it has none), their weights are broadcast and the index is dealt by passage:
     a task adds up the lists of some thousand passages at once, and no pair of question and passage becomes a row unless it
     is among the best of its task.  Beyond that both sides are shuffled by bucket: rows of the
     index over `salts` salts each, since a bucket may hold most passages, with a copy of the questions' weights per salt.
@@ -186,7 +193,7 @@ def search_index(
     ids = PASSAGE
     asked = text_weights(questions.select("question_id", "question"), "question").withColumnRenamed("weight", "_asked")
     index = index.withColumn("chunk_order", F.col("chunk_order").cast("bigint"))
-    if estimated_bytes(questions) <= broadcast_bytes:
+    if _question_bytes(questions) <= broadcast_bytes:
         sums = _broadcast_sums(index, asked, 3 * k)
     else:
         salt = F.pmod(F.xxhash64(*ids), F.lit(salts)).cast("int")
