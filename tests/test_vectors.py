@@ -326,3 +326,15 @@ def test_pairs_are_scored_alike_from_sizes(frame):
     pool = frame([(1, 2, 0.5, 1), (2, 1, 0.5, 1), (1, 3, 0.1, 2), (3, 3, 0.1, 3)], "job_id long, candidate_id long, raw_score double, rank int")
     got = {(r["job_id"], r["candidate_id"]): (r["shared_skills"], r["skill_overlap"]) for r in recommend.scored_pairs(jobs, pool).collect()}
     assert got == {(1, 2): (["b", None], 0.5), (2, 1): (["b", None], 0.5), (1, 3): ([], 0.0), (3, 3): ([], 0.0)}
+
+
+def test_an_evaluation_writes_its_postings_once(frame, board, monkeypatch):
+    written, original = [], recommend.written
+
+    def counted(rows, name):
+        written.append(name)
+        return original(rows, name)
+
+    monkeypatch.setattr(recommend, "written", counted)
+    cases = {r["job_id"]: r["recommendation_count"] for r in evaluate.recommendation_cases(board, table(frame, MATRIX), limit=2).collect()}
+    assert cases == {1: 2, 2: 2, 3: 2, 4: 2} and written == ["postings"]

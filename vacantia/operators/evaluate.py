@@ -24,7 +24,7 @@ def recommendation_cases(
     )
     if sample_size is not None:
         targets = targets.orderBy("job_id").limit(sample_size)
-    found = recommend(jobs, vectors, None if sample_size is None else targets, limit, block_rows=block_rows)
+    found = recommend(jobs, vectors, None if sample_size is None else targets, limit, block_rows=block_rows, stored=True)
     counts = found.groupBy("job_id").agg(
         F.count("*").alias("n"), F.count_if(F.size("shared_skills") > 0).alias("shared")
     )

@@ -91,16 +91,17 @@ def recommend(
     block_rows: int | None = None,
     cells=None,
     probes: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Top `limit` recommendations of each target.  Gates apply after the pool is cut, so fewer may remain.
 
     `cells` and `probes` choose how the pool is searched, see `nearest_jobs`.  Building the result writes the postings that
-    have a vector, see `searched_postings`.
+    have a vector, see `searched_postings`; with `stored` the jobs are such postings already.
     """
     _clamped("limit", limit, 1, 20)
     _clamped("min_shared_skills", min_shared_skills, 0, 10)
     _clamped("min_embedding_score", min_embedding_score, -1.0, 1.0)
-    jobs = searched_postings(jobs, vectors)
+    jobs = jobs if stored else searched_postings(jobs, vectors)
     pairs = _pairs(jobs, nearest_jobs(vectors, pool, targets, block_rows, cells, probes))
     gates = F.col("has_title") & ~F.isnan("raw_score") & (F.size("shared_skills") >= min_shared_skills)
     if same_category_only:
